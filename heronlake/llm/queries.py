@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronlake.llm import queries_sql as sql
-from heronlake.llm import quality_rules
+from heronlake.llm import mixing, quality_rules
 from heronlake.llm.common import documents
 
 
@@ -16,10 +16,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir)).withColumn("failed_rules", F.array_join("failed_rules", ","))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(documents(spark, sf_dir)).withColumn("target", F.round("target", 6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
+    "op8_mixing": op8_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": sql.OP6,
+    "op8_mixing": sql.OP8,
 }

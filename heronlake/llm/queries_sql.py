@@ -46,3 +46,30 @@ OP6 = (
   f_n_repeat_words AS n_repeat_words, f_base_failed AS base_failed, NOT f_base_failed AND len(f_failed_rules) = 0 AS kept,
   array_to_string(f_failed_rules, ',') AS failed_rules FROM verdicts"""
 )
+
+MIX = r"""
+sized AS (SELECT *, coalesce(text, '') AS t FROM {docs}),
+keyed AS (SELECT *, len(list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> ''))::BIGINT AS m_size,
+   len(regexp_extract_all(t, '[#*$%&|<>]')) AS m_sym,
+   (('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS m_u FROM sized),
+keys AS (SELECT *, -ln(m_u) / greatest((m_size::DOUBLE / (m_size + 20)) / (1.0 + 10.0 * m_sym::DOUBLE / greatest(m_size, 1)), 1e-6) AS m_key FROM keyed),
+sources AS (SELECT source, sum(m_size)::BIGINT AS m_source_size FROM keys GROUP BY source),
+weighed AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 2.0::DOUBLE * m_source_size AS cap FROM sources),
+levels AS (SELECT *, cap / w AS ratio,
+   (1.5::DOUBLE * sum(m_source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+   / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM weighed),
+opened AS (SELECT *, (SELECT arg_min(lv, ratio) FROM levels WHERE lv < ratio) AS lambda_ FROM levels),
+goals AS (SELECT source, m_source_size, CASE WHEN lambda_ IS NULL OR ratio <= lambda_ THEN cap ELSE w * lambda_ END AS m_target FROM opened),
+placed AS (SELECT k.*, g.m_source_size, g.m_target,
+   coalesce(sum(m_size) OVER (PARTITION BY k.source ORDER BY m_key, doc_id, m_size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS m_before,
+   CASE WHEN g.m_source_size > 0 THEN floor(g.m_target / g.m_source_size) ELSE 0 END AS m_epochs
+   FROM keys k JOIN goals g ON k.source IS NOT DISTINCT FROM g.source),
+mixed AS (SELECT *, least(m_size, greatest(0, round(m_target - m_epochs * m_source_size) - m_before))::BIGINT AS m_part FROM placed)
+"""
+
+OP8 = (
+    "WITH "
+    + MIX.format(docs="documents")
+    + """SELECT doc_id, source, m_size AS size, m_source_size AS source_size, round(m_target, 6) AS target,
+  (m_epochs * m_size + m_part)::BIGINT AS taken FROM mixed"""
+)
