@@ -8,10 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronlake.llm import queries_sql as sql
-from heronlake.llm import mixing, quality_rules
+from heronlake.llm import chat, licenses, mixing, quality_rules, warc
 from heronlake.llm.common import documents
 
 
+def op4_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = chat.perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return d.withColumn("mask", F.expr("array_join(transform(mask, m -> concat(m.start, '-', m.end)), ',')"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = licenses.license_scan(documents(spark, sf_dir))
+    return d.withColumns({"base_labels": F.array_join("base_labels", ","), "labels": F.array_join("labels", ","), "score": F.round("score", 6)})
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir)).withColumn("failed_rules", F.array_join("failed_rules", ","))
 
@@ -20,12 +30,29 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir)).withColumn("target", F.round("target", 6))
 
 
+def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits an archive of all pages against a replica in which one record in a hundred, by a digest of its id, has a
+    changed byte."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    n_files = max(1, -(-pages.count() // warc.PER_FILE))
+    a = warc.archived(pages, n_files)
+    rot = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("rot|"), F.coalesce(F.col("key").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("long"), F.lit(100)) == 0
+    b = a.withColumn("record", F.when(rot, F.overlay("record", F.lit("\u0001"), 6)).otherwise(F.col("record")))
+    return warc.fixity(a, b).withColumnRenamed("key", "page_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_chat_perspectives": op4_chat_perspectives,
+    "op5_license_scan": op5_license_scan,
     "op6_quality_rules": op6_quality_rules,
     "op8_mixing": op8_mixing,
+    "op10_warc_fixity": op10_warc_fixity,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_chat_perspectives": sql.OP4,
+    "op5_license_scan": sql.op5_sql(),
     "op6_quality_rules": sql.OP6,
     "op8_mixing": sql.OP8,
+    "op10_warc_fixity": sql.OP10,
 }

@@ -73,3 +73,64 @@ OP8 = (
     + """SELECT doc_id, source, m_size AS size, m_source_size AS source_size, round(m_target, 6) AS target,
   (m_epochs * m_size + m_part)::BIGINT AS taken FROM mixed"""
 )
+
+OP4 = r"""
+WITH turns AS (SELECT conv_id, turn, coalesce(nullif(trim(role), ''), 'unknown') AS name, coalesce(text, '') AS text,
+    coalesce(floor(turn / 256), -1)::BIGINT AS block FROM conversations),
+placed AS (SELECT *, floor((row_number() OVER (PARTITION BY conv_id, block ORDER BY turn NULLS FIRST, name, text) - 1) / 256)::INT AS part FROM turns),
+speakers AS (SELECT DISTINCT conv_id, name AS perspective FROM turns WHERE name <> 'system'),
+seg AS (SELECT p.*, s.perspective, p.name = s.perspective AS target,
+    CASE WHEN p.name = s.perspective THEN '<|assistant|>' || chr(10) WHEN p.name = 'system' THEN '<|system|>' || chr(10)
+         ELSE '<|user name=' || replace(p.name, '<|', '<\|') || '|>' || chr(10) END AS head,
+    replace(p.text, '<|', '<\|') || '<|end|>' || chr(10) AS body
+    FROM placed p JOIN speakers s ON p.conv_id IS NOT DISTINCT FROM s.conv_id),
+place AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, block, part, perspective ORDER BY turn NULLS FIRST, name, text
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM seg)
+SELECT conv_id, perspective, block, part, count(*)::BIGINT AS n_turns, sum(length(head) + length(body))::BIGINT AS n_chars,
+  coalesce(sum(CASE WHEN target THEN length(body) END), 0)::BIGINT AS n_target_chars,
+  string_agg(head || body, '' ORDER BY turn NULLS FIRST, name, text) AS text,
+  coalesce(string_agg(CASE WHEN target THEN (p + length(head))::BIGINT || '-' || (p + length(head) + length(body))::BIGINT END, ',' ORDER BY p), '') AS mask
+FROM place GROUP BY conv_id, perspective, block, part
+"""
+
+
+def op5_sql() -> str:
+    from heronlake.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, need, template_words
+
+    templates = ", ".join(f"({i}, '{label}', {template_words(t)!r}, {need(len(template_words(t)), THRESHOLD)})" for i, (label, t) in enumerate(TEMPLATES))
+    hit = lambda p: " AND ".join(f"ws[i + {j}] = '{w}'" for j, w in enumerate(p.split()))
+    places = " UNION ALL ".join(f"SELECT rid, i - 1 AS pos, '{label}' AS label FROM starts WHERE {hit(p)}" for p, label in PHRASES)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), '{upper}', '{lower}') AS t FROM documents),
+worded AS (SELECT *, regexp_extract_all(t, '{word}') AS ws FROM docs),
+starts AS (SELECT rid, ws, unnest(generate_series(1, len(ws))) AS i FROM worded WHERE len(ws) > 0),
+places AS ({places}),
+base AS (SELECT rid, count(*) AS n, min(pos) AS first_word, max(pos) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM places GROUP BY rid),
+templates(k, label, words, least) AS (VALUES {templates}),
+blocks AS (SELECT rid, regexp_extract_all(unnest(string_split(regexp_replace(t, '([.!?])[\x20\x09-\x0D]+', '\1' || chr(1), 'g'), chr(1))), '{word}') AS b FROM docs),
+met AS (SELECT rid, label, len(list_intersect(list_distinct(b), words)) / len(words) AS c FROM blocks, templates
+        WHERE len(list_intersect(list_distinct(b), words)) >= least),
+more AS (SELECT rid, list_distinct(list(label)) AS labels, max(c) AS c FROM met GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, base.first_word::BIGINT AS first_word, base.last_word::BIGINT AS last_word,
+  coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,
+  round(CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(more.c, 0.0::DOUBLE) END, 6) AS score
+FROM worded LEFT JOIN base USING (rid) LEFT JOIN more USING (rid)
+"""
+
+
+OP10 = r"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') AS h FROM pages),
+n AS (SELECT greatest(1, ceil(count(*) / 512))::BIGINT AS files FROM p),
+r AS (SELECT page_id, u, ('0x' || substr(md5(coalesce(page_id::VARCHAR, 'null') || '|' || u), 1, 13))::BIGINT % files AS file,
+  'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:md5:' || md5(coalesce(page_id::VARCHAR, 'null') || '|' || u)
+  || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || u || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: '
+  || strlen(h) || chr(13) || chr(10) || chr(13) || chr(10) || h AS rec,
+  ('0x' || substr(md5('rot|' || coalesce(page_id::VARCHAR, 'null')), 1, 13))::BIGINT % 100 AS rot FROM p, n),
+l AS (SELECT page_id, u, file, strlen(rec)::BIGINT AS length, sha256(rec) AS hash, rot FROM r),
+o AS (SELECT *, row_number() OVER w - 1 AS seq, coalesce(sum(length + 4) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
+  FROM l WINDOW w AS (PARTITION BY file ORDER BY page_id, u, hash))
+SELECT page_id, file, seq, off AS "offset", length, hash, CASE WHEN rot = 0 THEN 'corrupt' ELSE 'ok' END AS status FROM o
+"""
