@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronlake.llm import queries_sql as sql
-from heronlake.llm import chat, licenses, mixing, quality_rules, warc
+from heronlake.llm import chat, licenses, mixing, ngram_join, quality_rules, sentencepiece_dropout, warc
 from heronlake.llm.common import documents
 
 
+def op1_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_dropout.encode(documents(spark, sf_dir))
+
+
 def op4_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = chat.perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return d.withColumn("mask", F.expr("array_join(transform(mask, m -> concat(m.start, '-', m.end)), ',')"))
@@ -30,6 +34,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir)).withColumn("target", F.round("target", 6))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(documents(spark, sf_dir))
+
+
 def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits an archive of all pages against a replica in which one record in a hundred, by a digest of its id, has a
     changed byte."""
@@ -42,10 +50,12 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece_dropout": op1_sentencepiece_dropout,
     "op4_chat_perspectives": op4_chat_perspectives,
     "op5_license_scan": op5_license_scan,
     "op6_quality_rules": op6_quality_rules,
     "op8_mixing": op8_mixing,
+    "op9_ngram_join": op9_ngram_join,
     "op10_warc_fixity": op10_warc_fixity,
 }
 
@@ -54,5 +64,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_license_scan": sql.op5_sql(),
     "op6_quality_rules": sql.OP6,
     "op8_mixing": sql.OP8,
+    "op9_ngram_join": sql.OP9,
     "op10_warc_fixity": sql.OP10,
 }

@@ -134,3 +134,23 @@ o AS (SELECT *, row_number() OVER w - 1 AS seq, coalesce(sum(length + 4) OVER (w
   FROM l WINDOW w AS (PARTITION BY file ORDER BY page_id, u, hash))
 SELECT page_id, file, seq, off AS "offset", length, hash, CASE WHEN rot = 0 THEN 'corrupt' ELSE 'ok' END AS status FROM o
 """
+
+JOIN = r"""
+j_docs AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM {docs}),
+j_words AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM j_docs),
+j_sh AS (SELECT DISTINCT rid, array_to_string(ws[i:i+2], ' ') AS s FROM (SELECT rid, ws, unnest(generate_series(1, greatest(1, len(ws) - 2))) AS i FROM j_words WHERE len(ws) > 0)),
+j_n AS (SELECT rid, count(*) AS n FROM j_sh GROUP BY rid),
+j_df AS (SELECT s, count(*) AS df FROM j_sh GROUP BY s),
+j_pre AS (SELECT rid, s, n FROM (SELECT rid, s, n, row_number() OVER (PARTITION BY rid ORDER BY df, s) AS r FROM j_sh JOIN j_df USING (s) JOIN j_n USING (rid))
+          WHERE r <= n - ceil(0.9 * n) + 1),
+j_cand AS (SELECT DISTINCT a.rid AS a, b.rid AS b, a.n AS na, b.n AS nb FROM j_pre a JOIN j_pre b USING (s) WHERE a.rid < b.rid AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)),
+j_link AS (SELECT a, b FROM (SELECT c.a, c.b, c.na, c.nb, count(*) AS o FROM j_cand c JOIN j_sh x ON x.rid = c.a JOIN j_sh y ON y.rid = c.b AND y.s = x.s GROUP BY ALL)
+           WHERE 100 * o >= 90 * (na + nb - o)),
+j_both AS (SELECT a, b FROM j_link UNION SELECT b, a FROM j_link),
+j_reach(a, b) AS (SELECT a, b FROM j_both UNION SELECT r.a, l.b FROM j_reach r JOIN j_both l ON r.b = l.a),
+j_comp AS (SELECT a AS rid, min(d.doc_id) AS least_id FROM j_reach JOIN j_docs d ON d.rid = j_reach.b GROUP BY a),
+joined AS (SELECT rid, doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(least_id, doc_id)) AS component_id
+           FROM j_docs LEFT JOIN j_n USING (rid) LEFT JOIN j_comp USING (rid))
+"""
+
+OP9 = "WITH RECURSIVE " + JOIN.format(docs="documents") + "SELECT doc_id, n_shingles, component_id FROM joined"
