@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronlake.llm import queries_sql as sql
-from heronlake.llm import chat, html_text, licenses, mixing, ngram_join, pivot_dedup, quality_rules, sentencepiece_dropout, warc
+from heronlake.llm import chat, html_text, licenses, mixing, ngram_join, pivot_dedup, quality_model, quality_rules, sentencepiece_dropout, warc
 from heronlake.llm.common import documents
 
 
@@ -16,6 +16,10 @@ def op1_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_dropout.encode(documents(spark, sf_dir))
 
 
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(documents(spark, sf_dir))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -59,6 +63,7 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_dropout": op1_sentencepiece_dropout,
+    "op2_quality_model": op2_quality_model,
     "op3_html_text": op3_html_text,
     "op4_chat_perspectives": op4_chat_perspectives,
     "op5_license_scan": op5_license_scan,
