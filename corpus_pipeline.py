@@ -1,11 +1,16 @@
-"""Document pipeline: quality rules, quality classifier, near-duplicate join, mixing, tokenisation."""
+"""Document pipeline: quality rules, quality classifier, near-duplicate join, mixing, tokenisation.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the
+columns of their input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from heronlake.llm import quality_rules
-from heronlake.llm.common import written
+from heronlake.llm import mixing, ngram_join, quality_model, quality_rules, sentencepiece_dropout
+from heronlake.llm.common import fresh, written
 
 
 def by_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,10 +18,38 @@ def by_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality_rules.filter_quality(docs)
 
 
+def by_quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on these documents, keeps."""
+    return quality_model.filter_classified(docs)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each group of near copies."""
+    joined = ngram_join.ngram_join(docs)
+    (kept,) = fresh(docs, "kept")
+    kept_ids = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept))
+    return docs.join(kept_ids, docs["doc_id"].eqNullSafe(F.col(kept)), "left_semi")
+
+
+def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each time that a document is taken."""
+    return mixing.mixed_rows(docs)
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and lossless of each row of the mix."""
+    return sentencepiece_dropout.encode(docs)
+
+
 STAGES = [
     ("quality_rules", by_quality_rules),
+    ("quality_model", by_quality_model),
+    ("ngram_join", one_of_each_group),
+    ("mixing", to_target_weights),
+    ("sentencepiece", to_tokens),
 ]
 
+#: The classifier is trained and tokens are drawn by keyed digests, which SQL can't express.
 ORACLE_SQL: str | None = None
 
 
