@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("q_text", "q_retrieval", "q_judging", "q_corpus")
+MODULES: tuple[str, ...] = ("q_text", "q_retrieval", "q_judging", "q_corpus", "q_tasks")
 
 
 def load() -> None:
