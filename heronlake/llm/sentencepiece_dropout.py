@@ -35,11 +35,27 @@ MARK = "▁"
 #: For a MARK of the text itself while its word is segmented; no text holds a lone surrogate.
 STAND_IN = "\ud800"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words kept by a worker, over all variants.
+#: Words after which a worker's dictionaries start anew, over all variants.
 KEPT = 600_000
 _M = (1 << 64) - 1
-_NONE = float("inf")
+_NONE = 1 << 40
+_A, _B, _C = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9
 _CUT = re.compile(r" *[^ \n]+| +|\n")
+#: Before a cut word that is kept as it stands.
+_PLAIN = "\0"
+
+
+def cut(text: str) -> list[str]:
+    """The cut words of a text behind its leading blank: those that start with one blank without it, those that start with
+    a line end with it, others behind _PLAIN. Most texts have no runs of blanks, and are cut without a pattern."""
+    if text[:1] != " " and "  " not in text and _PLAIN not in text:
+        return text.replace("\n", " \n").split(" ")
+    return [w[1:] if w[0] == " " and w[1:2] not in ("", " ", "\n") and _PLAIN not in w else _PLAIN + w for w in _CUT.findall(" " + text)]
+
+
+def uncut(word: str) -> str:
+    """What a cut word stands for."""
+    return word[1:] if word[:1] == _PLAIN else word if word[:1] == "\n" else " " + word
 
 
 class Pieces:
@@ -63,7 +79,7 @@ class Pieces:
                 self.bytes.append(b"")
             else:
                 self.ids[piece] = i
-                scores[piece] = -sp.get_score(i)
+                scores[piece] = int(-sp.get_score(i))
                 self.bytes.append(piece.replace(MARK, " ").encode())
         self.rank = scores
 
@@ -74,32 +90,34 @@ class Pieces:
 
 
 def _skips(key: int, start: int, size: int, below: int) -> bool:
-    """Whether the candidate merge that covers ``size`` characters from ``start`` is left out."""
-    x = (key + start * 0x9E3779B97F4A7C15 + size * 0xC2B2AE3D27D4EB4F) & _M
-    x = (x ^ (x >> 31)) * 0xBF58476D1CE4E5B9 & _M
-    return (x >> 32) < below
+    """Whether the candidate merge that covers ``size`` characters from ``start`` is left out: 16 bits of a product
+    of its key and place, against the rate."""
+    return ((key + start * _A + size * _B) * _C >> 44) & 0xFFFF < below
 
 
-def _merged_short(text: str, rank: dict[str, float], below: int, key: int) -> list[str]:
+def _merged_short(text: str, rank: dict[str, int], below: int, key: int) -> list[str]:
     """The agenda as a list of the scores between neighbours, least first: quickest for words of usual length."""
-    symbols, starts = list(text), list(range(len(text)))
-    agenda = [rank.get(text[i : i + 2], _NONE) for i in starts[:-1]]
-    while agenda and (best := min(agenda)) != _NONE:
+    get, symbols, starts = rank.get, list(text), list(range(len(text)))
+    agenda = [get(text[i : i + 2], _NONE) for i in starts[:-1]]
+    while agenda:
+        best = min(agenda)
+        if best == _NONE:
+            break
         i = agenda.index(best)
         pair = symbols[i] + symbols[i + 1]
-        if below and _skips(key, starts[i], len(pair), below):
+        if ((key + starts[i] * _A + len(pair) * _B) * _C >> 44) & 0xFFFF < below:  # as _skips, without the call
             agenda[i] = _NONE
             continue
-        symbols[i : i + 2] = [pair]
-        del agenda[i], starts[i + 1]
+        symbols[i] = pair
+        del symbols[i + 1], agenda[i], starts[i + 1]
         if i < len(agenda):
-            agenda[i] = rank.get(pair + symbols[i + 1], _NONE)
+            agenda[i] = get(pair + symbols[i + 1], _NONE)
         if i:
-            agenda[i - 1] = rank.get(symbols[i - 1] + pair, _NONE)
+            agenda[i - 1] = get(symbols[i - 1] + pair, _NONE)
     return symbols
 
 
-def _merged_long(text: str, rank: dict[str, float], below: int, key: int) -> list[str]:
+def _merged_long(text: str, rank: dict[str, int], below: int, key: int) -> list[str]:
     """The agenda as a heap; the same symbols as the list gives, in n log n steps."""
     n = len(text)
     symbols: list[str | None] = list(text)
@@ -110,7 +128,7 @@ def _merged_long(text: str, rank: dict[str, float], below: int, key: int) -> lis
         _, i, j, pair = heapq.heappop(agenda)
         if symbols[i] is None or symbols[j] is None or after[i] != j or len(symbols[i]) + len(symbols[j]) != len(pair):
             continue  # one of the two has been merged meanwhile
-        if below and _skips(key, i, len(pair), below):
+        if _skips(key, i, len(pair), below):
             continue
         symbols[i], symbols[j] = pair, None
         k = after[i] = after[j]
@@ -127,8 +145,13 @@ def segmented(word: str, pieces: Pieces, rate: float, key: int) -> list[int]:
     """Ids of one cut word, whose blanks are blanks."""
     text = (word.replace(MARK, STAND_IN) if MARK in word else word).replace(" ", MARK)
     merged = _merged_short if len(text) <= 32 else _merged_long
+    symbols = merged(text, pieces.rank, int(rate * (1 << 16)), key)
+    try:
+        return [pieces.ids[s] for s in symbols]
+    except KeyError:
+        pass  # some go by bytes
     out: list[int] = []
-    for s in merged(text, pieces.rank, int(rate * (1 << 32)), key):
+    for s in symbols:
         if (found := pieces.ids.get(s)) is not None:
             out.append(found)
         else:
@@ -137,19 +160,24 @@ def segmented(word: str, pieces: Pieces, rate: float, key: int) -> list[int]:
 
 
 class Words(dict):
-    """Ids of words under one variant, as bytes of 32-bit numbers; emptied when it has grown to ``most``."""
+    """Ids of words under one variant, as bytes of 32-bit numbers. When it has grown to ``most`` it starts anew, and the
+    words before stay at hand until it has grown again: what is looked up often is never lost."""
 
     def __init__(self, pieces: Pieces, rate: float, seed: int, variant: int, most: int):
         super().__init__()
         self.pieces, self.rate, self.salt, self.most = pieces, rate, (seed * 1_000_003 + variant) & _M, most
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        import xxhash
+        out = self.older.get(word)
+        if out is None:
+            import xxhash
 
-        ids = segmented(word, self.pieces, self.rate, xxhash.xxh3_64_intdigest(word.encode(), seed=self.salt))
-        out = array("i", ids).tobytes()
+            ids = segmented(uncut(word), self.pieces, self.rate, xxhash.xxh3_64_intdigest(word.encode(), seed=self.salt))
+            out = array("i", ids).tobytes()
         if len(word) <= 48:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[word] = out
         return out
@@ -166,13 +194,13 @@ class Encoder:
 
         if not text:
             return b""
-        cut = _CUT.findall(" " + text)
+        words = cut(text)
         start = xxhash.xxh3_64_intdigest(str(doc_id).encode(), seed=self.seed) % self.variants
         if self.variants == 1:
-            return b"".join(map(self.words[0].__getitem__, cut))
-        out: list[bytes] = [b""] * len(cut)
+            return b"".join(map(self.words[0].__getitem__, words))
+        out: list[bytes] = [b""] * len(words)
         for r in range(self.variants):
-            out[r :: self.variants] = map(self.words[(start + r) % self.variants].__getitem__, cut[r :: self.variants])
+            out[r :: self.variants] = map(self.words[(start + r) % self.variants].__getitem__, words[r :: self.variants])
         return b"".join(out)
 
 
