@@ -141,6 +141,12 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def filter_quality(df: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
-    """The rows of ``df`` that pass, with the columns of ``df``."""
+    """The rows of ``df`` that pass, with the columns of ``df``.
+
+    The optimizer moves filters below projections by copying what they refer to, which would copy the chain of features
+    many times over; a row number beside the verdict, of which the filter makes use too, keeps the filter in its place.
+    """
     d, names = judged(df, text_col, rules)
-    return d.where(F.col(names["kept"])).select(*[d[c] for c in df.columns])
+    (mark,) = fresh(d, "mark")
+    d = d.withColumn(mark, F.monotonically_increasing_id())
+    return d.where(F.col(names["kept"]) & (F.col(mark) >= 0)).select(*[d[c] for c in df.columns])
