@@ -167,6 +167,15 @@ def snk_cache_gc(s, d):
     return s.read.parquet(base).select("epoch").distinct().agg(F.lit(removed).alias("removed"), F.count(F.lit(1)).cast("int").alias("left_over"))
 
 
+@query("snk_code_sync", "SELECT 1::INT AS first_time, 0::INT AS again, count(*) AS n FROM labels")
+def snk_code_sync(s, d):
+    """Files beside a model are copied to where it was tuned, if they aren't there."""
+    base = scratch(s, "sync")
+    table(s, d, "labels").coalesce(1).write.parquet(f"{base}/a")
+    first, again = (io.copy_missing(s, f"{base}/a", f"{base}/b", ".parquet") for _ in range(2))
+    return s.read.parquet(f"{base}/b").agg(F.lit(first).alias("first_time"), F.lit(again).alias("again"), F.count(F.lit(1)).alias("n"))
+
+
 @query("snk_snapshot", "SELECT doc_id, quality FROM labels")
 def snk_snapshot(s, d):
     path = scratch(s, "snapshot")

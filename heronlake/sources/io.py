@@ -134,3 +134,17 @@ def drop_old(spark: SparkSession, base: str, keep_from: int) -> int:
             fs.delete(status.getPath(), True)
             n += 1
     return n
+
+
+def copy_missing(spark: SparkSession, source: str, target: str, suffix: str) -> int:
+    """Copies files of ``source`` whose names end in ``suffix`` and that ``target`` lacks; the number copied."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    fa, fb, n = a.getFileSystem(conf), b.getFileSystem(conf), 0
+    fb.mkdirs(b)
+    for status in fa.listStatus(a):
+        name = status.getPath().getName()
+        to = jvm.org.apache.hadoop.fs.Path(b, name)
+        if name.endswith(suffix) and not fb.exists(to):
+            n += bool(jvm.org.apache.hadoop.fs.FileUtil.copy(fa, status.getPath(), fb, to, False, conf))
+    return n
