@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from heronlake.llm import mixing, ngram_join, quality_model, quality_rules, sentencepiece_dropout
 from heronlake.llm.common import fresh, written
 
+#: Near copies share this percentage of their distinct shingles of so many words; op9's own contract is another one.
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
+
 
 def by_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
@@ -25,7 +29,7 @@ def by_quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group of near copies."""
-    joined = ngram_join.ngram_join(docs)
+    joined = ngram_join.ngram_join(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
     (kept,) = fresh(docs, "kept")
     kept_ids = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept))
     return docs.join(kept_ids, docs["doc_id"].eqNullSafe(F.col(kept)), "left_semi")

@@ -7,7 +7,7 @@ from collections import Counter
 import corpus_pipeline
 from heronlake.llm import mixing
 from tests.conftest import SF
-from tests.llm.test_ops import brute_components, brute_join
+from tests.llm.test_ops import brute_components, brute_join, near_copies
 
 
 def test_stages(spark):
@@ -41,3 +41,21 @@ def test_stages(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids", "lossless"] and out.count() > 0
+
+
+def brute_groups(rows):
+    """Least position of each row's group, by brute force at 5 words and 0.8; rows: (id, text)."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    links = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    return brute_components(range(len(rows)), links)
+
+
+def test_near_copies_at_five_words(spark):
+    rows = near_copies()
+    groups = brute_groups(rows)
+    assert set(groups.values()) != set(brute_components([i for i, _ in rows], brute_join(rows)[1]).values())
+    kept = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(groups.values()))
