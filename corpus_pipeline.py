@@ -28,11 +28,14 @@ def by_quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near copies."""
-    joined = ngram_join.ngram_join(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
-    (kept,) = fresh(docs, "kept")
-    kept_ids = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept))
-    return docs.join(kept_ids, docs["doc_id"].eqNullSafe(F.col(kept)), "left_semi")
+    """The row of least id of each group of near copies; of rows with that id one, and null ids come last."""
+    row, first = fresh(docs, "row", "first")
+    # rows are told apart by a key that is written, as ids may be null or repeated
+    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()), "join-rows")
+    joined = ngram_join.ngram_join(keyed, id_col=row, n=NEAR_WORDS, percent=NEAR_PERCENT).select(F.col("doc_id").alias(row), F.col("component_id").alias(first))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    groups = joined.join(keyed.select(row, "doc_id"), row).groupBy(first).agg(F.min(order)["row"].alias(row))
+    return keyed.join(groups.select(row), row, "left_semi").drop(row)
 
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from heronlake.llm import mixing
 from tests.conftest import SF
@@ -59,3 +61,16 @@ def test_near_copies_at_five_words(spark):
     assert set(groups.values()) != set(brute_components([i for i, _ in rows], brute_join(rows)[1]).values())
     kept = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(groups.values()))
+
+
+def test_one_row_of_each_group(spark):
+    """Rows of one id, null ids, and components of null ids alone beside null ids in other groups."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(7, a), (7, a), (7, a), (8, a + " z"), (None, a), (None, b), (None, b + " z"), (None, c), (3, c), (3, c + " z"), (4, ""), (4, ""), (None, None), (None, None)]
+    groups = brute_groups(rows)
+    kept = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)), SF)
+    assert kept.columns == ["doc_id", "text", "row"]
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(got) == len(set(groups.values())) == 7
+    assert sorted(got, key=str) == sorted([(7, a), (3, next(t for i, t in got if i == 3)), (4, ""), (4, ""), (None, None), (None, None), (None, next(t for i, t in got if i is None and t))], key=str)
+    assert {t for i, t in got if i == 3} <= {c, c + " z"} and {t for i, t in got if i is None and t} <= {b, b + " z"}
