@@ -6,10 +6,11 @@ skips it for good. At rate 0 the ids are the library's own. Skips give other, lo
 text, and every one of them decodes to it.
 
 A piece never crosses the start of a run of blanks or a line end, so texts are cut there and cut words are
-segmented by themselves. The key of a word's hash comes from the seed, the word and one of ``VARIANTS``
-numbers, which follow each other along a text from a start drawn from seed and id; so a word has up to
-VARIANTS segmentations, and they are kept in bounded dictionaries. Nothing depends on partitioning or order:
-reruns, and reruns of lost tasks, agree.
+segmented by themselves. Skips are drawn for each occurrence of a word, from the seed, the document's id and the
+word's place in the text: a draw says how many candidates are merged before one is skipped, which is what skipping
+each at the rate comes to. What a word becomes when given candidates are skipped is kept in bounded tables, so the
+draws are fresh and the work is not. Long words aren't kept; a hash skips each of their candidates. Nothing depends
+on partitioning or order: reruns, and reruns of lost tasks, agree.
 
 Defined cases: null and empty texts have no tokens and decode to an empty text; U+2581, the mark that
 stands for a blank in pieces, is encoded by its bytes so that it isn't taken for one; characters that no piece has
@@ -28,15 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-VARIANTS = 4
 RATE = 0.1
 SEED = 29
 MARK = "▁"
 #: For a MARK of the text itself while its word is segmented; no text holds a lone surrogate.
 STAND_IN = "\ud800"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words after which a worker's dictionaries start anew, over all variants.
+#: Segmentations after which a worker's tables start anew.
 KEPT = 600_000
+#: Longer words aren't kept.
+LONG = 48
 _M = (1 << 64) - 1
 _NONE = 1 << 40
 _A, _B, _C = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9
@@ -90,13 +92,16 @@ class Pieces:
 
 
 def _skips(key: int, start: int, size: int, below: int) -> bool:
-    """Whether the candidate merge that covers ``size`` characters from ``start`` is left out: 16 bits of a product
-    of its key and place, against the rate."""
-    return ((key + start * _A + size * _B) * _C >> 44) & 0xFFFF < below
+    """Whether the candidate merge that covers ``size`` characters from ``start`` is left out: 16 bits of its key and
+    place, mixed so that places are independent of each other, against the rate."""
+    x = (key + start * _A + size * _B) & _M
+    x = (x ^ x >> 30) * _C & _M
+    x = (x ^ x >> 27) * _A & _M
+    return x >> 44 & 0xFFFF < below
 
 
 def _merged_short(text: str, rank: dict[str, int], below: int, key: int) -> list[str]:
-    """The agenda as a list of the scores between neighbours, least first: quickest for words of usual length."""
+    """The agenda as a list of the scores between neighbours, least first."""
     get, symbols, starts = rank.get, list(text), list(range(len(text)))
     agenda = [get(text[i : i + 2], _NONE) for i in starts[:-1]]
     while agenda:
@@ -105,7 +110,7 @@ def _merged_short(text: str, rank: dict[str, int], below: int, key: int) -> list
             break
         i = agenda.index(best)
         pair = symbols[i] + symbols[i + 1]
-        if ((key + starts[i] * _A + len(pair) * _B) * _C >> 44) & 0xFFFF < below:  # as _skips, without the call
+        if _skips(key, starts[i], len(pair), below):
             agenda[i] = _NONE
             continue
         symbols[i] = pair
@@ -141,11 +146,34 @@ def _merged_long(text: str, rank: dict[str, int], below: int, key: int) -> list[
     return [s for s in symbols if s is not None]
 
 
-def segmented(word: str, pieces: Pieces, rate: float, key: int) -> list[int]:
-    """Ids of one cut word, whose blanks are blanks."""
-    text = (word.replace(MARK, STAND_IN) if MARK in word else word).replace(" ", MARK)
-    merged = _merged_short if len(text) <= 32 else _merged_long
-    symbols = merged(text, pieces.rank, int(rate * (1 << 16)), key)
+def _merged_at(text: str, rank: dict[str, int], skipped: tuple[int, ...]) -> tuple[list[str], int]:
+    """Symbols when the candidates of these places in the order of coming up are skipped, and how many came up."""
+    get, symbols, seen = rank.get, list(text), 0
+    agenda = [get(text[i : i + 2], _NONE) for i in range(len(text) - 1)]
+    while agenda:
+        best = min(agenda)
+        if best == _NONE:
+            break
+        i = agenda.index(best)
+        seen += 1
+        if seen - 1 in skipped:
+            agenda[i] = _NONE
+            continue
+        symbols[i] = pair = symbols[i] + symbols[i + 1]
+        del symbols[i + 1], agenda[i]
+        if i < len(agenda):
+            agenda[i] = get(pair + symbols[i + 1], _NONE)
+        if i:
+            agenda[i - 1] = get(symbols[i - 1] + pair, _NONE)
+    return symbols, seen
+
+
+def _marked(word: str) -> str:
+    """A cut word's text with marks for its blanks."""
+    return (word.replace(MARK, STAND_IN) if MARK in word else word).replace(" ", MARK)
+
+
+def _ids(symbols: list[str], pieces: Pieces) -> list[int]:
     try:
         return [pieces.ids[s] for s in symbols]
     except KeyError:
@@ -159,48 +187,107 @@ def segmented(word: str, pieces: Pieces, rate: float, key: int) -> list[int]:
     return out
 
 
+def segmented(word: str, pieces: Pieces, rate: float, key: int) -> list[int]:
+    """Ids of one cut word, whose blanks are blanks."""
+    text = _marked(word)
+    merged = _merged_short if len(text) <= 32 else _merged_long
+    return _ids(merged(text, pieces.rank, int(rate * (1 << 16)), key), pieces)
+
+
 class Words(dict):
-    """Ids of words under one variant, as bytes of 32-bit numbers. When it has grown to ``most`` it starts anew, and the
-    words before stay at hand until it has grown again: what is looked up often is never lost."""
+    """Number of the plain segmentation of a word; ``skips`` has that of the one that skips one more candidate. By number:
+    ids as bytes of 32-bit numbers, and how many candidates came up (none for words that aren't kept)."""
 
-    def __init__(self, pieces: Pieces, rate: float, seed: int, variant: int, most: int):
+    def __init__(self, pieces: Pieces):
         super().__init__()
-        self.pieces, self.rate, self.salt, self.most = pieces, rate, (seed * 1_000_003 + variant) & _M, most
-        self.older: dict[str, bytes] = {}
+        self.pieces, self.skips = pieces, _Skips(self)
+        self.restart()
+
+    def restart(self) -> None:
+        import numpy as np
+
+        self.clear()
+        self.skips.clear()
+        self.made: list[tuple[str, tuple[int, ...]]] = []
+        self.ids, self.seen = np.empty(1024, dtype=object), np.zeros(1024, dtype=np.int64)
+
+    def add(self, word: str, skipped: tuple[int, ...]) -> int:
+        import numpy as np
 
-    def __missing__(self, word: str) -> bytes:
-        out = self.older.get(word)
-        if out is None:
-            import xxhash
+        n = len(self.made)
+        if n == len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(n, dtype=object)])
+            self.seen = np.concatenate([self.seen, np.zeros(n, dtype=np.int64)])
+        if len(word) <= LONG:
+            symbols, self.seen[n] = _merged_at(_marked(uncut(word)), self.pieces.rank, skipped)
+            self.ids[n] = array("i", _ids(symbols, self.pieces)).tobytes()
+        else:
+            self.ids[n], self.seen[n] = None, 0
+        self.made.append((word, skipped))
+        return n
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = self.add(word, ())
+        return n
+
+
+class _Skips(dict):
+    def __init__(self, words: Words):
+        super().__init__()
+        self.words = words
 
-            ids = segmented(uncut(word), self.pieces, self.rate, xxhash.xxh3_64_intdigest(word.encode(), seed=self.salt))
-            out = array("i", ids).tobytes()
-        if len(word) <= 48:
-            if len(self) >= self.most:
-                self.older = dict(self)
-                self.clear()
-            self[word] = out
-        return out
+    def __missing__(self, key: int) -> int:
+        word, skipped = self.words.made[key >> 8]
+        self[key] = n = self.words.add(word, (*skipped, key & 255))
+        return n
 
 
 class Encoder:
-    def __init__(self, model: str = MODEL, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, kept: int = KEPT):
-        self.pieces, self.seed, self.variants = Pieces(model), seed, variants
-        self.words = [Words(self.pieces, rate, seed, v, kept // variants) for v in range(variants)]
+    def __init__(self, model: str = MODEL, rate: float = RATE, seed: int = SEED, kept: int = KEPT):
+        self.pieces, self.rate, self.seed, self.kept = Pieces(model), rate, seed, kept
+        self.words = Words(self.pieces)
+
+    def _merges(self, key: int, places, turn: int):
+        """For words at these places, how many candidates are merged before the next one is skipped."""
+        import numpy as np
+
+        if self.rate >= 1:
+            return np.zeros(len(places), dtype=np.int64)
+        x = np.uint64((key + turn * _B) & _M) + places.astype(np.uint64) * np.uint64(_A)
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+        u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        return np.minimum(np.log1p(-u) / np.log1p(-self.rate), 1 << 20).astype(np.int64)
 
     def encode(self, doc_id, text: str | None) -> bytes:
         """Ids as bytes of 32-bit numbers."""
+        import numpy as np
         import xxhash
 
         if not text:
             return b""
-        words = cut(text)
-        start = xxhash.xxh3_64_intdigest(str(doc_id).encode(), seed=self.seed) % self.variants
-        if self.variants == 1:
-            return b"".join(map(self.words[0].__getitem__, words))
-        out: list[bytes] = [b""] * len(words)
-        for r in range(self.variants):
-            out[r :: self.variants] = map(self.words[(start + r) % self.variants].__getitem__, words[r :: self.variants])
+        words, table = cut(text), self.words
+        if len(table.made) >= self.kept:
+            table.restart()
+        key = xxhash.xxh3_64_intdigest(str(doc_id).encode("utf-8", "surrogatepass"), seed=self.seed & _M)
+        node = np.fromiter(map(table.__getitem__, words), dtype=np.int64, count=len(words))
+        if self.rate > 0:
+            places = np.arange(len(words))
+            at = self._merges(key, places, 0)
+            turn = 0
+            while True:
+                some = np.flatnonzero(at < table.seen[node[places]])
+                if not len(some):
+                    break
+                places, at = places[some], at[some]
+                node[places] = np.fromiter(map(table.skips.__getitem__, (node[places] << 8 | at).tolist()), dtype=np.int64, count=len(some))
+                turn += 1
+                at = at + 1 + self._merges(key, places, turn)
+        out = table.ids[node].tolist()
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    out[i] = array("i", segmented(uncut(words[i]), self.pieces, self.rate, xxhash.xxh3_64_intdigest(words[i].encode("utf-8", "surrogatepass"), seed=(key + i * _A) & _M))).tobytes()
         return b"".join(out)
 
 
@@ -214,7 +301,7 @@ def _encoder(*args) -> Encoder:
     return _encoders[args]
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, check: bool = True) -> DataFrame:
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, rate: float = RATE, seed: int = SEED, check: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids, and with ``check`` lossless: whether the ids decode to the text."""
     d = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     fields = [d.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
@@ -224,7 +311,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
         import numpy as np
         import pyarrow as pa
 
-        enc = _encoder(model, rate, seed, variants)
+        enc = _encoder(model, rate, seed)
         for batch in batches:
             keys = batch.column(0)
             for at in range(0, batch.num_rows, 256):  # few at a time, as texts may be very long
@@ -249,7 +336,7 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: s
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        pieces = _encoder(model, 0.0, 0, 1).pieces
+        pieces = _encoder(model, 0.0, 0).pieces
         for batch in batches:
             texts = pa.array([pieces.decode(x or ()) for x in batch.column(1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=schema.names)

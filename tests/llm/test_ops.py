@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -294,3 +295,26 @@ def test_warc_round_trip_and_audit(spark, tmp_path):
     assert found == {k for k in x.keys() | y.keys() if x.get(k) != y.get(k)} and found
     assert warc.audit(leaves_a, leaves_a).count() == 0
     assert warc.fixity(a.limit(0), a.limit(0)).count() == 0
+
+
+def test_dropout_draws_each_occurrence():
+    enc, word, n = sentencepiece_dropout.Encoder(), "understanding", 20_000
+    rng = random.Random(8)
+    # as often as the agenda gives each segmentation under fresh keys, across documents and within one
+    count = lambda xs: {x: c / n for x, c in Counter(xs).items()}
+    expected = count(tuple(sentencepiece_dropout.segmented(" " + word, enc.pieces, 0.1, rng.getrandbits(64))) for _ in range(n))
+    documents = count(tuple(np.frombuffer(enc.encode(i, word), dtype="<i4").tolist()) for i in range(n))
+    whole = " ".join([word] * n)
+    ids = np.frombuffer(enc.encode("one", whole), dtype="<i4").tolist()
+    assert enc.pieces.decode(ids) == whole
+    starts = [i for i, x in enumerate(ids) if enc.pieces.bytes[x][:1] == b" "] + [len(ids)]
+    places = count(tuple(ids[a:b]) for a, b in zip(starts, starts[1:]))
+    assert len(expected) > 20
+    for got in (documents, places):
+        assert len(got) > 20 and all(abs(got.get(k, 0) - expected.get(k, 0)) < 0.02 for k in got.keys() | expected.keys())
+    assert not sentencepiece_dropout.Encoder(rate=1.0).words.skips and len(np.frombuffer(sentencepiece_dropout.Encoder(rate=1.0).encode(1, word), dtype="<i4")) == len(word) + 1
+    text = " ".join([word * 5, word] * 200)  # long words, and tables that start anew
+    small = sentencepiece_dropout.Encoder(kept=3)
+    for i in range(3):
+        assert small.pieces.decode(np.frombuffer(small.encode(i, text), dtype="<i4").tolist()) == text
+        assert small.encode(i, text) == sentencepiece_dropout.Encoder().encode(i, text)
