@@ -2,10 +2,11 @@
 
 A page's markup is stripped to lines, one for each block of it. Lines get a length; those of parts that hold no
 article (menus, site headers, footers, sidebars, notices, adverts, forms, comments, hidden parts, told by element,
-class, id or role) have none. Lengths are summed over windows of ``WINDOW`` lines. Text starts where the sum surges
-to ``SURGE`` and ends where it dives to nothing, so short lines inside or at the edge of an article stay. Where
-a page marks its article or main part, only lines there have a length, and each is enough for a surge; elsewhere
-words of links don't count, and of several stretches those with at least ``SHARE`` of the longest's text stay.
+class, id or role) are taken out, and what stands before and behind them is neighbouring text. Lengths are summed over
+windows of ``WINDOW`` lines. Text starts where the sum first surges to ``SURGE``, with the short lines right before it, and
+ends where it dives to nothing for the last time behind a surge; all lines between stay, short and linked ones
+included. Words of links don't count for the sums. A page on which nothing surges is kept whole. Where a page marks its
+article or main part, all lines there are kept and no others.
 
 Defined cases: null or empty html, and pages without text, give an empty text; unclosed, crossed and unknown tags
 are put up with, as are texts of any length; repeated rows are extracted one by one; null ids and urls are carried;
@@ -24,7 +25,6 @@ from pyspark.sql import types as T
 
 WINDOW = 3
 SURGE = 80
-SHARE = 0.5
 
 #: Elements without a closing tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -146,45 +146,29 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
     return out
 
 
-def stretches(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
-    """Half-open ranges of lines from a surge of the window sums to the next dive."""
+def span(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
+    """Half-open range of lines from the first surge of the window sums to the last dive; all lines if nothing surges."""
     n = len(lengths)
     sums = [sum(lengths[i : i + window]) for i in range(n)]
-    out, i = [], 0
-    while i < n:
-        if sums[i] < surge or not lengths[i]:
-            i += 1
-            continue
-        start = i
-        while start and lengths[start - 1] and (not out or start > out[-1][1]):
-            start -= 1  # a surge seen late: the short lines right before it belong to it
-        end = i
-        while end < n and lengths[end]:
-            end += 1
-        # a gap shorter than a window isn't a dive if the sum stays up behind it
-        while end < n and any(lengths[end : end + window - 1]) and sums[end] >= surge:
-            end += 1
-            while end < n and lengths[end]:
-                end += 1
-        out.append((start, end))
-        i = end
-    return out
+    surges = [i for i in range(n) if sums[i] >= surge and lengths[i]]
+    if not surges:
+        return 0, n
+    start, end = surges[0], surges[-1]
+    while start and lengths[start - 1]:
+        start -= 1  # a surge seen late: the short lines right before it belong to it
+    while end < n and sums[end]:
+        end += 1
+    return start, end
 
 
 def main_text(html: str | None) -> str:
-    lines = lines_of(html or "")
-    if any(marked and not dropped and text for text, _, dropped, marked in lines):
-        lengths = [max(len(text), SURGE) if marked and not dropped and text else 0 for text, _, dropped, marked in lines]
-        kept = stretches(lengths)
+    lines = [x for x in lines_of(html or "") if x[0] and not x[2]]
+    if any(marked for *_, marked in lines):
+        lines = [x for x in lines if x[3]]
     else:
-        lengths = [0 if dropped else max(0, len(text) - linked) for text, linked, dropped, _ in lines]
-        found = stretches(lengths)
-        if not found:  # a page of few words has no surge; its longest line is all there is
-            best = max(lengths, default=0)
-            found = [(i, i + 1) for i, x in enumerate(lengths) if x and x == best][:1]
-        sums = [sum(lengths[a:b]) for a, b in found]
-        kept = [r for r, s in zip(found, sums) if s >= SHARE * max(sums)]
-    return "\n".join(lines[i][0] for a, b in kept for i in range(a, b) if lengths[i])
+        start, end = span([max(0, len(text) - linked) for text, linked, *_ in lines])
+        lines = lines[start:end]
+    return "\n".join(x[0] for x in lines)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

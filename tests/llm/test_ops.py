@@ -318,3 +318,15 @@ def test_dropout_draws_each_occurrence():
     for i in range(3):
         assert small.pieces.decode(np.frombuffer(small.encode(i, text), dtype="<i4").tolist()) == text
         assert small.encode(i, text) == sentencepiece_dropout.Encoder().encode(i, text)
+
+
+def test_html_drops_no_article_text():
+    line = lambda n, c="x": f"<p>{c * n}</p>"
+    ad, box = '<div class="advert">Buy now, as long as there is any of it left.</div>', '<div class="newsletter">Your address, please.</div>'
+    lengths = lambda page: [len(x) for x in html_text.main_text(page).split("\n")]
+    for inner, expected in (
+        (line(200) + ad + box + line(90), [200, 90]), (line(200) + ad + line(30) + line(20), [200, 30, 20]), (line(30) + line(31), [30, 31]),
+        (line(200) + "<p><a href=x>" + "y" * 25 + "</a></p>" + line(90), [200, 25, 90]), (line(200) + "<p><a href=x>" + "y" * 25 + "</a></p>" + line(30), [200, 25, 30]),
+        (line(500) + "<ul>" + "<li><a href=x>yyyy</a></li>" * 4 + "</ul>" + line(100), [500, 4, 4, 4, 4, 100]),
+    ):
+        assert lengths(f'<body><nav><a href=x>Home</a></nav><div class="content">{inner}</div><footer>(c)</footer></body>') == expected
