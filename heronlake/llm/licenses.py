@@ -1,6 +1,7 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-Blocks are a document's sentences (split after ``.``, ``!`` or ``?`` and white space); a block meets a
+Blocks are a document's sentences (split after ``.``, ``!`` or ``?`` and white space, but not between two words
+between which a template's own wording has such a place, as "v. 2.0" has); a block meets a
 template if it contains at least ``THRESHOLD`` of the template's distinct words. The join goes as such joins
 do: words are put in one global order, rarest in the corpus first; a template is indexed under its first
 |T| - need + 1 words only, one of which any match must contain; a block shorter than ``need``, or whose
@@ -21,7 +22,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heronlake.llm.common import written
+from heronlake.llm.common import WS, written
 
 #: Phrases that are looked for word by word. Fixed values.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -56,6 +57,14 @@ def _phrase(words: str) -> str:
     return rf"(?i)(?<![{_IN}])" + _SEP.join(words.split()) + rf"(?![{_IN}])"
 
 
+def _cuts(templates) -> str:
+    """Where blocks end: the white space behind a sentence, but for places that stand in a template's wording."""
+    inside = sorted({m.groups() for _, t in templates for m in re.finditer(r"([0-9A-Za-z]+)[^0-9A-Za-z\s]*([.!?])\s+(?=[^0-9A-Za-z]*([0-9A-Za-z]+))", t)})
+    words = [rf"(?<=(?<![{_IN}]){a}[^{_IN}\x20\x09-\x0D]{{0,8}}[{end}]){{ws}}[^{_IN}]{{0,8}}{b}(?![{_IN}])" for a, end, b in inside]
+    kept = "".join(rf"(?!(?i:{w.replace('{ws}', WS + '+')}))" for w in words)
+    return rf"(?<=[.!?]){kept}[\x20\x09-\x0D]+"
+
+
 def _count_words(c: Column) -> Column:
     return F.regexp_count(c, F.lit(f"[{_IN}]+"))
 
@@ -73,7 +82,7 @@ def scanned(df: DataFrame, id_col: str, text_col: str, templates, threshold: flo
     for _, t in templates:
         ws = template_words(t)
         enough = enough | (F.size(F.array_intersect("hits", F.array(*[F.lit(w) for w in ws]))) >= need(len(ws), threshold))
-    blocks = F.split("t", r"(?<=[.!?])[\x20\x09-\x0D]+")
+    blocks = F.split("t", _cuts(templates))
     d = d.withColumn("blocks", F.when(enough, F.transform(blocks, lambda b: F.array_intersect(F.split(F.lower(b), _SEP), known))))
     some = F.col("t").rlike("|".join(f"(?:{_phrase(p)})" for p, _ in PHRASES))
     parts = [f"p{i}" for i in range(len(PHRASES))]

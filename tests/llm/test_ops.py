@@ -330,3 +330,14 @@ def test_html_drops_no_article_text():
         (line(500) + "<ul>" + "<li><a href=x>yyyy</a></li>" * 4 + "</ul>" + line(100), [500, 4, 4, 4, 4, 100]),
     ):
         assert lengths(f'<body><nav><a href=x>Home</a></nav><div class="content">{inner}</div><footer>(c)</footer></body>') == expected
+
+
+def test_every_template_gets_its_own_label(spark):
+    rows = [(i, f"Some words before. {t}. Some words behind.") for i, (_, t) in enumerate(licenses.TEMPLATES)]
+    rows += [(100, "See the Mozilla Public License, v.\n  2.0! This Source Code Form is subject to it."), (101, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 3.0")]
+    r = {x.doc_id: x for x in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (label, _) in enumerate(licenses.TEMPLATES):
+        assert label in r[i].labels and r[i].score == 1.0
+    assert r[100].labels == [] and r[101].labels == []
+    own = licenses.license_scan(spark.createDataFrame([(1, "Say no. You may not copy this."), (2, "Say no. It may. Not copy this you.")], "doc_id long, text string"), templates=(("own", "No. You may not copy this"),))
+    assert {x.doc_id: x.labels for x in own.collect()} == {1: ["own"], 2: []}
