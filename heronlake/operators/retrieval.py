@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heronlake.sources.scratch import scratch
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product in doubles."""
@@ -24,20 +27,40 @@ def top(run: DataFrame, k: int, keys=("qid",)) -> DataFrame:
     return ranked(run, keys).where(F.col("rank") <= k)
 
 
+#: Queries that are scored together.
+BLOCK = 10_000
+
+
 def dense_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """qid, doc_id, score of all queries (qid, q) against all documents (doc_id, d), in blocks: the queries are few,
-    their number is checked, and documents stay where they are."""
-    if queries.count() > 10_000:
-        raise ValueError("more than 10,000 queries: score them in parts")
-    return docs.join(F.broadcast(queries)).where("qid <> doc_id").select("qid", "doc_id", dot(F.col("q"), F.col("d")).alias("score"))
+    """qid, doc_id, score of all queries (qid, q) against all documents (doc_id, d): a block of queries goes to where the
+    documents are, more of them meet the documents' partitions block by block."""
+    n = queries.count()
+    qs = F.broadcast(queries) if n <= BLOCK else queries.repartition(-(-n // BLOCK))
+    return docs.join(qs).where("qid <> doc_id").select("qid", "doc_id", dot(F.col("q"), F.col("d")).alias("score"))
 
 
 def dense_topk_blocks(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """As ``top(dense_scores(...))``, with matrix products over Arrow batches: each batch gives its k best, then these are
-    ranked. A query needn't have k documents."""
-    qs = queries.orderBy("qid").limit(10_001).collect()
-    if len(qs) > 10_000:
-        raise ValueError("more than 10,000 queries: score them in parts")
+    ranked. A query needn't have k documents. The driver holds one block of queries at a time; where there are several,
+    what each block gives is written."""
+    spark, out = docs.sparkSession, None
+    rows = queries.orderBy("qid").toLocalIterator()
+    block = list(islice(rows, BLOCK))
+    while block:
+        following = list(islice(rows, BLOCK))
+        found, matrix = _topk_of_block(block, docs, k)
+        if following or out is not None:
+            path = scratch(spark, "dense-block")
+            found.write.parquet(path)
+            matrix.destroy()
+            found = spark.read.schema(found.schema).parquet(path)
+        out, block = found if out is None else out.unionByName(found), following
+    # a qid that stands more than once may have rows in two blocks
+    return top(out if out is not None else spark.createDataFrame([], "qid long, doc_id long, score double"), k)
+
+
+def _topk_of_block(qs: list, docs: DataFrame, k: int):
+    """The k best documents of each Arrow batch, then of all, for these queries; and the broadcast that they are in."""
     import numpy as np
 
     ids = [r.qid for r in qs]
@@ -55,7 +78,7 @@ def dense_topk_blocks(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             out = pd.DataFrame({"qid": np.repeat(ids, m), "doc_id": doc[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()})
             yield out[np.isfinite(out["score"])]
 
-    return top(docs.select("doc_id", "d").mapInPandas(run, "qid long, doc_id long, score double"), k)
+    return top(docs.select("doc_id", "d").mapInPandas(run, "qid long, doc_id long, score double"), k).select("qid", "doc_id", "score"), matrix
 
 
 def postings(df: DataFrame, id_col: str, tokens: Column, weight=lambda tf: F.log1p(tf)) -> DataFrame:
