@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space as the contracts define it, as a Java character class.
 WS = r"[\x20\x09-\x0D]"
+#: The characters of that class.
+BLANKS = " \t\n\x0b\x0c\r"
 #: A word is a run of other characters.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -32,7 +34,8 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is absent (local tests) a temporary folder of this machine is made.
+    Where that is absent, the session's checkpoint folder; on a local master alone, where driver and executors are one
+    process, a temporary folder of this machine is made. Other masters have to name one.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
@@ -40,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
         existing = sc._jsc.sc().getCheckpointDir()
         if existing.isDefined():
             return existing.get()
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="heronlake-")
         sc.setCheckpointDir(path)
     return path

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heronlake.llm.common import WS, fresh, text_or_empty, written
+from heronlake.llm.common import BLANKS, WS, fresh, text_or_empty, written
 
 BUCKETS = 4096
 WEIGHTS = (5, 2, 1)
@@ -43,7 +43,7 @@ def sized(df: DataFrame, id_col: str, source_col: str, text_col: str, seed: int
     """``df`` with size, sampling key, key range, source key and text digest; the names of those columns."""
     names = dict(zip(("words", "sym", "size", "key", "bucket", "source", "tie"), fresh(df, "words", "sym", "size", "key", "bucket", "source", "tie")))
     t = text_or_empty(text_col)
-    trimmed = F.expr(f"trim(BOTH ' \\t\\n\\u000B\\f\\r' FROM coalesce(CAST(`{text_col}` AS STRING), ''))")
+    trimmed = F.btrim(t, F.lit(BLANKS))
     d = df.withColumn(names["size"], F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, WS + "+"))).cast("long"))
     d = d.withColumn(names["sym"], F.length(t) - F.length(F.translate(t, "#*$%&|<>", "")))
     weight = F.greatest(quality_weight(F.col(names["size"]), F.col(names["sym"])), F.lit(1e-6))

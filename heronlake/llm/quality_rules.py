@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heronlake.llm.common import WS, fresh, text_or_empty
+from heronlake.llm.common import BLANKS, WS, fresh, text_or_empty
 
 WINDOW = 8
 
@@ -42,7 +42,7 @@ def add_features(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict
     t, words, wins, pairs, lines, idx = fresh(df, "t", "words", "wins", "pairs", "lines", "idx")
     keep = df.columns
     d = df.select(*[df[c] for c in keep], text_or_empty(text_col).alias(t))
-    trimmed = F.expr(f"trim(BOTH ' \\t\\n\\u000B\\f\\r' FROM `{t}`)")
+    trimmed = F.btrim(F.col(t), F.lit(BLANKS))
     d = d.withColumn(words, F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WS + "+")))
     d = d.withColumn(lines, F.filter(F.split(F.col(t), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     n = F.size(words)

@@ -8,9 +8,10 @@ text, and every one of them decodes to it.
 A piece never crosses the start of a run of blanks or a line end, so texts are cut there and cut words are
 segmented by themselves. Skips are drawn for each occurrence of a word, from the seed, the document's id and the
 word's place in the text: a draw says how many candidates are merged before one is skipped, which is what skipping
-each at the rate comes to. What a word becomes when given candidates are skipped is kept in bounded tables, so the
-draws are fresh and the work is not. Long words aren't kept; a hash skips each of their candidates. Nothing depends
-on partitioning or order: reruns, and reruns of lost tasks, agree.
+each at the rate comes to. Plain segmentations are kept in bounded tables; words in which a candidate is skipped are
+merged afresh, many at a time, with the agendas of some thousand words as columns of one matrix. Of long words a hash
+skips each candidate, one word at a time. Nothing depends on partitioning or order: reruns, and reruns of lost tasks,
+agree.
 
 Defined cases: null and empty texts have no tokens and decode to an empty text; U+2581, the mark that
 stands for a blank in pieces, is encoded by its bytes so that it isn't taken for one; characters that no piece has
@@ -146,28 +147,6 @@ def _merged_long(text: str, rank: dict[str, int], below: int, key: int) -> list[
     return [s for s in symbols if s is not None]
 
 
-def _merged_at(text: str, rank: dict[str, int], skipped: tuple[int, ...]) -> tuple[list[str], int]:
-    """Symbols when the candidates of these places in the order of coming up are skipped, and how many came up."""
-    get, symbols, seen = rank.get, list(text), 0
-    agenda = [get(text[i : i + 2], _NONE) for i in range(len(text) - 1)]
-    while agenda:
-        best = min(agenda)
-        if best == _NONE:
-            break
-        i = agenda.index(best)
-        seen += 1
-        if seen - 1 in skipped:
-            agenda[i] = _NONE
-            continue
-        symbols[i] = pair = symbols[i] + symbols[i + 1]
-        del symbols[i + 1], agenda[i]
-        if i < len(agenda):
-            agenda[i] = get(pair + symbols[i + 1], _NONE)
-        if i:
-            agenda[i - 1] = get(symbols[i - 1] + pair, _NONE)
-    return symbols, seen
-
-
 def _marked(word: str) -> str:
     """A cut word's text with marks for its blanks."""
     return (word.replace(MARK, STAND_IN) if MARK in word else word).replace(" ", MARK)
@@ -194,52 +173,171 @@ def segmented(word: str, pieces: Pieces, rate: float, key: int) -> list[int]:
     return _ids(merged(text, pieces.rank, int(rate * (1 << 16)), key), pieces)
 
 
+class Agendas:
+    """Merges many words at once: a row for each word, in which the agenda is the ranks of neighbouring symbols. A symbol is the
+    number of its piece, or, for a character without a piece, the number of pieces and its code point."""
+
+    FAR = (1 << 31) - 1
+
+    def __init__(self, pieces: Pieces):
+        import numpy as np
+
+        ids, n = pieces.ids, len(pieces.bytes)
+        self.first = np.arange(n, n + 0x110000, dtype=np.int32)
+        for piece, i in ids.items():
+            if len(piece) == 1:
+                self.first[ord(piece)] = i
+        symbol = lambda x: ids[x] if x in ids else int(self.first[ord(x)]) if len(x) == 1 else None
+        found = []
+        for piece, i in ids.items():
+            for k in range(1, len(piece)):
+                if (a := symbol(piece[:k])) is not None and (b := symbol(piece[k:])) is not None:
+                    found.append((a << 21 | b, pieces.rank[piece], i))
+        table = np.array(sorted(found) or [(-1, 0, 0)], dtype=np.int64)
+        self.keys, self.ranks, self.merged = table[:, 0].copy(), table[:, 1].astype(np.int32), table[:, 2].astype(np.int32)
+
+    def pairs(self, left, right):
+        """Rank (FAR: no piece) and symbol of neighbours merged."""
+        import numpy as np
+
+        key = left.astype(np.int64) << 21 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], self.FAR), self.merged[at]
+
+    def run(self, texts: list[str], left, draw) -> tuple:
+        """(symbols of all texts in a row, how many each has, how many candidates each had). ``left`` says how many
+        candidates are merged before one is skipped, and draw(rows, turns) the same for the time after a row's turn-th skip."""
+        import numpy as np
+
+        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        flat = self.first[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        starts = np.cumsum(sizes) - sizes
+        seen, counts, parts, rows_of = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64), [], []
+        for low, high in ((0, 6), (6, 10), (10, 18), (18, 1 << 40)):
+            group = np.flatnonzero((sizes > low) & (sizes <= high))
+            for at in range(0, len(group), 16_384):
+                rows = group[at : at + 16_384]
+                width = int(sizes[rows].max())
+                cols = np.arange(width + 1)[:, None]
+                inside = cols < sizes[rows]
+                symbols = np.full(inside.shape, -1, dtype=np.int32)
+                symbols[inside] = flat[(starts[rows] + cols)[inside]]
+                done = self._merge(symbols, left[rows].copy(), lambda r, t, rows=rows: draw(rows[r], t), seen, rows)
+                counts[rows] = (done >= 0).sum(0)
+                parts.append(done.T[done.T >= 0])
+                rows_of.append(rows)
+        order = np.concatenate(rows_of) if rows_of else np.empty(0, dtype=np.int64)
+        ends = np.cumsum(counts[order])
+        place = np.empty(len(texts), dtype=np.int64)
+        place[order] = ends - counts[order]
+        return np.concatenate(parts) if parts else np.empty(0, dtype=np.int32), place, counts, seen
+
+    def _merge(self, symbols, left, draw, seen, names):
+        """``symbols`` (a column for each word, closed by -1) merged."""
+        import numpy as np
+
+        out = np.full_like(symbols, -1)
+        rank, made = self.pairs(symbols[:-1], symbols[1:])
+        rank[(symbols[1:] < 0) | (symbols[:-1] < 0)] = self.FAR
+        rows, turn = np.arange(symbols.shape[1]), np.zeros(symbols.shape[1], dtype=np.int64)
+        while True:
+            i = rank.argmin(0)
+            here = np.arange(len(rows))
+            busy = rank[i, here] != self.FAR
+            if not busy.all():
+                out[: len(symbols), rows[~busy]] = symbols[:, ~busy]
+                rows, turn, left, i = rows[busy], turn[busy], left[busy], i[busy]
+                symbols, rank, made = symbols[:, busy], rank[:, busy], made[:, busy]
+                here = here[: len(rows)]
+            if not len(rows):
+                return out
+            seen[names[rows]] += 1
+            skip = left == 0
+            left -= 1
+            if skip.any():
+                s = np.flatnonzero(skip)
+                rank[i[s], s] = self.FAR
+                turn[s] += 1
+                left[s] = draw(rows[s], turn[s])
+            k = np.flatnonzero(~skip)
+            if not len(k):
+                continue
+            at = i[k]
+            symbols[at, k] = made[at, k]
+            cols = np.arange(len(symbols))[:, None]
+            take = cols + (cols > np.where(skip, len(symbols), i))
+            np.minimum(take, len(symbols) - 1, out=take)
+            symbols = np.take_along_axis(symbols, take, 0)
+            take = np.minimum(take[:-1], len(rank) - 1)
+            rank, made = np.take_along_axis(rank, take, 0), np.take_along_axis(made, take, 0)
+            for a, b, ok in ((at, at + 1, symbols[at + 1, k] >= 0), (at - 1, at, at > 0)):
+                far = k[~ok & (a >= 0)], a[~ok & (a >= 0)]
+                rank[far[1], far[0]] = self.FAR
+                a, b, c = a[ok], b[ok], k[ok]
+                rank[a, c], made[a, c] = self.pairs(symbols[a, c], symbols[b, c])
+
+
 class Words(dict):
-    """Number of the plain segmentation of a word; ``skips`` has that of the one that skips one more candidate. By number:
-    ids as bytes of 32-bit numbers, and how many candidates came up (none for words that aren't kept)."""
+    """Number of the plain segmentation of a word, kept in bounded tables. By number: ids as bytes of 32-bit numbers, and how many
+    candidates came up (none for words that aren't kept)."""
 
     def __init__(self, pieces: Pieces):
         super().__init__()
-        self.pieces, self.skips = pieces, _Skips(self)
+        self.pieces, self.agendas = pieces, Agendas(pieces)
         self.restart()
 
     def restart(self) -> None:
         import numpy as np
 
         self.clear()
-        self.skips.clear()
-        self.made: list[tuple[str, tuple[int, ...]]] = []
         self.ids, self.seen = np.empty(1024, dtype=object), np.zeros(1024, dtype=np.int64)
 
-    def add(self, word: str, skipped: tuple[int, ...]) -> int:
+    def learn(self, words: set[str]) -> None:
         import numpy as np
 
-        n = len(self.made)
-        if n == len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty(n, dtype=object)])
-            self.seen = np.concatenate([self.seen, np.zeros(n, dtype=np.int64)])
-        if len(word) <= LONG:
-            symbols, self.seen[n] = _merged_at(_marked(uncut(word)), self.pieces.rank, skipped)
-            self.ids[n] = array("i", _ids(symbols, self.pieces)).tobytes()
-        else:
-            self.ids[n], self.seen[n] = None, 0
-        self.made.append((word, skipped))
-        return n
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = self.add(word, ())
-        return n
-
-
-class _Skips(dict):
-    def __init__(self, words: Words):
-        super().__init__()
-        self.words = words
-
-    def __missing__(self, key: int) -> int:
-        word, skipped = self.words.made[key >> 8]
-        self[key] = n = self.words.add(word, (*skipped, key & 255))
-        return n
+        new = [w for w in words if w not in self]
+        n, end = len(self), len(self) + len(new)
+        if end > len(self.ids):
+            more = max(end, 2 * len(self.ids)) - len(self.ids)
+            self.ids = np.concatenate([self.ids, np.empty(more, dtype=object)])
+            self.seen = np.concatenate([self.seen, np.zeros(more, dtype=np.int64)])
+        short = [w for w in new if len(w) <= LONG]
+        ids, seen = self.merged(short, np.full(len(short), 1 << 40), None)
+        self.ids[n : n + len(short)], self.seen[n : n + len(short)] = ids, seen
+        self.ids[n + len(short) : end], self.seen[n + len(short) : end] = None, 0
+        self.update(zip(short, range(n, end)))
+        self.update(zip((w for w in new if len(w) > LONG), range(n + len(short), end)))
+
+    def merged(self, words: list[str], left, draw) -> tuple[list[bytes], object]:
+        """Ids of each cut word as bytes, and how many candidates came up."""
+        texts = [_marked(uncut(w)) for w in words]
+        flat, place, counts, seen = self.agendas.run(texts, left, draw)
+        raw, n = flat.astype("<i4").tobytes(), len(self.pieces.bytes)
+        out = [raw[a:b] for a, b in zip((4 * place).tolist(), (4 * (place + counts)).tolist())]
+        # characters without a piece go by bytes
+        for i in {*_rows_over(flat, n, place, counts)}:
+            symbols = flat[place[i] : place[i] + counts[i]].tolist()
+            ids: list[int] = []
+            for s in symbols:
+                if s < n:
+                    ids.append(s)
+                else:
+                    c = chr(s - n)
+                    ids.extend(self.pieces.byte_ids[b] for b in (MARK if c == STAND_IN else c).encode("utf-8", "surrogatepass"))
+            out[i] = array("i", ids).tobytes()
+        return out, seen
+
+
+def _rows_over(flat, n: int, place, counts) -> list[int]:
+    """Rows in which a symbol is ``n`` or more."""
+    import numpy as np
+
+    over = np.flatnonzero(flat >= n)
+    if not len(over):
+        return []
+    some = np.flatnonzero(counts > 0)
+    order = some[np.argsort(place[some], kind="stable")]
+    return order[np.searchsorted(place[order], over, side="right") - 1].tolist()
 
 
 class Encoder:
@@ -247,13 +345,14 @@ class Encoder:
         self.pieces, self.rate, self.seed, self.kept = Pieces(model), rate, seed, kept
         self.words = Words(self.pieces)
 
-    def _merges(self, key: int, places, turn: int):
-        """For words at these places, how many candidates are merged before the next one is skipped."""
+    def _merges(self, keys, places, turns):
+        """For words at these places of documents with these keys, how many candidates are merged before the next one
+        is skipped; ``turns`` counts the skips so far."""
         import numpy as np
 
         if self.rate >= 1:
             return np.zeros(len(places), dtype=np.int64)
-        x = np.uint64((key + turn * _B) & _M) + places.astype(np.uint64) * np.uint64(_A)
+        x = keys + places.astype(np.uint64) * np.uint64(_A) + turns.astype(np.uint64) * np.uint64(_B)
         for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
         u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
@@ -261,34 +360,35 @@ class Encoder:
 
     def encode(self, doc_id, text: str | None) -> bytes:
         """Ids as bytes of 32-bit numbers."""
+        return self.encode_many([doc_id], [text])[0]
+
+    def encode_many(self, doc_ids: list, texts: list[str | None]) -> list[bytes]:
         import numpy as np
         import xxhash
 
-        if not text:
-            return b""
-        words, table = cut(text), self.words
-        if len(table.made) >= self.kept:
+        table, cuts = self.words, [cut(t) if t else [] for t in texts]
+        sizes = [len(c) for c in cuts]
+        words = [w for c in cuts for w in c]
+        if len(table) >= self.kept:
             table.restart()
-        key = xxhash.xxh3_64_intdigest(str(doc_id).encode("utf-8", "surrogatepass"), seed=self.seed & _M)
+        table.learn(set(words))
         node = np.fromiter(map(table.__getitem__, words), dtype=np.int64, count=len(words))
-        if self.rate > 0:
-            places = np.arange(len(words))
-            at = self._merges(key, places, 0)
-            turn = 0
-            while True:
-                some = np.flatnonzero(at < table.seen[node[places]])
-                if not len(some):
-                    break
-                places, at = places[some], at[some]
-                node[places] = np.fromiter(map(table.skips.__getitem__, (node[places] << 8 | at).tolist()), dtype=np.int64, count=len(some))
-                turn += 1
-                at = at + 1 + self._merges(key, places, turn)
         out = table.ids[node].tolist()
-        if None in out:
-            for i, ids in enumerate(out):
-                if ids is None:
-                    out[i] = array("i", segmented(uncut(words[i]), self.pieces, self.rate, xxhash.xxh3_64_intdigest(words[i].encode("utf-8", "surrogatepass"), seed=(key + i * _A) & _M))).tobytes()
-        return b"".join(out)
+        digests = [xxhash.xxh3_64_intdigest(str(d).encode("utf-8", "surrogatepass"), seed=self.seed & _M) for d in doc_ids]
+        keys = np.repeat(np.array(digests, dtype=np.uint64), sizes)
+        ends = np.cumsum(sizes)
+        places = np.arange(len(words)) - np.repeat(ends - sizes, sizes)
+        if self.rate > 0:
+            left = self._merges(keys, places, np.zeros(1))
+            some = np.flatnonzero(left < table.seen[node])
+            drawn, _ = table.merged([words[i] for i in some.tolist()], left[some], lambda r, t: self._merges(keys[some[r]], places[some[r]], t))
+            for i, ids in zip(some.tolist(), drawn):
+                out[i] = ids
+        for i in np.flatnonzero(table.seen[node] == 0).tolist():
+            if out[i] is None:
+                key = xxhash.xxh3_64_intdigest(words[i].encode("utf-8", "surrogatepass"), seed=(int(keys[i]) + int(places[i]) * _A) & _M)
+                out[i] = array("i", segmented(uncut(words[i]), self.pieces, self.rate, key)).tobytes()
+        return [b"".join(out[end - size : end]) for size, end in zip(sizes, ends.tolist())]
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -301,6 +401,18 @@ def _encoder(*args) -> Encoder:
     return _encoders[args]
 
 
+def _chunks(sizes: list[int | None], rows: int = 256, chars: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of texts of these sizes, of bounded length unless one text alone exceeds it."""
+    at = total = 0
+    for i, size in enumerate(sizes):
+        if i > at and (i - at == rows or total + (size or 0) > chars):
+            yield at, i - at
+            at, total = i, 0
+        total += size or 0
+    if at < len(sizes):
+        yield at, len(sizes) - at
+
+
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, rate: float = RATE, seed: int = SEED, check: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids, and with ``check`` lossless: whether the ids decode to the text."""
     d = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -310,13 +422,13 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         enc = _encoder(model, rate, seed)
         for batch in batches:
-            keys = batch.column(0)
-            for at in range(0, batch.num_rows, 256):  # few at a time, as texts may be very long
-                names, texts = keys.slice(at, 256), batch.column(1).slice(at, 256).to_pylist()
-                found = [enc.encode(k, t) for k, t in zip(names.to_pylist(), texts)]
+            for at, n in _chunks(pc.utf8_length(batch.column(1)).to_pylist()):
+                names, texts = batch.column(0).slice(at, n), batch.column(1).slice(at, n).to_pylist()
+                found = enc.encode_many(names.to_pylist(), texts)
                 sizes = np.fromiter((len(x) // 4 for x in found), dtype="<i8", count=len(found))
                 flat = np.frombuffer(b"".join(found), dtype="<i4")
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype("<i4")
