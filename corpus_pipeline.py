@@ -6,6 +6,7 @@ columns of their input.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,15 +28,24 @@ def by_quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality_model.filter_classified(docs)
 
 
+def with_row_keys(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with two columns that tell its rows apart whenever they are read; their names. Ids may be null or repeated, so
+    a row of a Parquet table is told by file and place, and any other table is written first."""
+    names = fresh(docs, "file", "place")
+    try:
+        return docs.select("*", F.xxhash64("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1])), names
+    except AnalysisException:
+        return written(docs.select("*", F.lit(0).cast("long").alias(names[0]), F.monotonically_increasing_id().alias(names[1])), "join-rows"), names
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of least id of each group of near copies; of rows with that id one, and null ids come last."""
-    row, first = fresh(docs, "row", "first")
-    # rows are told apart by a key that is written, as ids may be null or repeated
-    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()), "join-rows")
-    joined = ngram_join.ngram_join(keyed, id_col=row, n=NEAR_WORDS, percent=NEAR_PERCENT).select(F.col("doc_id").alias(row), F.col("component_id").alias(first))
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
-    groups = joined.join(keyed.select(row, "doc_id"), row).groupBy(first).agg(F.min(order)["row"].alias(row))
-    return keyed.join(groups.select(row), row, "left_semi").drop(row)
+    keyed, names = with_row_keys(docs)
+    (key,) = fresh(keyed, "key")
+    keyed = keyed.withColumn(key, F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), *[F.col(n).alias(n) for n in names]))
+    joined = ngram_join.ngram_join(keyed, id_col=key, n=NEAR_WORDS, percent=NEAR_PERCENT)
+    first = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*[F.col("doc_id")[n].alias(n) for n in names])
+    return keyed.join(first, names, "left_semi").select(*[keyed[c] for c in docs.columns])
 
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,8 +8,10 @@ documents are connected. No pair is lost, and no pairs are listed:
    are dealt to K + 3 parts by their digests; linked sets then agree in three parts at least, so in one that isn't
    empty (sets with three empty parts or more also name the empty ones). Classes that name an equal part may
    be linked. Sizes are cut into ranges so that both sides use the same K. Texts that merely share a passage, a line
-   or frequent words don't agree in a whole part, so those never gather.
-2. Clusters are the connected components of "names an equal part"; they hold little but true near copies.
+   or frequent words don't agree in a whole part, so those never gather. Names go to buckets as packed blocks, some seven
+   bytes each; a part that several sets of a block name goes there once, and they are connected where they are.
+2. Clusters are the connected components of "names an equal part"; they hold little but true near copies. Only their
+   texts move, one for each class, found by a bounded filter of the clusters' digests and then by the digests themselves.
 3. Join. The sets of a cluster, in one order of shingles (those that most of its sets have first), are stored in a
    trie; each set walks it once, overlaps of shared beginnings are counted once, and a subtree is left as soon as
    the lengths that remain on both sides can't reach the threshold. A leaf's overlap is exact.
@@ -17,8 +19,6 @@ documents are connected. No pair is lost, and no pairs are listed:
    ``HUBS`` sets that agree with most others; sets which that leaves outside the cluster's largest component
    then meet every block, in blocks of their own. Sets in one component need not meet again.
 
-A signature's group may be large: it is only pre-aggregated to its least and greatest member and joined back.
-
 Defined cases: A-Z are lowered, words are runs of other characters than white space; a text of fewer words than n has
 its whole sequence as its one shingle; null, empty and blank texts have an empty set, no link and their own
 id as component; repeated rows, and rows with equal ids, each get a row; null ids take part, and a component of
@@ -27,6 +27,7 @@ null ids alone has a null id; very long texts count whole; extra columns don't t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
@@ -34,12 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heronlake.llm.common import written
-from heronlake.llm.graph import components
+from heronlake.llm.graph import Filter, components, salted_join
 
 N = 3
 PERCENT = 90
 BLOCK = 512
 HUBS = 8
+#: Names of a bucket, about.
+BUCKET = 2_000_000
 _KEPT = 300_000
 
 
@@ -93,7 +96,7 @@ class Ranges:
             return []
         out, low, k = [], self.least, 0
         while True:
-            above = max(low + 1, low * 3 // 2)
+            above = max(low + 1, low * 2)
             if low <= size < above or (size < low <= 100 * size // self.percent):
                 most = 2 * (above - 1) * (100 - self.percent) // (100 + self.percent)
                 out.append((k, most, most + 3))
@@ -117,35 +120,169 @@ def signatures(x, ranges: Ranges):
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
-def described(df: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty), signatures."""
-    schema = T.StructType([df.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("d", T.LongType()), T.StructField("sigs", T.ArrayType(T.LongType()))])
+def _slices(batch, at: int) -> Iterator:
+    """Parts of a batch of some megabytes of text in its column ``at``, unless one text alone is longer."""
+    import pyarrow.compute as pc
+
+    start = total = 0
+    for i, size in enumerate(pc.binary_length(batch.column(at)).to_pylist()):
+        if i > start and (i - start == 1024 or total + (size or 0) > 1 << 23):
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += size or 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def _digest(x) -> int | None:
+    """A set's digest as a signed number; none for the empty set."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63 if len(x) else None
+
+
+def described(df: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles, digest of the set (null if empty)."""
+    schema = T.StructType([df.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("d", T.LongType())])
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
-        import xxhash
 
-        ranges = Ranges(percent)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                ids, texts = batch.column(0).slice(at, 512), batch.column(1).slice(at, 512)
-                sizes, digests, sigs, ends = [], [], [], [0]
-                for t in texts:
+            for part in _slices(batch, 1):
+                sizes, digests = [], []
+                for t in part.column(1):
                     x = shingle_set(t.as_py(), n)
                     sizes.append(len(x))
-                    digests.append(xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63 if len(x) else None)
-                    s = signatures(x, ranges)
-                    sigs.append(s)
-                    ends.append(ends[-1] + len(s))
-                flat = pa.array(np.concatenate(sigs).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=schema.names
-                )
+                    digests.append(_digest(x))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64())], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+def _least_labels(i, j, size: int):
+    """For each of ``size`` nodes the least node connected to it by edges (i, j)."""
+    import numpy as np
+
+    label = np.arange(size)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _blocks(ds: list[int], names: list, buckets: int):
+    """Rows (bucket, low, high, who, ds) for sets with digests ``ds`` that name ``names``: 32 and 8 bits of each name, places in
+    ds, and ds; and one row of edges (who is null; ds holds pairs) of sets that name an equal part."""
+    import numpy as np
+
+    digests = np.array(ds, dtype=np.int64)
+    who = np.repeat(np.arange(len(ds)), [len(x) for x in names])
+    flat = np.concatenate(names) if names else np.empty(0, dtype=np.uint64)
+    order = np.argsort(flat, kind="stable")
+    flat, who = flat[order], who[order]
+    first = np.append(True, flat[1:] != flat[:-1]) if len(flat) else np.empty(0, dtype=bool)
+    leader = who[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(flat) else who
+    i, j = who[~first], leader[~first]
+    if len(i):
+        label = _least_labels(i, j, len(ds))
+        rows = np.unique(np.concatenate([i, j]))
+        yield int(rows[0]) % buckets, None, None, None, np.stack([digests[rows], digests[label[rows]]], 1).tobytes()
+    flat, who = flat[first], who[first]
+    # equal names go to equal buckets, and keep 40 bits there
+    bucket = ((flat >> np.uint64(44)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.searchsorted(bucket[order], np.arange(buckets + 1)) if buckets < len(order) else None
+    cuts = range(buckets) if ends is not None else ()
+    if ends is None and len(order):
+        starts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
+        ends, cuts = np.append(starts, len(order)), range(len(starts))
+    for k in cuts:
+        rows = order[ends[k] : ends[k + 1]]
+        if len(rows):
+            own, place = np.unique(who[rows], return_inverse=True)
+            x = flat[rows]
+            yield int(bucket[rows[0]]), x.astype("<u4").tobytes(), ((x >> np.uint64(32)) & np.uint64(255)).astype(np.uint8).tobytes(), place.astype("<u2").tobytes(), digests[own].tobytes()
+
+
+def agreeing(docs: DataFrame, n: int, percent: int, buckets: int, at_once: int = 2_000_000) -> DataFrame:
+    """Edges (a, b, n) that connect the digests of sets that name an equal part as those names do; n counts a's names
+    that others have (1 if unknown)."""
+
+    def dealt(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        ranges, ds, names, total, seen = Ranges(percent), [], [], 0, set()
+
+        def out():
+            rows = list(_blocks(ds, names, buckets))
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["bucket", "low", "high", "who", "ds"])
+
+        for batch in batches:
+            for t in batch.column(0):
+                x = shingle_set(t.as_py(), n)
+                d = _digest(x)
+                if d is None or d in seen:
+                    continue  # copies name the same parts
+                if len(seen) >= _KEPT:
+                    seen.clear()
+                seen.add(d)
+                found = signatures(x, ranges)
+                if len(ds) == 1 << 16 or (total and total + len(found) > at_once):
+                    yield out()
+                    ds, names, total = [], [], 0
+                if len(found):
+                    ds.append(d)
+                    names.append(found)
+                    total += len(found)
+        if ds:
+            yield out()
+
+    def met(table):
+        import numpy as np
+        import pyarrow as pa
+
+        keys, whos, digests, edges, at = [], [], [], [], 0
+        for low, high, who, ds in zip(*(table.column(c).to_pylist() for c in ("low", "high", "who", "ds"))):
+            if who is None:
+                edges.append(np.frombuffer(ds, dtype=np.int64).reshape(-1, 2))
+                continue
+            keys.append(np.frombuffer(low, dtype="<u4").astype(np.int64) | np.frombuffer(high, dtype=np.uint8).astype(np.int64) << 32)
+            whos.append(np.frombuffer(who, dtype="<u2").astype(np.int64) + at)
+            digests.append(np.frombuffer(ds, dtype=np.int64))
+            at += len(digests[-1])
+        a = [e[:, 0] for e in edges]
+        b = [e[:, 1] for e in edges]
+        counts = [np.ones(len(x), dtype=np.int64) for x in a]
+        if keys:
+            key, who = np.concatenate(keys), np.concatenate(whos)
+            classes, place = np.unique(np.concatenate(digests), return_inverse=True)  # a class may come in several blocks
+            who = place[who]
+            order = np.argsort(key, kind="stable")
+            key, who = key[order], who[order]
+            first = np.append(True, key[1:] != key[:-1])
+            leader = who[np.flatnonzero(first)[np.cumsum(first) - 1]]
+            other = leader != who
+            i, j = who[other], leader[other]
+            label = _least_labels(i, j, len(classes))
+            shared = np.bincount(i, minlength=len(classes)) + np.bincount(j, minlength=len(classes))
+            rows = np.flatnonzero(shared)
+            a.append(classes[rows])
+            b.append(classes[label[rows]])
+            counts.append(shared[rows])
+        flat = lambda xs: pa.array(np.concatenate(xs) if xs else np.empty(0, dtype=np.int64), pa.int64())
+        return pa.table({"a": flat(a), "b": flat(b), "n": flat(counts)})
+
+    blocks = docs.select("text").mapInArrow(dealt, "bucket int, low binary, high binary, who binary, ds binary")
+    return blocks.groupBy("bucket").applyInArrow(met, "a long, b long, n long")
+
+
 class _Node:
     __slots__ = ("tokens", "kids", "sets", "low", "high")
 
@@ -240,94 +377,114 @@ def linked(sets: list, percent: int, probe: list[bool] | None = None) -> list[tu
     return edges
 
 
-def _join_units(members: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) found among the sets of each unit; members: unit columns c, u, v, then d, x (the set), probe."""
+def _join_units(members: DataFrame, n: int, percent: int) -> DataFrame:
+    """Edges (a, b) found among the sets of each cluster (c) in each unit (k, u, v); members have d, text and probe too."""
 
     def run(table):
         import numpy as np
         import pyarrow as pa
 
-        ds = table.column("d").to_pylist()
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("x").to_pylist()]
-        found = linked(sets, percent, table.column("probe").to_pylist())
-        return pa.table({"a": pa.array([ds[i] for i, _ in found], pa.int64()), "b": pa.array([ds[j] for _, j in found], pa.int64())})
+        table = table.sort_by("c")
+        cs = table.column("c").to_numpy()
+        ends = [*np.flatnonzero(np.append(True, cs[1:] != cs[:-1])).tolist(), len(cs)]
+        a, b = [], []
+        for start, end in zip(ends, ends[1:]):
+            part = table.slice(start, end - start)
+            ds = part.column("d").to_pylist()
+            found = linked([shingle_set(t.as_py(), n) for t in part.column("text")], percent, part.column("probe").to_pylist())
+            a += [ds[i] for i, _ in found]
+            b += [ds[j] for _, j in found]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return members.groupBy("c", "u", "v").applyInArrow(run, "a long, b long")
+    return members.groupBy("k", "u", "v").applyInArrow(run, "a long, b long")
 
 
-def _sets(df: DataFrame, n: int) -> DataFrame:
-    """Adds x, the set as bytes, to rows (text, d, ...), where its digest is d; drops the text."""
-    keep = [f for f in df.schema if f.name != "text"]
-    schema = T.StructType([*keep, T.StructField("x", T.BinaryType())])
+def texts_of(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """``classes`` (unique d, further columns) with text: that of a document whose set has the digest d."""
+    shared = docs.sparkSession.sparkContext.broadcast(Filter(classes, "d"))  # 8 MB at most
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
-        import xxhash
 
+        seen: set[int] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                xs = [shingle_set(t.as_py(), n).tobytes() for t in part.column("text")]
-                ok = pa.array([xxhash.xxh3_64_intdigest(x) - 2**63 == d.as_py() for x, d in zip(xs, part.column("d"))], pa.bool_())
-                columns = [part.column(f.name) for f in keep] + [pa.array(xs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(ok)
-
-    return df.mapInArrow(run, schema)
-
-
-def links(docs: DataFrame, table: DataFrame, n: int, percent: int) -> DataFrame:
-    """Edges (a, b) between set digests, which connect classes as their links do."""
-    postings = table.where("d IS NOT NULL AND size(sigs) > 0").select("d", F.explode("sigs").alias("sig"))
-    shared = postings.groupBy("sig").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
-    named = postings.join(shared, "sig").groupBy("d", "low").agg(F.sum("size").alias("hub"))
-    named = written(named, "join-named")
-    clusters = components(named.select(F.col("d").alias("a"), F.col("low").alias("b")), "join-clusters")
-    hubs = named.groupBy("d").agg(F.sum("hub").alias("hub"))
-    # one document for each class gives the text of which the set is made
-    names = table.where("d IS NOT NULL").groupBy("d").agg(F.min("doc_id").alias("rep"))
-    members = clusters.select(F.col("node").alias("d"), F.col("root").alias("c")).join(hubs, "d").join(names, "d")
-    of_cluster = members.groupBy("c").agg(F.count(F.lit(1)).alias("m"))
-    members = members.join(of_cluster, "c")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text")
-    members = members.join(texts, members["rep"].eqNullSafe(texts["rep"])).select("c", "d", "hub", "m", "text")
-    members = written(_sets(members, n).dropDuplicates(["c", "d"]), "join-members")
-    # every set goes to the block of its digest; clusters of one block are settled by that
+            for part in _slices(batch, 0):
+                ds = [_digest(shingle_set(t.as_py(), n)) for t in part.column(0)]
+                may = shared.value.may_have(np.array([d or 0 for d in ds], dtype=np.int64))
+                keep = []
+                for d, ok in zip(ds, may.tolist()):
+                    keep.append(ok and d is not None and d not in seen)
+                    if keep[-1]:
+                        if len(seen) >= _KEPT:
+                            seen.clear()
+                        seen.add(d)
+                yield pa.RecordBatch.from_arrays([pa.array(ds, pa.int64()), part.column(0)], names=["d", "text"]).filter(pa.array(keep, pa.bool_()))
+
+    found = docs.select("text").mapInArrow(run, "d long, text string")
+    return found.join(classes, "d").dropDuplicates(["d"])
+
+
+def links(docs: DataFrame, n_shingles: int, n: int, percent: int) -> DataFrame:
+    """Edges (a, b) between set digests, which connect classes as their links do. ``n_shingles`` is the number of shingles
+    of all documents, by which the buckets of names are counted."""
+    share = 5 * (100 - percent) / (100 + percent)
+    buckets = max(1, math.ceil(n_shingles * share / BUCKET))
+    named = written(agreeing(docs, n, percent, buckets), "join-named")
+    hubs = named.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("hub"))
+    clusters = components(named, "join-clusters")
+    clusters = clusters.join(hubs, "node", "left").select(F.col("node").alias("d"), F.col("root").alias("c"), F.col("size").alias("m"), F.coalesce("hub", F.lit(0)).alias("hub"))
+    members = written(texts_of(docs, written(clusters, "join-members"), n).select("c", "d", "m", "hub", "text"), "join-texts")
+    # clusters of one block are dealt to units whole; in larger ones every set goes to the block of its digest
+    small = members.where(F.col("m") <= BLOCK)
+    units = max(1, -(-small.count() // BLOCK))
+    first = small.select("c", F.pmod(F.xxhash64("c"), F.lit(units)).alias("k"), F.lit(-1).cast("long").alias("u"), F.lit(0).cast("long").alias("v"), "d", "text", F.lit(True).alias("probe"))
     blocks = F.ceil(F.col("m") / BLOCK)
-    own = members.withColumn("u", F.pmod(F.xxhash64("d"), blocks))
-    large = members.where(F.col("m") > BLOCK)
-
-    ranked = large.select("c", "d", "hub").withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(64)))
-    # the HUBS largest of each cluster, by salt first, so that no sort holds a cluster
-
-    by = [F.desc("hub"), F.asc("d")]
-    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("c", "salt").orderBy(*by))).where(F.col("r") <= HUBS)
-    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(*by))).where(F.col("r") <= HUBS)
-    hub_sets = large.join(ranked.select("c", "d"), ["c", "d"], "left_semi").withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    first = own.unionByName(hub_sets).dropDuplicates(["c", "d", "u"]).select("c", "u", F.lit(0).cast("long").alias("v"), "d", "x", F.lit(True).alias("probe"))
-    found = written(_join_units(first, percent), "join-first")
-    if not large.take(1):
+    large = members.where(F.col("m") > BLOCK).withColumn("k", F.col("c"))
+    some = bool(large.take(1))
+    if some:
+        own = large.withColumn("u", F.pmod(F.xxhash64("d"), blocks))
+        ranked = large.select("c", "d", "hub").withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(64)))
+        # the HUBS largest of each cluster, by salt first, so that no sort holds a cluster
+        by = [F.desc("hub"), F.asc("d")]
+        ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("c", "salt").orderBy(*by))).where(F.col("r") <= HUBS)
+        ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(*by))).where(F.col("r") <= HUBS)
+        hub_sets = large.join(F.broadcast(ranked.select("d")) if ranked.count() <= 100_000 else ranked.select("d"), "d", "left_semi")
+        hub_sets = hub_sets.withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        both = own.unionByName(hub_sets.where(F.col("u") != F.pmod(F.xxhash64("d"), blocks)))
+        first = first.unionByName(both.select("c", "k", "u", F.lit(0).cast("long").alias("v"), "d", "text", F.lit(True).alias("probe")))
+    found = written(_join_units(first, n, percent), "join-first")
+    if not some:
         return found
     # sets of large clusters that aren't in the largest component meet all blocks
     parts = components(found, "join-parts")
     state = large.select("c", "d", "m").join(parts.select(F.col("node").alias("d"), "root"), "d", "left").withColumn("root", F.coalesce("root", "d"))
+    state = written(state, "join-state")
     sizes = state.groupBy("c", "root").agg(F.count(F.lit(1)).alias("s"))
     main = sizes.groupBy("c").agg(F.max(F.struct("s", "root"))["root"].alias("main"))
-    outside = state.join(main, "c").where("root <> main").select("c", "d", "m")
+    outside = salted_join(state, main, "c", "d").where("root <> main").select("c", "d", "m")
     n_out = outside.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_out"))
-    outside = written(outside.join(n_out, "c").withColumn("v", F.pmod(F.xxhash64("d", F.lit(1)), F.col("n_out"))), "join-outside")
-    sets = large.withColumn("u", F.pmod(F.xxhash64("d"), blocks)).select("c", "d", "u", "x", "m")
-    stored = sets.join(n_out, "c").withColumn("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_out") - 1))).select("c", "u", "v", "d", "x", F.lit(False).alias("probe"))
+    outside = written(salted_join(outside, n_out, "c", "d").withColumn("v", F.pmod(F.xxhash64("d", F.lit(1)), F.col("n_out"))), "join-outside")
+    if not outside.take(1):
+        return found
+    sets = large.withColumn("u", F.pmod(F.xxhash64("d"), blocks)).select("c", "d", "u", "text")
+    stored = salted_join(sets, n_out, "c", "d").withColumn("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_out") - 1))).select("c", "u", "v", "d", "text", F.lit(False).alias("probe"))
     probes = outside.select("c", "d", "v", "m").withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    probes = probes.join(large.select("c", "d", "x"), ["c", "d"]).select("c", "u", "v", "d", "x", F.lit(True).alias("probe"))
-    more = stored.unionByName(probes).groupBy("c", "u", "v", "d").agg(F.first("x").alias("x"), F.max("probe").alias("probe"))
-    return found.unionByName(_join_units(more, percent))
+    probes = probes.join(large.select("d", "text"), "d").select("c", "u", "v", "d", "text", F.lit(True).alias("probe"))
+    # a set that looks for partners in its own block is stored there by that
+    stored = stored.join(probes.select("u", "v", "d"), ["u", "v", "d"], "left_anti").select(probes.columns)
+    return found.unionByName(_join_units(stored.unionByName(probes).withColumn("k", F.col("c")), n, percent))
 
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (least id reachable by links, itself included)."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    table = written(described(docs, n, percent), "join-sets")
-    parts = components(links(docs, table, n, percent), "join-links").withColumnRenamed("node", "d")
-    rooted = table.select("doc_id", "n_shingles", "d").join(parts, "d", "left").withColumn("root", F.coalesce("root", "d"))
-    least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    table = written(described(docs, n), "join-sets")
+    total = table.agg(F.sum("n_shingles")).first()[0] or 0
+    classes = table.where("d IS NOT NULL").groupBy(F.col("d").alias("node")).agg(F.min("doc_id").alias("value"), F.count(F.lit(1)).alias("copies"))
+    classes = written(classes, "join-classes")
+    parts = components(written(links(docs, total, n, percent), "join-links"), "join-links", classes.select("node", "value"))
+    # only copies, and classes with links, may have another id as component
+    moved = classes.join(parts.select("node", "root", F.col("value").alias("least")), "node", "left").where("copies > 1 OR root IS NOT NULL")
+    moved = written(moved.select(F.col("node").alias("d"), F.when(F.col("root").isNull(), F.col("value")).otherwise(F.col("least")).alias("component_id")), "join-moved")
+    return table.join(moved, "d", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
