@@ -19,9 +19,9 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str) -> Dat
     return left.withColumn("salt", F.pmod(F.xxhash64(spread, F.lit(3)), F.lit(SALTS))).join(salted, [key, "salt"]).drop("salt")
 
 
-def components(edges: DataFrame, name: str = "components", values: DataFrame | None = None) -> DataFrame:
+def components(edges: DataFrame, name: str = "components", values: DataFrame | None = None, counted: str = "true") -> DataFrame:
     """node, root, size, value for every node of ``edges`` (columns a, b of one type, not null): equal roots, the least node
-    of the component, for connected nodes; the number of its nodes; the least of its nodes' values (columns node, value;
+    of the component, for connected nodes; the number of its nodes that are ``counted`` (SQL over node); the least of its nodes' values (columns node, value;
     null if there are none).
 
     In each round a node points to the neighbour (or itself) whose digest is least, twice over, and edges are
@@ -52,7 +52,7 @@ def components(edges: DataFrame, name: str = "components", values: DataFrame | N
     for p in steps[1:]:
         out = out.join(p.select(F.col("a").alias("to"), F.col("to").alias("next")), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
     out = written(out.join(values, "node", "left").select("node", "to", "value"), f"{name}-out")
-    least = out.groupBy("to").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("size"), F.min("value").alias("least"))
+    least = out.groupBy("to").agg(F.min("node").alias("root"), F.count_if(F.expr(counted)).alias("size"), F.min("value").alias("least"))
     return salted_join(out, least, "to", "node").select("node", "root", "size", F.col("least").alias("value"))
 
 

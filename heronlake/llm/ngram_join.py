@@ -5,13 +5,15 @@ class; classes whose sets meet 100 * intersection >= percent * union are linked,
 documents are connected. No pair is lost, and no pairs are listed:
 
 1. Routing. Linked sets of at most u shingles differ in at most K = 2u(100 - percent)/(100 + percent) of them. Shingles
-   are dealt to K + 3 parts by their digests; linked sets then agree in three parts at least, so in one that isn't
-   empty (sets with three empty parts or more also name the empty ones). Classes that name an equal part may
-   be linked. Sizes are cut into ranges so that both sides use the same K. Texts that merely share a passage, a line
-   or frequent words don't agree in a whole part, so those never gather. Names go to buckets as packed blocks, some seven
-   bytes each; a part that several sets of a block name goes there once, and they are connected where they are.
-2. Clusters are the connected components of "names an equal part"; they hold little but true near copies. Only their
-   texts move, one for each class, found by a bounded filter of the clusters' digests and then by the digests themselves.
+   are dealt to K + R parts by their digests; linked sets then agree in R parts at least, or R less the empty ones of a set
+   if only parts that aren't empty count. A set names its parts, and two sets can only be linked if they share that many names;
+   texts that merely share a passage, a line or frequent words share few. Sizes are cut into ranges so that both sides
+   use the same K. Names go to buckets as packed blocks, some seven bytes each. Sets of a name of at most ``CROWD`` sets are
+   paired and their shared names counted. A name of more sets is crowded: sets that have enough crowded names for a
+   link are tied to a knot, a node that stands for the name, and such names count for any pair of others. So no pair is
+   lost, and none is listed for a crowd. Names that crowd a block already move once for the block.
+2. Clusters are the connected components of these pairs and ties; they hold little but true near copies. Only their
+   texts move, one for each class, found by a bounded filter of digests and then by the digests themselves.
 3. Join. The sets of a cluster, in one order of shingles (those that most of its sets have first), are stored in a
    trie; each set walks it once, overlaps of shared beginnings are counted once, and a subtree is left as soon as
    the lengths that remain on both sides can't reach the threshold. A leaf's overlap is exact.
@@ -43,6 +45,8 @@ BLOCK = 512
 HUBS = 8
 #: Names of a bucket, about.
 BUCKET = 2_000_000
+#: Sets that are paired by a name they share, at most.
+CROWD = 8
 _KEPT = 300_000
 
 
@@ -96,28 +100,30 @@ class Ranges:
             return []
         out, low, k = [], self.least, 0
         while True:
-            above = max(low + 1, low * 2)
+            above = max(low + 1, low * 5 // 4)
             if low <= size < above or (size < low <= 100 * size // self.percent):
                 most = 2 * (above - 1) * (100 - self.percent) // (100 + self.percent)
-                out.append((k, most, most + 3))
+                out.append((k, most, most + 3 + most * 2 // 5))
             if low > 100 * size // self.percent:
                 return out
             low, k = above, k + 1
 
 
 def signatures(x, ranges: Ranges):
-    """Digests of the parts of a set, for each of its size ranges."""
+    """Digests of the parts of a set, for each of its size ranges, and how many of them a linked set shares at least."""
     import numpy as np
 
-    out = []
+    out, need = [], 1 << 15
     for number, differing, parts in ranges.of(len(x)):
         part = ((x >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
         total = np.zeros(parts, dtype=np.uint64)
         np.add.at(total, part, _mixed(x ^ np.uint64(0xD6E8FEB86659FD93)))
         full = np.bincount(part, minlength=parts) > 0
         named = _mixed(_mixed(total + np.arange(parts, dtype=np.uint64)) + np.uint64(number * 0x165667B19E3779F9 & (2**64 - 1)))
-        out.append(named if parts - full.sum() >= parts - differing else named[full])
-    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
+        shared = int(full.sum()) - differing
+        out.append(named[full] if shared > 0 else named)  # with many empty parts these count too
+        need = min(need, shared if shared > 0 else parts - differing)
+    return (np.concatenate(out) if out else np.empty(0, dtype=np.uint64)), need
 
 
 def _slices(batch, at: int) -> Iterator:
@@ -135,15 +141,16 @@ def _slices(batch, at: int) -> Iterator:
 
 
 def _digest(x) -> int | None:
-    """A set's digest as a signed number; none for the empty set."""
+    """A set's digest as a signed, even number; none for the empty set."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63 if len(x) else None
+    return (xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63) & ~1 if len(x) else None
 
 
 def described(df: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty)."""
-    schema = T.StructType([df.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("d", T.LongType())])
+    """doc_id, n_shingles, digest of the set (null if empty), digest of the text."""
+    df = df.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    schema = T.StructType([df.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("d", T.LongType()), T.StructField("h", T.LongType())])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -155,7 +162,7 @@ def described(df: DataFrame, n: int) -> DataFrame:
                     x = shingle_set(t.as_py(), n)
                     sizes.append(len(x))
                     digests.append(_digest(x))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), part.column(2)], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -176,53 +183,106 @@ def _least_labels(i, j, size: int):
         label = new
 
 
-def _blocks(ds: list[int], names: list, buckets: int):
-    """Rows (bucket, low, high, who, ds) for sets with digests ``ds`` that name ``names``: 32 and 8 bits of each name, places in
-    ds, and ds; and one row of edges (who is null; ds holds pairs) of sets that name an equal part."""
+PAIR, TIE, KNOT = 0, 1, 2
+_MANY = 1 << 20
+
+
+def _knots(names):
+    """Nodes that stand for names: odd numbers, as those of sets are even."""
+    import numpy as np
+
+    return (_mixed(names).view(np.int64)) | 1
+
+
+def _ties(who, names, digests, needs):
+    """Rows (a, b, n, need, kind) that tie sets (places ``who``) to the knots of crowded names they have. Sets with enough of
+    them for a link get one tie, to the least knot of those that such sets connect; others one for each."""
+    import numpy as np
+
+    if not len(who):
+        return np.empty((0, 5), dtype=np.int64)
+    have = np.bincount(who, minlength=len(digests))
+    sure = (have >= needs)[who]
+    out = []
+    w, k = who[~sure], names[~sure]
+    out.append(np.stack([digests[w], _knots(k), np.ones(len(w), dtype=np.int64), needs[w], np.full(len(w), TIE)], 1))
+    if sure.any():
+        knots, place = np.unique(names[sure], return_inverse=True)
+        sets, own = np.unique(who[sure], return_inverse=True)
+        label = _least_labels(own + len(knots), place, len(knots) + len(sets))
+        ids = _knots(knots)
+        out.append(np.stack([digests[sets], ids[label[len(knots) :]], np.full(len(sets), _MANY), needs[sets], np.full(len(sets), TIE)], 1))
+        moved = label[: len(knots)] != np.arange(len(knots))
+        zero = np.zeros(moved.sum(), dtype=np.int64)
+        out.append(np.stack([ids[moved], ids[label[: len(knots)][moved]], zero, zero, zero + KNOT], 1))
+    return np.concatenate(out)
+
+
+def _blocks(ds: list[int], needs: list[int], names: list, buckets: int):
+    """Rows (bucket, names, who, ds, needs) for sets with digests ``ds`` that name ``names``: 39 bits of each name and whether it
+    is crowded here, places in ds, and ds; and one row (who is null) of ties made here."""
     import numpy as np
 
-    digests = np.array(ds, dtype=np.int64)
+    digests, need = np.array(ds, dtype=np.int64), np.array(needs, dtype=np.int64)
     who = np.repeat(np.arange(len(ds)), [len(x) for x in names])
-    flat = np.concatenate(names) if names else np.empty(0, dtype=np.uint64)
+    flat = np.concatenate(names)
+    # a name is its bucket and 39 bits, here and there
+    bucket = ((flat >> np.uint64(39)) % np.uint64(buckets)).astype(np.int64)
+    flat = (flat & np.uint64((1 << 39) - 1)) | (bucket.astype(np.uint64) << np.uint64(39))
     order = np.argsort(flat, kind="stable")
     flat, who = flat[order], who[order]
-    first = np.append(True, flat[1:] != flat[:-1]) if len(flat) else np.empty(0, dtype=bool)
-    leader = who[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(flat) else who
-    i, j = who[~first], leader[~first]
-    if len(i):
-        label = _least_labels(i, j, len(ds))
-        rows = np.unique(np.concatenate([i, j]))
-        yield int(rows[0]) % buckets, None, None, None, np.stack([digests[rows], digests[label[rows]]], 1).tobytes()
-    flat, who = flat[first], who[first]
-    # equal names go to equal buckets, and keep 40 bits there
-    bucket = ((flat >> np.uint64(44)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(buckets + 1)) if buckets < len(order) else None
-    cuts = range(buckets) if ends is not None else ()
-    if ends is None and len(order):
-        starts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
-        ends, cuts = np.append(starts, len(order)), range(len(starts))
-    for k in cuts:
-        rows = order[ends[k] : ends[k + 1]]
-        if len(rows):
-            own, place = np.unique(who[rows], return_inverse=True)
-            x = flat[rows]
-            yield int(bucket[rows[0]]), x.astype("<u4").tobytes(), ((x >> np.uint64(32)) & np.uint64(255)).astype(np.uint8).tobytes(), place.astype("<u2").tobytes(), digests[own].tobytes()
+    starts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    sizes = np.diff(np.append(starts, len(flat)))
+    crowded = np.repeat(sizes > CROWD, sizes)
+    ties = _ties(who[crowded], flat[crowded], digests, need)
+    if len(ties):
+        yield int(bucket[0]), None, None, ties.tobytes(), None
+    keep = ~crowded
+    keep[starts] = True  # of a crowded name one set goes on, so that it is known to be crowded
+    flat, who, crowded = flat[keep], who[keep], crowded[keep]
+    bucket = (flat >> np.uint64(39)).astype(np.int64)
+    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    for a, b in zip(starts, np.append(starts[1:], len(flat))):
+        own, place = np.unique(who[a:b], return_inverse=True)
+        x = (flat[a:b] & np.uint64((1 << 39) - 1)) | (crowded[a:b].astype(np.uint64) << np.uint64(39))
+        packed = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+        yield int(bucket[a]), packed.tobytes(), place.astype("<u2").tobytes(), digests[own].tobytes(), need[own].astype("<u2").tobytes()
+
+
+def _pairs(who, starts, sizes, digests, needs):
+    """Rows (a, b, n, need, kind) of the pairs of sets that have equal names, n how many; names stand in a row, sorted."""
+    import numpy as np
+
+    out = []
+    for size in range(2, CROWD + 1):
+        at = starts[sizes == size]
+        if not len(at):
+            continue
+        group = np.sort(who[at[:, None] + np.arange(size)], axis=1)
+        i, j = np.triu_indices(size, 1)
+        out.append(np.stack([group[:, i].ravel(), group[:, j].ravel()], 1))
+    if not out:
+        return np.empty((0, 5), dtype=np.int64)
+    both = np.concatenate(out)
+    both = both[both[:, 0] != both[:, 1]]
+    code, n = np.unique(both[:, 0] * len(digests) + both[:, 1], return_counts=True)
+    a, b = code // len(digests), code % len(digests)
+    return np.stack([digests[a], digests[b], n, np.maximum(needs[a], needs[b]), np.full(len(a), PAIR)], 1)
 
 
 def agreeing(docs: DataFrame, n: int, percent: int, buckets: int, at_once: int = 2_000_000) -> DataFrame:
-    """Edges (a, b, n) that connect the digests of sets that name an equal part as those names do; n counts a's names
-    that others have (1 if unknown)."""
+    """Rows (a, b, n, need, kind): pairs of sets and how many names that aren't crowded they share in a bucket, ties of sets
+    to knots, and knots that are one."""
 
     def dealt(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        ranges, ds, names, total, seen = Ranges(percent), [], [], 0, set()
+        ranges, ds, needs, names, total, seen = Ranges(percent), [], [], [], 0, set()
 
         def out():
-            rows = list(_blocks(ds, names, buckets))
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["bucket", "low", "high", "who", "ds"])
+            rows = list(_blocks(ds, needs, names, buckets))
+            kinds = (pa.int32(), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["bucket", "names", "who", "ds", "needs"])
 
         for batch in batches:
             for t in batch.column(0):
@@ -233,54 +293,71 @@ def agreeing(docs: DataFrame, n: int, percent: int, buckets: int, at_once: int =
                 if len(seen) >= _KEPT:
                     seen.clear()
                 seen.add(d)
-                found = signatures(x, ranges)
+                found, need = signatures(x, ranges)
                 if len(ds) == 1 << 16 or (total and total + len(found) > at_once):
                     yield out()
-                    ds, names, total = [], [], 0
+                    ds, needs, names, total = [], [], [], 0
                 if len(found):
                     ds.append(d)
+                    needs.append(need)
                     names.append(found)
                     total += len(found)
         if ds:
             yield out()
 
-    def met(table):
+    def met(key, table):
         import numpy as np
         import pyarrow as pa
 
-        keys, whos, digests, edges, at = [], [], [], [], 0
-        for low, high, who, ds in zip(*(table.column(c).to_pylist() for c in ("low", "high", "who", "ds"))):
+        names, whos, digests, needs, rows, at = [], [], [], [], [], 0
+        for packed, who, ds, need in zip(*(table.column(c).to_pylist() for c in ("names", "who", "ds", "needs"))):
             if who is None:
-                edges.append(np.frombuffer(ds, dtype=np.int64).reshape(-1, 2))
+                rows.append(np.frombuffer(ds, dtype=np.int64).reshape(-1, 5))
                 continue
-            keys.append(np.frombuffer(low, dtype="<u4").astype(np.int64) | np.frombuffer(high, dtype=np.uint8).astype(np.int64) << 32)
+            x = np.zeros((len(packed) // 5, 8), dtype=np.uint8)
+            x[:, :5] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 5)
+            names.append(x.view("<u8").ravel())
             whos.append(np.frombuffer(who, dtype="<u2").astype(np.int64) + at)
             digests.append(np.frombuffer(ds, dtype=np.int64))
+            needs.append(np.frombuffer(need, dtype="<u2").astype(np.int64))
             at += len(digests[-1])
-        a = [e[:, 0] for e in edges]
-        b = [e[:, 1] for e in edges]
-        counts = [np.ones(len(x), dtype=np.int64) for x in a]
-        if keys:
-            key, who = np.concatenate(keys), np.concatenate(whos)
-            classes, place = np.unique(np.concatenate(digests), return_inverse=True)  # a class may come in several blocks
-            who = place[who]
-            order = np.argsort(key, kind="stable")
-            key, who = key[order], who[order]
-            first = np.append(True, key[1:] != key[:-1])
-            leader = who[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            other = leader != who
-            i, j = who[other], leader[other]
-            label = _least_labels(i, j, len(classes))
-            shared = np.bincount(i, minlength=len(classes)) + np.bincount(j, minlength=len(classes))
-            rows = np.flatnonzero(shared)
-            a.append(classes[rows])
-            b.append(classes[label[rows]])
-            counts.append(shared[rows])
-        flat = lambda xs: pa.array(np.concatenate(xs) if xs else np.empty(0, dtype=np.int64), pa.int64())
-        return pa.table({"a": flat(a), "b": flat(b), "n": flat(counts)})
-
-    blocks = docs.select("text").mapInArrow(dealt, "bucket int, low binary, high binary, who binary, ds binary")
-    return blocks.groupBy("bucket").applyInArrow(met, "a long, b long, n long")
+        if names:
+            name, who = np.concatenate(names), np.concatenate(whos)
+            classes, first, place = np.unique(np.concatenate(digests), return_index=True, return_inverse=True)  # a class may come in several blocks
+            need, who = np.concatenate(needs)[first], place[who]
+            crowded = name >> np.uint64(39) == 1
+            name = name & np.uint64((1 << 39) - 1)
+            order = np.lexsort((who, name))
+            name, who, crowded = name[order], who[order], crowded[order]
+            new = np.append(True, name[1:] != name[:-1])
+            starts = np.flatnonzero(new)
+            crowded = np.logical_or.reduceat(crowded, starts)
+            once = new | np.append(True, who[1:] != who[:-1])
+            group = (np.cumsum(new) - 1)[once]
+            name, who = name[once], who[once]
+            sizes = np.bincount(group, minlength=len(starts))
+            crowded |= sizes > CROWD
+            starts = np.cumsum(sizes) - sizes
+            here = crowded[group]
+            full = name | (np.uint64(key[0].as_py()) << np.uint64(39))
+            rows.append(_ties(who[here], full[here], classes, need))
+            rows.append(_pairs(who, starts[~crowded], sizes[~crowded], classes, need))
+        found = np.concatenate(rows) if rows else np.empty((0, 5), dtype=np.int64)
+        return pa.table({c: pa.array(found[:, i], pa.int64()) for i, c in enumerate(("a", "b", "n", "need", "kind"))})
+
+    blocks = docs.select("text").mapInArrow(dealt, "bucket int, names binary, who binary, ds binary, needs binary")
+    return blocks.groupBy("bucket").applyInArrow(met, "a long, b long, n long, need long, kind long")
+
+
+def candidates(named: DataFrame) -> DataFrame:
+    """Edges (a, b, n) of ``agreeing`` rows that may connect linked sets."""
+    ties = named.where(F.col("kind") == TIE)
+    crowd = written(ties.groupBy("a").agg(F.sum("n").alias("hot"), F.max("need").alias("least")), "join-crowd")
+    tied = ties.join(crowd, "a").where("hot >= least").select("a", "b", "n")
+    pairs = named.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+    pairs = pairs.join(crowd.select("a", F.col("hot").alias("ha")), "a", "left").join(crowd.select(F.col("a").alias("b"), F.col("hot").alias("hb")), "b", "left")
+    pairs = pairs.where("n + least(coalesce(ha, 0), coalesce(hb, 0)) >= need").select("a", "b", "n")
+    return tied.unionByName(pairs).unionByName(named.where(F.col("kind") == KNOT).select("a", "b", "n"))
 
 
 class _Node:
@@ -399,9 +476,9 @@ def _join_units(members: DataFrame, n: int, percent: int) -> DataFrame:
     return members.groupBy("k", "u", "v").applyInArrow(run, "a long, b long")
 
 
-def texts_of(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
-    """``classes`` (unique d, further columns) with text: that of a document whose set has the digest d."""
-    shared = docs.sparkSession.sparkContext.broadcast(Filter(classes, "d"))  # 8 MB at most
+def texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``classes`` (d, h and further columns; h unique) with text: that whose digest is h."""
+    shared = docs.sparkSession.sparkContext.broadcast(Filter(classes, "h"))  # 8 MB at most
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -409,32 +486,33 @@ def texts_of(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
 
         seen: set[int] = set()
         for batch in batches:
-            for part in _slices(batch, 0):
-                ds = [_digest(shingle_set(t.as_py(), n)) for t in part.column(0)]
-                may = shared.value.may_have(np.array([d or 0 for d in ds], dtype=np.int64))
-                keep = []
-                for d, ok in zip(ds, may.tolist()):
-                    keep.append(ok and d is not None and d not in seen)
-                    if keep[-1]:
-                        if len(seen) >= _KEPT:
-                            seen.clear()
-                        seen.add(d)
-                yield pa.RecordBatch.from_arrays([pa.array(ds, pa.int64()), part.column(0)], names=["d", "text"]).filter(pa.array(keep, pa.bool_()))
-
-    found = docs.select("text").mapInArrow(run, "d long, text string")
-    return found.join(classes, "d").dropDuplicates(["d"])
-
-
-def links(docs: DataFrame, n_shingles: int, n: int, percent: int) -> DataFrame:
-    """Edges (a, b) between set digests, which connect classes as their links do. ``n_shingles`` is the number of shingles
-    of all documents, by which the buckets of names are counted."""
-    share = 5 * (100 - percent) / (100 + percent)
+            hs = batch.column(0).to_numpy()
+            keep = shared.value.may_have(hs)
+            for i in np.flatnonzero(keep).tolist():
+                if (h := int(hs[i])) in seen:
+                    keep[i] = False  # a copy
+                    continue
+                if len(seen) >= _KEPT:
+                    seen.clear()
+                seen.add(h)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    found = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("h"), "text").mapInArrow(run, "h long, text string")
+    return found.join(classes, "h").dropDuplicates(["d"])
+
+
+def links(docs: DataFrame, classes: DataFrame, n_shingles: int, n: int, percent: int) -> DataFrame:
+    """Edges (a, b) between set digests, which connect classes as their links do. ``classes`` has node, the digest, and h, the
+    digest of one of its texts; ``n_shingles`` is the number of shingles of all documents, by which buckets are counted."""
+    share = 3.5 * (100 - percent) / (100 + percent)
     buckets = max(1, math.ceil(n_shingles * share / BUCKET))
     named = written(agreeing(docs, n, percent, buckets), "join-named")
-    hubs = named.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("hub"))
-    clusters = components(named, "join-clusters")
-    clusters = clusters.join(hubs, "node", "left").select(F.col("node").alias("d"), F.col("root").alias("c"), F.col("size").alias("m"), F.coalesce("hub", F.lit(0)).alias("hub"))
-    members = written(texts_of(docs, written(clusters, "join-members"), n).select("c", "d", "m", "hub", "text"), "join-texts")
+    edges = written(candidates(named), "join-edges")
+    ends = edges.select(F.col("a").alias("node"), "n").unionByName(edges.select(F.col("b").alias("node"), "n"))
+    hubs = ends.groupBy("node").agg(F.sum("n").alias("hub"))
+    clusters = components(edges, "join-clusters", counted="node % 2 = 0").where("node % 2 = 0").join(hubs, "node").join(classes, "node")
+    clusters = clusters.select(F.col("node").alias("d"), F.col("root").alias("c"), F.col("size").alias("m"), "hub", "h")
+    members = written(texts_of(docs, written(clusters, "join-members")).select("c", "d", "m", "hub", "text"), "join-texts")
     # clusters of one block are dealt to units whole; in larger ones every set goes to the block of its digest
     small = members.where(F.col("m") <= BLOCK)
     units = max(1, -(-small.count() // BLOCK))
@@ -481,10 +559,10 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     table = written(described(docs, n), "join-sets")
     total = table.agg(F.sum("n_shingles")).first()[0] or 0
-    classes = table.where("d IS NOT NULL").groupBy(F.col("d").alias("node")).agg(F.min("doc_id").alias("value"), F.count(F.lit(1)).alias("copies"))
+    classes = table.where("d IS NOT NULL").groupBy(F.col("d").alias("node")).agg(F.min("doc_id").alias("value"), F.count(F.lit(1)).alias("copies"), F.min("h").alias("h"))
     classes = written(classes, "join-classes")
-    parts = components(written(links(docs, total, n, percent), "join-links"), "join-links", classes.select("node", "value"))
+    parts = components(written(links(docs, classes.select("node", "h"), total, n, percent), "join-links"), "join-links", classes.select("node", "value"))
     # only copies, and classes with links, may have another id as component
     moved = classes.join(parts.select("node", "root", F.col("value").alias("least")), "node", "left").where("copies > 1 OR root IS NOT NULL")
     moved = written(moved.select(F.col("node").alias("d"), F.when(F.col("root").isNull(), F.col("value")).otherwise(F.col("least")).alias("component_id")), "join-moved")
-    return table.join(moved, "d", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return table.drop("h").join(moved, "d", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

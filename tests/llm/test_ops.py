@@ -205,8 +205,10 @@ def brute_join(rows, percent=90):
     return sets, links
 
 
-@pytest.mark.parametrize("block", [512, 4])
-def test_join_equals_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,crowd,bucket", [(512, 8, 2_000_000), (4, 2, 500)])
+def test_join_equals_brute_force(spark, monkeypatch, block, crowd, bucket):
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+    monkeypatch.setattr(ngram_join, "BUCKET", bucket)
     monkeypatch.setattr(ngram_join, "BLOCK", block)  # small blocks, so that clusters are dealt out
     monkeypatch.setattr(ngram_join, "HUBS", 1)
     rows = near_copies()
@@ -217,18 +219,19 @@ def test_join_equals_brute_force(spark, monkeypatch, block):
     assert {r.doc_id: r.component_id for r in got} == expected and {r.doc_id: r.n_shingles for r in got} == {i: len(s) for i, s in sets.items()}
 
 
-def test_signatures_never_miss(monkeypatch):
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_enough_names(percent):
     rng = np.random.default_rng(2)
-    ranges = ngram_join.Ranges(90)
+    ranges = ngram_join.Ranges(percent)
     for _ in range(400):
-        n = int(rng.integers(9, 700))
+        n = int(rng.integers(5, 700))
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-        most = len(a) * 10 // 100
-        drop = int(rng.integers(0, most + 1))
+        drop = int(rng.integers(0, len(a) * (100 - percent) // 100 + 1))
         b = a[drop:] if rng.random() < 0.5 else np.unique(np.concatenate([a[: len(a) - drop // 2], rng.integers(0, 2**63, max(0, drop // 2 - 1)).astype(np.uint64)]))
         inter, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
-        if 100 * inter >= 90 * union:
-            assert len(np.intersect1d(ngram_join.signatures(a, ranges), ngram_join.signatures(b, ranges)))
+        if 100 * inter >= percent * union and inter < union:
+            (x, least), (y, other) = ngram_join.signatures(a, ranges), ngram_join.signatures(b, ranges)
+            assert len(np.intersect1d(x, y)) >= max(least, other) > 0
 
 
 def test_components(spark):
