@@ -5,8 +5,9 @@ article (menus, site headers, footers, sidebars, notices, adverts, forms, commen
 class, id or role) are taken out, and what stands before and behind them is neighbouring text. Lengths are summed over
 windows of ``WINDOW`` lines. Text starts where the sum first surges to ``SURGE``, with the short lines right before it, and
 ends where it dives to nothing for the last time behind a surge; all lines between stay, short and linked ones
-included. Words of links don't count for the sums. A page on which nothing surges is kept whole. Where a page marks its
-article or main part, all lines there are kept and no others.
+included. Words of links don't count for the sums, unless they stand in the part that a page marks as its article or main
+part; on such a page only words of that part count, and lines of other parts are not kept. A page on which nothing
+surges is kept whole, as far as its lines count. Tags are read in one pass, in time in proportion to the page.
 
 Defined cases: null or empty html, and pages without text, give an empty text; unclosed, crossed and unknown tags
 are put up with, as are texts of any length; repeated rows are extracted one by one; null ids and urls are carried;
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -36,19 +38,25 @@ INLINE = frozenset(
 )
 #: Elements that hold no article.
 DROPPED = frozenset("head nav footer aside form button select option menu dialog svg math object audio video canvas map fieldset datalist".split())
-#: Words of a class, id or role that mark such parts.
+#: Words of a class, id or role that mark such parts, anywhere.
 _MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login"
-    r"|sidebar|side|rail|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|toolbar|comments?|commentlist|disqus|reply|replies|respond|share|sharing|social"
-    r"|related|recommended|recommendations|widget|search|pagination|pager|complementary|contentinfo|hidden|sr-only|skip)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|signup|login"
+    r"|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|toolbar|comments?|commentlist|disqus|reply|replies|respond|share|sharing|social"
+    r"|related|recommended|recommendations|widget|pagination|pager|complementary|contentinfo|hidden|sr-only)(?:$|[\s_-])",
     re.I,
 )
+#: Those that do so outside an article only: an article may have notices and be about a search.
+_OUTSIDE = re.compile(r"(?:^|[\s_-])(?:banner|notices?|alerts?|search|rail|skip)(?:$|[\s_-])", re.I)
 #: What a layout has or lacks, rather than what the part is.
 _LAYOUT = re.compile(r"\b(?:has|with|no|without|full|is)[-_][\w-]+", re.I)
 _NO_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|reply|replies|related|recommended|teaser)(?:$|[\s_-])", re.I)
 _HEADER = re.compile(r"(?:^|[\s_-])(?:header|site-?header|page-?header)(?:$|[\s_-])", re.I)
 _ATTRS = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+#: A tag ends at a ">" outside quotes, or, where quotes don't match, at the first one; none reaches past a "<" outside
+#: quotes, and nothing is tried twice.
+_TAG = re.compile(
+    r"""<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>""", re.S
+)
 _CLOSERS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 
 
@@ -64,7 +72,7 @@ def _drops(name: str, attrs: str, in_article: bool) -> bool:
         if key in ("class", "id", "role"):
             value = _LAYOUT.sub(" ", value)
             marks = _NO_ARTICLE if name == "article" else _MARKS
-            if marks.search(value) or (_HEADER.search(value) and not in_article):
+            if marks.search(value) or (not in_article and (_HEADER.search(value) or _OUTSIDE.search(value))):
                 return True
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             return True
@@ -77,6 +85,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
     """(text, characters of links, dropped, marked as article) for each line of a page; lines of dropped parts are empty."""
     out: list[tuple[str, int, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, dropped, in article
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked = 0
 
@@ -119,10 +128,11 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
         elif name == "br":
             parts.append(" ")
         if closing:
-            if any(s[0] == name for s in stack):
+            if opened[name]:
                 was = dropped
-                while stack.pop()[0] != name:
-                    pass
+                while (last := stack.pop()[0]) != name:
+                    opened[last] -= 1
+                opened[name] -= 1
                 if was and not state()[0]:
                     out.append(("", 0, True, False))
             continue
@@ -134,14 +144,15 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and any(s[0] == name for s in stack[-3:]):
             while stack[-1][0] in INLINE:
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             if stack and stack[-1][0] == name:
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             dropped, marked = state()
         if attrs.rstrip().endswith("/") and name not in ("p", "div", "article", "section", "main"):
             continue
         here = marked or name in ("article", "main")
         stack.append((name, dropped or _drops(name, attrs, here), here))
+        opened[name] += 1
     close_line(*state())
     return out
 
@@ -163,12 +174,10 @@ def span(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> tuple[
 
 def main_text(html: str | None) -> str:
     lines = [x for x in lines_of(html or "") if x[0] and not x[2]]
-    if any(marked for *_, marked in lines):
-        lines = [x for x in lines if x[3]]
-    else:
-        start, end = span([max(0, len(text) - linked) for text, linked, *_ in lines])
-        lines = lines[start:end]
-    return "\n".join(x[0] for x in lines)
+    has_article = any(marked for *_, marked in lines)
+    lengths = [len(text) * marked if has_article else max(0, len(text) - linked) for text, linked, _, marked in lines]
+    start, end = span(lengths)
+    return "\n".join(text for text, _, _, marked in lines[start:end] if marked or not has_article)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -376,6 +376,63 @@ def test_html_drops_no_article_text():
         assert lengths(f'<body><nav><a href=x>Home</a></nav><div class="content">{inner}</div><footer>(c)</footer></body>') == expected
 
 
+def surge_and_dive(lengths, window=3, surge=80):
+    """By the definition, position by position: kept are lines from the first surge, with those before it that touch it, to the
+    last position behind a surge from which on windows are empty."""
+    n = len(lengths)
+    at = [i for i in range(n) if sum(lengths[i : i + window]) >= surge and lengths[i] > 0]
+    if not at:
+        return list(range(n))
+    kept = set(range(min(at), max(at) + 1))
+    for i in range(min(at) - 1, -1, -1):
+        if not lengths[i]:
+            break
+        kept.add(i)
+    for i in range(max(at), n):
+        if not sum(lengths[i : i + window]):
+            break
+        kept.add(i)
+    return sorted(kept)
+
+
+def test_html_against_brute_force():
+    """Pages with and without an article, adverts and menus between paragraphs, and links of all sizes."""
+    rng = random.Random(12)
+    for _ in range(300):
+        blocks, words = [], lambda: " ".join("w" * rng.randint(1, 9) for _ in range(rng.choice([1, 2, 5, 40])))
+        for _ in range(rng.randint(0, 14)):
+            kind = rng.choice(["text", "text", "text", "link", "dropped"])
+            blocks.append((kind, words()))
+        html_of = {"text": "<p>{}</p>", "link": "<p><a href=x>{}</a></p>", "dropped": '<div class="ad"><p>{}</p></div>'}
+        inner = "".join(html_of[k].format(t) for k, t in blocks)
+        shown = [(k, t) for k, t in blocks if k != "dropped"]
+        keep = surge_and_dive([len(t) if k == "text" else 0 for k, t in shown])
+        assert html_text.main_text(f"<body><nav>Menu</nav><div>{inner}</div></body>") == "\n".join(shown[i][1] for i in keep)
+        around = f"<p>{words()}</p>"
+        assert html_text.main_text(f"<body>{around}<article>{inner}</article>{around}</body>") == "\n".join(t for _, t in shown) or not shown
+
+
+def test_html_keeps_articles_that_look_like_parts():
+    long = "x" * 120
+    for article in (f'<p class="notice">{long}</p>', f'<section id="search"><p>{long}</p></section>'):
+        assert html_text.main_text(f"<body><nav>Menu</nav><article>{article}<p>End.</p></article></body>") == f"{long}\nEnd."
+        assert html_text.main_text(f'<body><div class="side-by-side">{article.replace("notice", "x").replace("search", "y")}</div></body>') == long
+
+
+@pytest.mark.parametrize("page", ["<a" * 500_000, "<div>" * 50_000 + "</span>" * 50_000, '<a "' * 250_000, "<!" * 500_000, "<p>" + "x<" * 400_000, "<a x='" + '<b y="' * 150_000, "<i>" * 50_000 + "</b>" * 50_000])
+def test_html_takes_linear_time(page):
+    import time
+
+    began = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - began < 10
+
+
+def test_html_null_pages(spark):
+    d = spark.createDataFrame([(1, "u", None), (None, None, ""), (2, "u", "<p>a</p>"), (2, "u", "<p>a</p>")], "page_id long, url string, html string").withColumn("text", F.lit("x")).withColumn("n_chars", F.lit("y"))
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract(d).collect()) == [(0, "", 0), (1, "", 0), (2, "a", 1), (2, "a", 1)]
+
+
 def test_every_template_gets_its_own_label(spark):
     rows = [(i, f"Some words before. {t}. Some words behind.") for i, (_, t) in enumerate(licenses.TEMPLATES)]
     rows += [(100, "See the Mozilla Public License, v.\n  2.0! This Source Code Form is subject to it."), (101, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 3.0")]
