@@ -4,12 +4,14 @@ Overlapping heuristic labellers look at every document and vote good, bad or not
 expectation-maximisation, which estimates how each labeller votes on good and on bad documents and the share of good
 ones, runs on a table of at most 3^labellers rows whatever the corpus. Its posteriors label the documents; a hashed
 linear scorer (words and their shapes, and a few document features, dealt to 2^BITS weights) is fitted to them on a
-sample of ``SAMPLE`` documents drawn by a digest of their ids, and scores all documents.
+sample of at most ``SAMPLE`` documents of ``ENOUGH`` words or more, those with the least digests of id and text, and scores all
+documents. Training and scoring look at the same features, of whole texts.
 
 The estimates start from majority votes and are held by prior counts, so that a corpus without bad documents isn't
 split in two.
 
-Defined cases: null, empty and blank texts score 0 and are not kept; repeated rows score equally; null ids take part;
+Defined cases: null, empty and blank texts score 0 and are not kept; repeated rows score equally; null and repeated ids take part,
+and the sample is neither empty nor larger for them; where no text has ``ENOUGH`` words, scores are the share of good documents;
 very long texts are read whole; an empty table gives an empty result; extra columns are carried or left out as
 asked, whatever their names.
 """
@@ -144,7 +146,7 @@ def _slot(kind: str, what: str) -> int:
 def _shape(word: str) -> str:
     for pattern, mark in _SHAPES:
         word = pattern.sub(mark, word)
-    return word[:12]
+    return word
 
 
 class _Slots(dict):
@@ -233,15 +235,18 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
             for t in batch.column(0):
                 _, f = features(t.as_py() or "")
                 if f:
-                    found[votes(f)] = found.get(votes(f), 0) + 1
+                    v = votes(f)
+                    found[v] = found.get(v, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["votes", "n"])
 
     rows = texts.mapInArrow(counted, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()  # 3^labellers rows at most
     patterns = {r.votes: r.n for r in rows}
     posteriors, accuracies = estimate(patterns)
     n = sum(patterns.values())
-    share = F.pmod(F.xxhash64(F.col(id_col), F.lit(SEED)), F.lit(1_000_000)) < (1_000_000 * sample) // max(n, sample)
-    shown = df.where(share).select(F.col(text_col).cast("string").alias("text"))
+    digest = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(SEED)), F.lit(1_000_000))
+    shown = df.select(digest.alias("at"), F.col(text_col).cast("string").alias("text"))
+    # about twice the sample is looked at, so that enough is left without short texts
+    share = 2 * 1_000_000 * sample // max(n, sample)
 
     def sampled(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -249,7 +254,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
         slots = _Slots()
         for batch in batches:
             out = []
-            for t in batch.column(0):
+            for at, t in zip(batch.column(0), batch.column(1)):
                 words, f = features(t.as_py() or "")
                 if not words or f["words"] < ENOUGH:
                     continue
@@ -259,12 +264,18 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
                         x[s] = x.get(s, 0.0) + 1 / len(words)
                 for s in _document_slots(f):
                     x[s] = x.get(s, 0.0) + 1.0
-                # the heaviest slots stand for a very long document; scores use all words
-                top = sorted(x.items(), key=lambda kv: (-kv[1], kv[0]))[:512]
-                out.append(([s for s, _ in top], [v for _, v in top], posteriors[votes(f)]))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.list_(pa.int32()), pa.list_(pa.float32()), pa.float64()))], names=["s", "x", "y"])
-
-    table = shown.mapInArrow(sampled, "s array<int>, x array<float>, y double").toArrow()
+                slot = sorted(x)
+                out.append((at.as_py(), slot, [x[s] for s in slot], posteriors[votes(f)]))
+            kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names=["at", "s", "x", "y"])
+
+    def drawn(d: DataFrame):
+        found = d.mapInArrow(sampled, "at long, s array<int>, x array<float>, y double")
+        return found.orderBy("at", "y", F.xxhash64("s"), F.xxhash64("x")).limit(sample).select("s", "x", "y").toArrow()
+
+    table = drawn(shown.where(F.col("at") < share))
+    if not table.num_rows and n:
+        table = drawn(shown)
     rows = sorted(zip(table.column("s").to_pylist(), table.column("x").to_pylist(), table.column("y").to_pylist()))
     return Model(posteriors, accuracies, fit(rows))
 

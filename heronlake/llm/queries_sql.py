@@ -126,7 +126,7 @@ WITH p AS (SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') AS h FROM
 n AS (SELECT greatest(1, ceil(count(*) / 512))::BIGINT AS files FROM p),
 r AS (SELECT page_id, u, ('0x' || substr(md5(coalesce(page_id::VARCHAR, 'null') || '|' || u), 1, 13))::BIGINT % files AS file,
   'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:md5:' || md5(coalesce(page_id::VARCHAR, 'null') || '|' || u)
-  || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || u || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: '
+  || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || u || chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: '
   || strlen(h) || chr(13) || chr(10) || chr(13) || chr(10) || h AS rec,
   ('0x' || substr(md5('rot|' || coalesce(page_id::VARCHAR, 'null')), 1, 13))::BIGINT % 100 AS rot FROM p, n),
 l AS (SELECT page_id, u, file, strlen(rec)::BIGINT AS length, sha256(rec) AS hash, rot FROM r),

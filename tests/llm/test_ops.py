@@ -292,7 +292,7 @@ def test_warc_round_trip_and_audit(spark, tmp_path):
     lost, changed = F.col("key") == 5, F.col("key").isin(7, 30)
     b = a.where(~lost | F.col("key").isNull()).withColumn("record", F.when(changed, F.concat("record", F.lit("!"))).otherwise(F.col("record")))
     leaves_a, leaves_b = warc.leaves(a), warc.leaves(b)
-    found = {(r.file, r.seq) for r in warc.audit(leaves_a, leaves_b).collect()}
+    found = {(r.file, r.seq) for r in warc.suspects(leaves_a, leaves_b).collect()}
     x = {(r.file, r.seq): (r.hash, r.offset, r.length) for r in leaves_a.collect()}
     y = {(r.file, r.seq): (r.hash, r.offset, r.length) for r in leaves_b.collect()}
     assert found == {k for k in x.keys() | y.keys() if x.get(k) != y.get(k)} and found
@@ -300,6 +300,46 @@ def test_warc_round_trip_and_audit(spark, tmp_path):
     assert warc.fixity(a.limit(0), a.limit(0)).count() == 0
 
 
+def test_warc_losses_and_additions(spark):
+    """One record lost, one added, two changed, one repeated; all others stay as they are."""
+    url = F.concat(F.lit("u"), (F.col("id") % 7).cast("string"))
+    pages = spark.range(400).select(F.col("id").alias("page_id"), url.alias("url"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("html"))
+    twice = spark.createDataFrame([(None, None, "t"), (None, None, "t"), (None, None, "v")], "page_id long, url string, html string")
+    pages = pages.unionByName(twice)
+    a = warc.archived(pages, 2)
+    more = warc.archived(spark.createDataFrame([(150, "other", "new"), (None, None, "t")], "page_id long, url string, html string"), 2)
+    changed = F.col("key").isin(7, 300)
+    b = a.where("NOT key <=> 33").withColumn("record", F.when(changed, F.concat("record", F.lit("!"))).otherwise(F.col("record"))).unionByName(more)
+    by = Counter((r.status, r.key) for r in warc.fixity(a, b).where("status NOT IN ('ok', 'moved')").collect())
+    assert by == {("missing", 33): 1, ("corrupt", 7): 1, ("corrupt", 300): 1, ("extra", 150): 1, ("extra", None): 1}
+    assert warc.fixity(a, b).count() == 405
+    only = Counter(r.status for r in warc.fixity(a, a.where("NOT key <=> 33")).collect())
+    assert only["missing"] == 1 and only["corrupt"] == only["extra"] == 0 and sum(only.values()) == 403
+    added = Counter(r.status for r in warc.fixity(a, a.unionByName(more.where("key = 150"))).collect())
+    assert added["extra"] == 1 and added["corrupt"] == added["missing"] == 0
+
+
+def test_warc_files_of_others(spark, tmp_path):
+    """Files that gzip each record, with request records, header names in other case, and a file that is cut off."""
+    import gzip
+
+    records = [b"WARC/1.0\r\nwarc-type: %s\r\nWARC-Date: 2020-01-02T03:04:05Z\r\nWARC-Target-URI: http://x/%d\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind, i, len(p), p)
+               for i, (kind, p) in enumerate([(b"request", b"GET"), (b"response", b"a\r\n\r\nWARC/1.0\r\n\xff"), (b"response", b"")])]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    (tmp_path / "b.warc").write_bytes(b"".join(records))
+    rows = warc.read_warc(spark, str(tmp_path)).collect()
+    for name in ("a.warc.gz", "b.warc"):
+        own = sorted((r for r in rows if r.path.endswith(name)), key=lambda r: r.seq)
+        assert [(r.type, r.url, bytes(r.payload), r.date) for r in own] == [
+            ("request", "http://x/0", b"GET", "2020-01-02T03:04:05Z"), ("response", "http://x/1", b"a\r\n\r\nWARC/1.0\r\n\xff", "2020-01-02T03:04:05Z"), ("response", "http://x/2", b"", "2020-01-02T03:04:05Z")
+        ]
+        assert [r.offset for r in own] == [0, len(records[0]), len(records[0] + records[1])]
+    import io
+
+    with pytest.raises(ValueError):
+        list(warc.parsed(io.BytesIO(records[1][:-10])))
+
+
 def test_dropout_draws_each_occurrence():
     enc, word, n = sentencepiece_dropout.Encoder(), "understanding", 20_000
     rng = random.Random(8)
