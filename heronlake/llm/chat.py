@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heronlake.llm.common import BLANKS
+
 CHUNK = 256
 SYSTEM = "system"
 UNKNOWN = "unknown"
@@ -26,7 +28,7 @@ END = "<|end|>\n"
 
 
 def _safe(c: Column) -> Column:
-    return F.replace(c, F.lit("<|"), F.lit("<\\|"))
+    return F.replace(F.replace(c, F.lit("<|"), F.lit("<\\|")), F.lit("|>"), F.lit("\\|>"))
 
 
 def perspectives(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -38,7 +40,7 @@ def perspectives(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
         F.col(conv_col).alias("conv_id"),
         F.coalesce(F.concat(F.lit("c"), F.col(conv_col).cast("string")), F.lit("n")).alias("key"),
         F.col(turn_col).cast("long").alias("turn"),
-        F.coalesce(F.nullif(F.trim(F.col(role_col)), F.lit("")), F.lit(UNKNOWN)).alias("name"),
+        F.coalesce(F.nullif(F.btrim(F.col(role_col), F.lit(BLANKS)), F.lit("")), F.lit(UNKNOWN)).alias("name"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     ).withColumn("block", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-1)).cast("long"))
     # who speaks is gathered by conversation in a few small rows, then dealt to the blocks; turns move once,

@@ -22,7 +22,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heronlake.llm.common import WS, written
+from heronlake.llm.common import LOWER, UPPER, WS, written
 
 #: Phrases that are looked for word by word. Fixed values.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -75,7 +75,7 @@ def scanned(df: DataFrame, id_col: str, text_col: str, templates, threshold: flo
     vocabulary = sorted({w for _, t in templates for w in template_words(t)})
     d = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     d = d.withColumn("row", F.monotonically_increasing_id())  # stays as written below
-    d = d.withColumn("words", F.array_remove(F.split(F.lower("t"), _SEP), ""))
+    d = d.withColumn("words", F.array_remove(F.split(F.translate("t", UPPER, LOWER), _SEP), ""))
     known = F.array(*[F.lit(w) for w in vocabulary])
     d = d.withColumn("n_words", F.size("words").cast("long")).withColumn("hits", F.array_intersect("words", known)).drop("words")
     enough = F.lit(False)
@@ -83,7 +83,7 @@ def scanned(df: DataFrame, id_col: str, text_col: str, templates, threshold: flo
         ws = template_words(t)
         enough = enough | (F.size(F.array_intersect("hits", F.array(*[F.lit(w) for w in ws]))) >= need(len(ws), threshold))
     blocks = F.split("t", _cuts(templates))
-    d = d.withColumn("blocks", F.when(enough, F.transform(blocks, lambda b: F.array_intersect(F.split(F.lower(b), _SEP), known))))
+    d = d.withColumn("blocks", F.when(enough, F.transform(blocks, lambda b: F.array_intersect(F.split(F.translate(b, UPPER, LOWER), _SEP), known))))
     some = F.col("t").rlike("|".join(f"(?:{_phrase(p)})" for p, _ in PHRASES))
     parts = [f"p{i}" for i in range(len(PHRASES))]
     d = d.select("*", *[F.when(some, F.split("t", _phrase(p))).alias(c) for c, (p, _) in zip(parts, PHRASES)])

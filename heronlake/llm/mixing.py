@@ -1,15 +1,17 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 Every document gets an exponential key, -ln(u) divided by its quality weight, where u comes from a
-digest of seed and id; within a source the documents are taken in key order until the source's token
+digest of seed, id and text; within a source the documents are taken in key order until the source's token
 budget is spent. Budgets over a source's size take complete epochs first.
 
 The running sums that say where a budget ends are made in two levels, so that no task meets a whole
-source: keys are dealt to ``BUCKETS`` ranges by a fixed monotone function, ranges are summed (at most
-sources x BUCKETS rows), and rows are summed within their range only.
+source: keys are dealt to ranges of their logarithm, ``BUCKETS`` to a factor of two, ranges are summed (at most
+sources x 80 x BUCKETS rows), and rows are summed within their range only. The logarithm of an exponential variable has a
+density of at most 1/e whatever its scale, so of the documents of one weight, short or long, none of the ranges holds more
+than 1 in 900.
 
 Defined cases: a null text has size 0 and is taken 0 times; a null source is a source of its own, last
-in order; rows with equal keys (repeated ids) go by id, then size, then text digest; an empty table
+in order; rows with equal keys (repeated rows) go by id, then size, then text digest; an empty table
 gives an empty result; extra columns don't take part.
 """
 
@@ -20,12 +22,11 @@ from pyspark.sql import functions as F
 
 from heronlake.llm.common import BLANKS, WS, fresh, text_or_empty, written
 
-BUCKETS = 4096
+BUCKETS = 256
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 LIMIT = 2
 SEED = 17
-KEY_SCALE = 0.7
 
 
 def quality_weight(n: Column, symbols: Column) -> Column:
@@ -33,9 +34,9 @@ def quality_weight(n: Column, symbols: Column) -> Column:
     return (n.cast("double") / (n + F.lit(20))) / (F.lit(1.0) + F.lit(10.0) * symbols.cast("double") / F.greatest(n, F.lit(1)))
 
 
-def uniform(id_col: Column, seed: int) -> Column:
-    """In (0, 1), from the first 52 bits of a digest of seed and id."""
-    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(id_col.cast("string"), F.lit("null"))))
+def uniform(id_col: Column, text: Column, seed: int) -> Column:
+    """In (0, 1), from the first 52 bits of a digest of seed, id and text."""
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(id_col.cast("string"), F.lit("null")), F.lit("|"), F.md5(text)))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
@@ -47,8 +48,8 @@ def sized(df: DataFrame, id_col: str, source_col: str, text_col: str, seed: int
     d = df.withColumn(names["size"], F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, WS + "+"))).cast("long"))
     d = d.withColumn(names["sym"], F.length(t) - F.length(F.translate(t, "#*$%&|<>", "")))
     weight = F.greatest(quality_weight(F.col(names["size"]), F.col(names["sym"])), F.lit(1e-6))
-    d = d.withColumn(names["key"], -F.log(uniform(F.col(id_col), seed)) / weight)
-    d = d.withColumn(names["bucket"], F.floor(F.lit(BUCKETS) * (F.lit(1.0) - F.exp(F.lit(-KEY_SCALE) * F.col(names["key"])))).cast("int"))
+    d = d.withColumn(names["key"], -F.log(uniform(F.col(id_col), t, seed)) / weight)
+    d = d.withColumn(names["bucket"], F.floor(F.lit(BUCKETS) * F.log2(F.least(F.greatest(F.col(names["key"]), F.lit(2.0**-40)), F.lit(2.0**40)))).cast("int"))
     d = d.withColumn(names["source"], F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("t")))
     d = d.withColumn(names["tie"], F.xxhash64(t))
     return d.drop(names["sym"]), {k: v for k, v in names.items() if k not in ("words", "sym")}

@@ -51,7 +51,7 @@ MIX = r"""
 sized AS (SELECT *, coalesce(text, '') AS t FROM {docs}),
 keyed AS (SELECT *, len(list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> ''))::BIGINT AS m_size,
    len(regexp_extract_all(t, '[#*$%&|<>]')) AS m_sym,
-   (('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS m_u FROM sized),
+   (('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, 'null') || '|' || md5(t)), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS m_u FROM sized),
 keys AS (SELECT *, -ln(m_u) / greatest((m_size::DOUBLE / (m_size + 20)) / (1.0 + 10.0 * m_sym::DOUBLE / greatest(m_size, 1)), 1e-6) AS m_key FROM keyed),
 sources AS (SELECT source, sum(m_size)::BIGINT AS m_source_size FROM keys GROUP BY source),
 weighed AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 2.0::DOUBLE * m_source_size AS cap FROM sources),
@@ -75,14 +75,14 @@ OP8 = (
 )
 
 OP4 = r"""
-WITH turns AS (SELECT conv_id, turn, coalesce(nullif(trim(role), ''), 'unknown') AS name, coalesce(text, '') AS text,
+WITH turns AS (SELECT conv_id, turn, coalesce(nullif(trim(role, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), ''), 'unknown') AS name, coalesce(text, '') AS text,
     coalesce(floor(turn / 256), -1)::BIGINT AS block FROM conversations),
 placed AS (SELECT *, floor((row_number() OVER (PARTITION BY conv_id, block ORDER BY turn NULLS FIRST, name, text) - 1) / 256)::INT AS part FROM turns),
 speakers AS (SELECT DISTINCT conv_id, name AS perspective FROM turns WHERE name <> 'system'),
 seg AS (SELECT p.*, s.perspective, p.name = s.perspective AS target,
     CASE WHEN p.name = s.perspective THEN '<|assistant|>' || chr(10) WHEN p.name = 'system' THEN '<|system|>' || chr(10)
-         ELSE '<|user name=' || replace(p.name, '<|', '<\|') || '|>' || chr(10) END AS head,
-    replace(p.text, '<|', '<\|') || '<|end|>' || chr(10) AS body
+         ELSE '<|user name=' || replace(replace(p.name, '<|', '<\|'), '|>', '\|>') || '|>' || chr(10) END AS head,
+    replace(replace(p.text, '<|', '<\|'), '|>', '\|>') || '<|end|>' || chr(10) AS body
     FROM placed p JOIN speakers s ON p.conv_id IS NOT DISTINCT FROM s.conv_id),
 place AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, block, part, perspective ORDER BY turn NULLS FIRST, name, text
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM seg)

@@ -30,6 +30,33 @@ def test_query_equals_sql(spark, con, name):
     assert sorted(df.columns) == names and rows_of(df) == expected
 
 
+def test_letters_and_form_feeds_at_both_ends(spark):
+    """Texts with f and form feeds at their ends, in Spark, in SQL and by definition."""
+    import duckdb
+
+    texts = ["for all of us if", "f", "f f f", "\f a \x0b f\f", "\f", "\t\r\n", "\x0bf", "if " * 30 + "f", None, "", "\u00a0f\u2003"]
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOC)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, 'en', 's', 0)", list(enumerate(texts)))
+    rules = quality_rules.quality_rules(d).withColumn("failed_rules", F.array_join("failed_rules", ","))
+    mix = mixing.mixture(d).withColumn("target", F.round("target", 6))
+    assert rows_of(rules) == rows_of_sql(con, queries.ORACLE_SQL["op6_quality_rules"])[1]
+    assert rows_of(mix) == rows_of_sql(con, queries.ORACLE_SQL["op8_mixing"])[1]
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    assert {r.doc_id: (r.n_words, r.word_chars) for r in rules.collect()} == {i: (len(w), sum(map(len, w))) for i, w in enumerate(words)}
+    assert {r.doc_id: r.size for r in mix.collect()} == {i: len(w) for i, w in enumerate(words)}
+
+
+def test_key_ranges_are_even(spark):
+    """No range of keys holds many of the documents of one size, empty ones included."""
+    for n in (0, 1, 3, 400):
+        d = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id")).alias("doc_id"), F.lit("s").alias("source"), F.concat(F.col("id").cast("string"), F.repeat(F.lit(" w"), n - 1)).alias("text"))
+        d = d.withColumn("text", F.lit("").alias("text")).where("doc_id IS NOT NULL") if n == 0 else d
+        small, names = mixing.sized(d, "doc_id", "source", "text")
+        assert small.groupBy(names["bucket"]).count().agg(F.max("count")).first()[0] < 20_000 / 400
+
+
 ODD = [
     (1, None, "en", "a", 0), (2, "", None, "a", 0), (3, " \n\t ", "en", None, 3), (4, "one", "en", "b", 3), (4, "one", "en", "b", 3), (None, "two words", "en", "b", 9),
     (5, "x " * 30_000, "en", "a", 60_000), (6, "The of and to in is that for. " * 40, "en", "b", 9), (7, "é▁ \0 ﬁ 日本 CC-BY 4.0 all rights reserved", "en", "b", 9),
@@ -48,13 +75,48 @@ OPS = {
 }
 
 
+#: Defined values of the odd rows, by position: words of each text, and what an operator gives.
+N_WORDS = [0, 0, 0, 1, 1, 2, 30_000, 320, 9]
+ODD_VALUES = {
+    "sentencepiece": lambda r, i: (r.n_tokens == 0) == (ODD[i][1] in (None, "")) and r.lossless and len(r.ids) == r.n_tokens,
+    "classifier": lambda r, i: (r.score == 0.0 and not r.kept and r.posterior is None) if N_WORDS[i] == 0 else 0 < r.score < 1 and r.posterior is not None,
+    "licenses": lambda r, i: (r.base_labels, r.first_word, r.last_word, r.n_base) == ((["cc-by", "reserved"], 3, 7, 2) if i == 8 else ([], None, None, 0)) and r.labels == ["all-rights-reserved"] * (i == 8) + r.base_labels,
+    "rules": lambda r, i: (r.n_words, r.base_failed, r.kept) == (N_WORDS[i], True, False) and r.n_repeat_words == {6: 30_000, 7: 320}.get(i, 0),
+    "mixing": lambda r, i: r.size == N_WORDS[i] and r.source == ODD[i][3] and 0 <= r.taken <= 2 * r.size,
+    "join": lambda r, i: r.component_id == ODD[i][0] and r.n_shingles == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1, 6: 1, 7: 8}.get(i, r.n_shingles),
+}
+
+
 @pytest.mark.parametrize("name", sorted(OPS))
 def test_odd_and_empty_tables(spark, name):
     d = odd(spark)
-    assert OPS[name](d).count() == len(ODD)
+    rows = OPS[name](d).collect()
+    assert len(rows) == len(ODD)
+    left = list(rows)
+    for i, row in enumerate(ODD):  # each odd row has a result with its id and the defined values
+        found = next(r for r in left if r.doc_id == row[0] and ODD_VALUES[name](r, i))
+        left.remove(found)
     assert OPS[name](d.limit(0)).count() == 0
 
 
+def test_classifier_with_null_or_equal_ids(spark, monkeypatch):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    own = {r.text: r.kept for r in quality_model.classify(d).join(d, "doc_id").collect()}
+    for odd_id in (None, 7):
+        same = d.withColumn("doc_id", F.lit(odd_id).cast("long"))
+        model = quality_model.train(same)
+        assert np.abs(model.weights).sum() > 1
+        kept = {r.text for r in quality_model.filter_classified(same, model=model).select("text").collect()}
+        assert sum(own[t] != (t in kept) for t in own) <= 0.03 * len(own)
+    copies = d.limit(1).crossJoin(spark.range(500)).select("doc_id", "text")
+    import pyspark.sql
+
+    sizes, fetch = [], pyspark.sql.DataFrame.toArrow
+    monkeypatch.setattr(type(copies), "toArrow", lambda self: sizes.append(t := fetch(self)) or t)
+    quality_model.train(copies, sample=50)
+    assert sizes and all(0 < t.num_rows <= 50 for t in sizes)
+
+
 @pytest.mark.parametrize("stage", [quality_rules.filter_quality, quality_model.filter_classified, mixing.mixed_rows])
 def test_stages_keep_columns(spark, stage):
     d = odd(spark)
@@ -145,10 +207,11 @@ def test_html_of_other_forms():
 
 
 def test_chat_masks(spark):
-    rows = [(1, 0, "user", "Hi <|end|>"), (1, 1, "assistant", "Yo"), (1, 2, None, "?"), (2, 0, "system", "s"), (None, None, "user", None), (3, 0, "a", "x"), (3, 0, "a", "x")]
+    rows = [(1, 0, "user", "Hi <|end|>"), (1, 1, "\tassistant\n", "Yo"), (4, 0, "\t ", "a"), (4, 1, "x|>y<|z", "b"), (1, 2, None, "?"), (2, 0, "system", "s"), (None, None, "user", None), (3, 0, "a", "x"), (3, 0, "a", "x")]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("key", F.lit(1))
     out = chat.perspectives(d).collect()
-    assert sorted((r.conv_id or 0, r.perspective) for r in out) == [(0, "user"), (1, "assistant"), (1, "unknown"), (1, "user"), (3, "a")]
+    assert sorted((r.conv_id or 0, r.perspective) for r in out) == [(0, "user"), (1, "assistant"), (1, "unknown"), (1, "user"), (3, "a"), (4, "unknown"), (4, "x|>y<|z")]
+    assert next(r for r in out if r.perspective == "unknown" and r.conv_id == 4).text == "<|assistant|>\na<|end|>\n<|user name=x\\|>y<\\|z|>\nb<|end|>\n"
     for r in out:
         spoken = [r.text[m.start : m.end] for m in r.mask]
         assert all(s.endswith("<|end|>\n") and s.count("<|end|>") == 1 for s in spoken) and r.n_chars == len(r.text)
