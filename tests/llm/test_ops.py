@@ -109,9 +109,8 @@ def test_classifier_with_null_or_equal_ids(spark, monkeypatch):
         kept = {r.text for r in quality_model.filter_classified(same, model=model).select("text").collect()}
         assert sum(own[t] != (t in kept) for t in own) <= 0.03 * len(own)
     copies = d.limit(1).crossJoin(spark.range(500)).select("doc_id", "text")
-    import pyspark.sql
 
-    sizes, fetch = [], pyspark.sql.DataFrame.toArrow
+    sizes, fetch = [], type(copies).toArrow
     monkeypatch.setattr(type(copies), "toArrow", lambda self: sizes.append(t := fetch(self)) or t)
     quality_model.train(copies, sample=50)
     assert sizes and all(0 < t.num_rows <= 50 for t in sizes)
