@@ -16,8 +16,8 @@ STOPWORDS = (
     "what which who whom when where why how about into over under than so such also there here"
 ).split()
 
-#: Words that refer back, and so need a history.
-PRONOUNS = "he she it they this that these those him her them his its their there".split()
+#: Words that refer back, and so need a history. Fixed values.
+PRONOUNS = ("it", "they", "this", "that", "these", "those", "he", "she", "them", "him", "her", "back then")
 
 
 def squeeze(c: Column) -> Column:
@@ -30,14 +30,19 @@ def norm_qa(c: Column) -> Column:
     return squeeze(F.regexp_replace(c, r"\b(a|an|the)\b", " "))
 
 
-#: Lines of page furniture.
-BOILERPLATE = (r"^\s*page \d+( of \d+)?\s*$", r"^\s*(skip to|back to) (main )?(content|top)\s*$", r"^\s*(share|print|email)( this)?( page)?\s*$", r"^\s*last (updated|reviewed|modified).*$")
+#: What a line of page furniture holds, whatever the case. Fixed values.
+BOILERPLATE = (
+    r"Saving your location allows us to provide you with more relevant information",
+    r"\bSet Location\b",
+    r"Office of the Patient Advocate - State of California",
+    r"^\s*[×x]\s*$",
+)
 
 
-def norm_dedup(c: Column) -> Column:
+def norm_dedup(c: Column, boilerplate=BOILERPLATE) -> Column:
     """Without boilerplate lines, with single blanks."""
-    rule = "(?i)" + "|".join(BOILERPLATE)
-    return squeeze(F.array_join(F.filter(F.split(c, r"\r\n|\n|\r"), lambda x: ~x.rlike(rule)), " "))
+    rule = "(?i)" + "|".join(f"(?:{p})" for p in boilerplate)
+    return squeeze(F.array_join(F.filter(F.split(c, r"\r\n|\n|\r"), lambda x: ~F.trim(x).rlike(rule)), " "))
 
 
 def norm_query(c: Column) -> Column:
@@ -232,18 +237,22 @@ def standalone_question(c: Column) -> Column:
     return c.rlike(r"\?\s*$") & ~c.rlike(rf"(?i)\b({'|'.join(PRONOUNS)})\b") & (F.size(F.split(F.trim(c), r"\s+")) >= 4)
 
 
+#: Words between bars that mark leaked markup. Fixed values.
+MARKUP = ("document", "rank", "score", "relevance")
+
+
 def garbage(c: Column) -> Column:
     """Too short, a number, a time stamp, or leaked markup."""
     t = F.trim(c)
-    return (F.length(t) < 6) | t.rlike("^[0-9]+$") | t.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}") | t.contains("|document|") | t.contains("|assistant|")
+    return (F.length(t) < 6) | t.rlike("^[0-9]+$") | t.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$") | F.lower(t).rlike(r"\|(" + "|".join(MARKUP) + r")\|")
 
 
-def domain(c: Column) -> Column:
-    """The first of the known domains that a collection's name holds."""
-    low, out = F.lower(c), None
-    for name in ("clapnq", "fiqa", "govt", "cloud"):
-        out = (F if out is None else out).when(low.contains(name), name)
-    return out.otherwise(F.regexp_extract(low, r"mt-rag-([a-z]+)-", 1))
+def domain(c: Column, names, pattern: str) -> Column:
+    """The first of the known ``names`` that a collection's name holds, else the first group of ``pattern``; in lower case."""
+    low, out = F.lower(c), F.lit(None).cast("string")
+    for name in reversed(names):
+        out = F.when(low.contains(name), name).otherwise(out)
+    return F.coalesce(out, F.regexp_extract(low, pattern, 1))
 
 
 def idf(n: Column, df: Column, kind: str = "log", clip: bool = False) -> Column:

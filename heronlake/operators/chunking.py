@@ -40,33 +40,50 @@ def boundaries(units: DataFrame, key: str, order: str, vector: str, threshold: f
     return d.drop("__p")
 
 
-def greedy_pack(df: DataFrame, key: str, order: str, size: str, most: int, overlap: int = 0) -> DataFrame:
-    """key, pack, first, last, tokens: adjacent pieces in packs of at most ``most`` tokens (a longer piece alone); the next
-    pack starts again with the last pieces of at most ``overlap`` tokens. Each restart depends on the pack before, so a key
-    is read in order by one task; it holds numbers only."""
+def packs(place: list[int], sizes: list[int], most: int, overlap: int) -> list[tuple[int, int, int, int]]:
+    """(pack, first, last, tokens): adjacent pieces in packs of at most ``most`` tokens (a longer piece alone); the next
+    pack starts again with the last pieces of at most ``overlap`` tokens."""
+    out, i = [], 0
+    while i < len(sizes):
+        total, j = sizes[i], i + 1
+        while j < len(sizes) and total + sizes[j] <= most:
+            total += sizes[j]
+            j += 1
+        out.append((len(out), place[i], place[j - 1], total))
+        if j == len(sizes):
+            break
+        back, k = 0, j
+        while k - 1 > i and back + sizes[k - 1] <= overlap and back + sizes[k - 1] + sizes[j] <= most:
+            back += sizes[k - 1]
+            k -= 1
+        i = k
+    return out
+
+
+def packed_rows(df: DataFrame, key: str, pieces: str, most: int, overlap: int = 0) -> DataFrame:
+    """key, pack, first, last, tokens of rows whose ``pieces`` (array<struct<at, n>>) stand in order: ``packs`` row by row,
+    without a shuffle."""
     kind = df.schema[key].dataType.simpleString()
 
-    def run(pdf):
-        import pandas as pd
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows, out = [], []
+            for i, items in enumerate(batch.column(1).to_pylist()):
+                found = packs([x["at"] for x in items or ()], [x["n"] for x in items or ()], most, overlap)
+                out += found
+                rows += [i] * len(found)
+            columns = [pa.array([o[i] for o in out], pa.int64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *columns], names=["k", "pack", "first", "last", "tokens"])
 
-        pdf = pdf.sort_values(order, kind="stable")
-        place, sizes, out, i = pdf[order].tolist(), pdf[size].tolist(), [], 0
-        while i < len(sizes):
-            total, j = sizes[i], i + 1
-            while j < len(sizes) and total + sizes[j] <= most:
-                total += sizes[j]
-                j += 1
-            out.append((pdf[key].iloc[0], len(out), place[i], place[j - 1], total))
-            if j == len(sizes):
-                break
-            back, k = 0, j
-            while k - 1 > i and back + sizes[k - 1] <= overlap and back + sizes[k - 1] + sizes[j] <= most:
-                back += sizes[k - 1]
-                k -= 1
-            i = k
-        return pd.DataFrame(out, columns=["k", "pack", "first", "last", "tokens"])
-
-    return df.select(key, order, size).groupBy(key).applyInPandas(run, f"k {kind}, pack long, first long, last long, tokens long").withColumnRenamed("k", key)
+    return df.select(key, pieces).mapInArrow(run, f"k {kind}, pack long, first long, last long, tokens long").withColumnRenamed("k", key)
+
+
+def greedy_pack(df: DataFrame, key: str, order: str, size: str, most: int, overlap: int = 0) -> DataFrame:
+    """``packed_rows`` of pieces that are rows of their own: a key's numbers are gathered in one row."""
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct(order, size))), lambda x: F.struct(x[order].cast("long").alias("at"), x[size].cast("long").alias("n")))
+    return packed_rows(df.groupBy(key).agg(pieces.alias("pieces")), key, "pieces", most, overlap)
 
 
 def budget_packs(spans: DataFrame, key: str, budget: int = 512, overlap: int = 100, gap: int = 64, fill: int = 384) -> DataFrame:

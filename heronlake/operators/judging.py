@@ -9,23 +9,58 @@ from pyspark.sql import functions as F
 
 from heronlake.functions.text import norm_qa
 
-#: Where a rating stands in a judge's answer; of all that match, the last of this list wins. Fixed values.
+#: Where a rating stands in a judge's answer, whatever the case; of all that match, the last of this list wins, with its first
+#: place. Fixed values.
 RATINGS = (
-    r"Rating: \[\[(\d+(?:\.\d+)?)\]\]",
-    r"Rating: \[(\d+(?:\.\d+)?)\]",
-    r"\[\[(\d+(?:\.\d+)?)\]\]",
-    r"Rating:\s*(\d+(?:\.\d+)?)",
-    r"Score:\s*(\d+(?:\.\d+)?)",
+    r"Rating: \[\[(\d+)\]\]",
+    r"Rating: (\d+)",
+    r"\[\[(\d+)\]\]",
+    r"\[(\d+)\]",
+    r"Rating: \[\[([0-9]*\.?[0-9]+)\]\]",
+    r"Overall Rating: ([0-9]*\.?[0-9]+)",
+    r"Score: ([0-9]*\.?[0-9]+)/10",
+    r"Score: ([0-9]*\.?[0-9]+)",
+    r"\[Rating\]\n(\d+)",
+    r"Rating: \[\[(\d+)/10\]\]",
+    r"Rating: \[\[([-+]?\d*\.?\d+)",
+    r"([-+]?\d*\.?\d+) out of 10",
 )
+#: What follows this on its line is an example and no rating. Fixed value.
+EXAMPLE = r"for example:.*?$"
+#: Where a judge's JSON has its rating; the first that is there counts. Fixed values.
+RATING_KEYS = ("rating", "score", "RB_llm", "rb_llm")
+#: Score of each outcome without a rating. Fixed values.
+ERROR_SCORES = {"EMPTY_ANSWER": 0.0, "EMPTY_CONTEXT": 0.0, "API_ERROR": 0.5, "PARSE_ERROR": 0.5}
+
+
+def stated(c: Column) -> Column:
+    """The rating over 10 that an answer states, whatever it is; null without one."""
+    t = F.regexp_replace(c, "(?im)" + EXAMPLE, "")
+    return F.coalesce(*[F.nullif(F.regexp_extract(t, "(?i)" + p, 1), F.lit("")).try_cast("double") for p in reversed(RATINGS)]) / 10
 
 
 def rating(c: Column) -> Column:
     """The rating over 10; 0.5 without one, or with one outside of (0, 1]."""
-    found = F.coalesce(*[F.nullif(F.regexp_extract(c, p, 1), F.lit("")).try_cast("double") for p in reversed(RATINGS)])
-    r = found / 10
+    r = stated(c)
     return F.when((r > 0) & (r <= 1), r).otherwise(0.5)
 
 
+def rating_or_code(answer: Column, has_context: Column | None = None, failed: Column | None = None) -> Column:
+    """struct<score, code>: OK with the rating of a JSON answer, clamped to 0..1, or of a plain one; without one an
+    error code and its score."""
+    t = F.trim(answer)
+    keys = [F.get_json_object(t, f"$.{k}").try_cast("double") for k in RATING_KEYS]
+    found = F.coalesce(*[F.when(k.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), k))) for k in keys], F.when(stated(t).isNotNull(), rating(t)))
+    code = F.when(F.coalesce(failed, F.lit(False)) if failed is not None else F.lit(False), "API_ERROR")
+    if has_context is not None:
+        code = code.when(~has_context, "EMPTY_CONTEXT")
+    code = code.when(F.coalesce(t, F.lit("")) == "", "EMPTY_ANSWER").when(found.isNull(), "PARSE_ERROR").otherwise("OK")
+    default = F.lit(None).cast("double")
+    for name, score in ERROR_SCORES.items():
+        default = F.when(code == name, F.lit(score)).otherwise(default)
+    return F.struct(F.when(code == "OK", found).otherwise(default).alias("score"), code.alias("code"))
+
+
 def faithfulness(claims: Column, own: Column | None = None) -> Column:
     """1 - unsupported share - half the unverifiable share, within 0..1, over an array of labels; 0 without claims. A
     judge's own score within 0..1 goes first."""

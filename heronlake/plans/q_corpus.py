@@ -15,7 +15,7 @@ N = r"len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))"
 n_words = lambda: F.size(cp.words(C("text")))
 LANG = r"""WITH g AS (SELECT *, CASE WHEN trim(regexp_replace(text, '\s+', ' ', 'g')) = '' THEN 'unk' WHEN length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) / length(text) > 0.9 THEN 'en_like'
  WHEN regexp_matches(text, '[\x{0400}-\x{04FF}]') THEN 'ru_like' WHEN regexp_matches(text, '[\x{4E00}-\x{9FFF}]') THEN 'zh_like' ELSE 'non_en_like' END AS tag FROM documents)"""
-NORM = r"trim(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '(?i)" + "|".join(tx.BOILERPLATE).replace("'", "''") + r"')), ' '), '\s+', ' ', 'g'))"
+NORM = r"trim(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '(?i)" + r"Saving your location allows us to provide you with more relevant information|\bSet Location\b|Office of the Patient Advocate - State of California|^\s*[×x]\s*$" + r"')), ' '), '\s+', ' ', 'g'))"
 DUP = f"WITH d AS (SELECT doc_id AS member, sha1({NORM}) AS h FROM documents), g AS (SELECT h, min(member) AS rep, count(*) AS count FROM d GROUP BY h HAVING count(*) >= 2), m AS (SELECT member, rep, count, member <> rep AND member NOT IN (SELECT doc_id FROM labels WHERE toxic = 0) AS drop FROM d JOIN g USING (h))"
 
 

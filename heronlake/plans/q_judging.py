@@ -37,10 +37,6 @@ def judged(spark, sf_dir):
 
 C = F.col
 VALUES = {
-    "met_rating": (
-        lambda: jd.rating(C("judge")),
-        "CASE doc_id % 6 WHEN 0 THEN CASE WHEN doc_id % 11 BETWEEN 1 AND 10 THEN (doc_id % 11) / 10 ELSE 0.5 END WHEN 1 THEN (doc_id % 10 + 0.5) / 10 WHEN 3 THEN CASE WHEN doc_id % 9 > 0 THEN (doc_id % 9) / 10 ELSE 0.5 END WHEN 4 THEN 0.7 ELSE 0.5 END::DOUBLE",
-    ),
     "met_faith": (
         lambda: jd.faithfulness(C("claims")),
         "greatest(0, 1 - len(list_filter(claims, lambda x: x = 'not_supported')) / len(claims) - 0.5::DOUBLE * len(list_filter(claims, lambda x: x = 'unverifiable')) / len(claims))::DOUBLE",
@@ -73,10 +69,6 @@ TEXTS = {
         lambda: jd.idk_norm(C("reply")),
         "CASE doc_id % 5 WHEN 0 THEN 'yes.' WHEN 2 THEN 'partial' ELSE lower(trim(reply)) END",
     ),
-    "met_rating_fb": (
-        lambda: F.when(C("judge") == "", "EMPTY_ANSWER").when(jd.rating(C("judge")) == 0.5, "PARSE_ERROR").otherwise("OK"),
-        "CASE WHEN judge = '' THEN 'EMPTY_ANSWER' WHEN doc_id % 6 = 2 OR (doc_id % 6 = 0 AND doc_id % 11 IN (0, 5)) OR (doc_id % 6 = 3 AND doc_id % 9 IN (0, 5)) THEN 'PARSE_ERROR' ELSE 'OK' END",
-    ),
 }
 for _names, _rounded in ((VALUES, True), (TEXTS, False)):
     for _name, (_f, _sql) in _names.items():
@@ -88,6 +80,47 @@ for _names, _rounded in ((VALUES, True), (TEXTS, False)):
         query(_name, J + f" SELECT doc_id, {f'round({_sql}, 6)' if _rounded else _sql} AS value FROM c")(_run)
 
 
+#: Answers in all the forms in which judges rate, from the document's id, in Spark and in SQL.
+ANSWERS = """WITH a AS (SELECT doc_id, (doc_id % 13)::VARCHAR AS k FROM documents),
+f AS (SELECT doc_id, CASE doc_id % 18 WHEN 0 THEN 'Rating: [[' || k || ']]' WHEN 1 THEN 'score: ' || k || '.5/10' WHEN 2 THEN 'none' WHEN 3 THEN 'Rating: [3] then [[' || k || ']]'
+  WHEN 4 THEN 'rating: ' || k WHEN 5 THEN '' WHEN 6 THEN 'I say [' || k || '].' WHEN 7 THEN 'OVERALL rating: 6.5 and [2]' WHEN 8 THEN k || ' OUT of 10' WHEN 9 THEN '[Rating]' || chr(10) || k
+  WHEN 10 THEN 'Rating: [[' || k || '/10]]' WHEN 11 THEN 'Rating: [[' || k WHEN 12 THEN 'For example: Rating: [[2]]' || chr(10) || 'Score: ' || k WHEN 13 THEN 'Rating: [[8.5]]' WHEN 14 THEN 'Rating: 10, then [[4]]'
+  WHEN 15 THEN '-3 out of 10' WHEN 16 THEN '{"rating": 0.' || k || ', "why": "x"}' ELSE '{"rb_llm": ' || k || '}' END AS t FROM a)"""
+
+
+def answers(spark, sf_dir):
+    k, nl = (F.col("doc_id") % 13).cast("string"), "\n"
+    forms = [("Rating: [[", k, "]]"), ("score: ", k, ".5/10"), ("none",), ("Rating: [3] then [[", k, "]]"), ("rating: ", k), ("",), ("I say [", k, "]."), ("OVERALL rating: 6.5 and [2]",), (k, " OUT of 10"),
+             (f"[Rating]{nl}", k), ("Rating: [[", k, "/10]]"), ("Rating: [[", k), (f"For example: Rating: [[2]]{nl}Score: ", k), ("Rating: [[8.5]]",), ("Rating: 10, then [[4]]",), ("-3 out of 10",),
+             ('{"rating": 0.', k, ', "why": "x"}'), ('{"rb_llm": ', k, "}")]
+    made = F.array(*[F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in f]) for f in forms])
+    return table(spark, sf_dir, "documents").select("doc_id", F.element_at(made, (F.col("doc_id") % 18 + 1).cast("int")).alias("t"))
+
+
+_X = r"regexp_replace(t, '(?im)for example:.*?$', '', 'g')"
+STATED = "coalesce(" + ", ".join(
+    f"try_cast(nullif(regexp_extract({_X}, '{p}', 1), '') AS DOUBLE)"
+    for p in (
+        r"(?i)([-+]?\d*\.?\d+) out of 10", r"(?i)Rating: \[\[([-+]?\d*\.?\d+)", r"(?i)Rating: \[\[(\d+)/10\]\]", r"(?i)\[Rating\]\n(\d+)", r"(?i)Score: ([0-9]*\.?[0-9]+)", r"(?i)Score: ([0-9]*\.?[0-9]+)/10",
+        r"(?i)Overall Rating: ([0-9]*\.?[0-9]+)", r"(?i)Rating: \[\[([0-9]*\.?[0-9]+)\]\]", r"(?i)\[(\d+)\]", r"(?i)\[\[(\d+)\]\]", r"(?i)Rating: (\d+)", r"(?i)Rating: \[\[(\d+)\]\]",
+    )
+) + ") / 10"
+RATED = ANSWERS + f", r AS (SELECT *, {STATED} AS s FROM f), v AS (SELECT *, CASE WHEN s > 0 AND s <= 1 THEN s ELSE 0.5 END AS value FROM r)"
+
+
+@query("met_rating", RATED + " SELECT doc_id, round(value, 6)::DOUBLE AS value FROM v")
+def met_rating(spark, sf_dir):
+    return answers(spark, sf_dir).select("doc_id", F.round(jd.rating(C("t")), 6).alias("value"))
+
+
+@query("met_rating_fb", RATED + """, j AS (SELECT *, CASE WHEN t LIKE '{%' THEN coalesce(try_cast(json_extract_string(t, '$.rating') AS DOUBLE), try_cast(json_extract_string(t, '$.score') AS DOUBLE), try_cast(json_extract_string(t, '$.RB_llm') AS DOUBLE), try_cast(json_extract_string(t, '$.rb_llm') AS DOUBLE)) END AS js FROM v)
+SELECT doc_id, CASE WHEN t = '' THEN 'EMPTY_ANSWER' WHEN js IS NULL AND s IS NULL THEN 'PARSE_ERROR' ELSE 'OK' END AS code,
+ round(CASE WHEN t = '' THEN 0.0 WHEN js IS NOT NULL THEN greatest(0, least(1, js)) WHEN s IS NULL THEN 0.5 ELSE value END, 6)::DOUBLE AS score FROM j""")
+def met_rating_fb(spark, sf_dir):
+    r = answers(spark, sf_dir).select("doc_id", jd.rating_or_code(C("t")).alias("r"))
+    return r.select("doc_id", "r.code", F.round("r.score", 6).alias("score"))
+
+
 @query("prd_needs_hist", J + " SELECT doc_id, contains(upper(cell), 'UNANSWERABLE') OR contains(upper(cell), 'CONVERSATIONAL') AS value FROM j")
 def prd_needs_hist(spark, sf_dir):
     cells = F.array(C("cell"))

@@ -39,7 +39,7 @@ def docs_of(v: DataFrame) -> DataFrame:
 
 def dense(spark, sf_dir, k: int = 20) -> DataFrame:
     v = vectors(spark, sf_dir)
-    return rt.top(rt.dense_scores(queries_of(v), docs_of(v)), k)
+    return rt.dense_topk_blocks(queries_of(v), docs_of(v), k)
 
 
 def tokens(spark, sf_dir) -> DataFrame:
@@ -73,7 +73,7 @@ RANK = "row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_i
 run_query("jn_query_doc", f"(SELECT *, {RANK} AS rank FROM sc)", lambda s, d: rt.ranked(rt.dense_scores(queries_of(vectors(s, d)), docs_of(vectors(s, d)))))
 run_query("top_dense", "dense", lambda s, d: rt.dense_topk_blocks(queries_of(vectors(s, d)), docs_of(vectors(s, d)), 20))
 run_query("ret_dense", "dense", lambda s, d: dense(s, d, 10), k=10)
-run_query("ret_dense_simple", "dense", lambda s, d: rt.top(rt.dense_scores(queries_of(vectors(s, d)), docs_of(vectors(s, d))), 100), k=100)
+run_query("ret_dense_simple", "dense", lambda s, d: dense(s, d, 100), k=100)
 run_query("win_rank_desc", f"(SELECT *, {RANK} AS rank FROM ssc)", lambda s, d: sparse(s, d, 1_000_000_000))
 run_query("jn_postings", "sparse", lambda s, d: sparse(s, d, 100), k=100)
 run_query("top_heap", "sparse", sparse)
@@ -203,12 +203,26 @@ OV = """, o AS (SELECT qid, doc_id, d.doc_id IS NOT NULL AS ind, s.doc_id IS NOT
  LEFT JOIN (SELECT * FROM dense WHERE rank <= 10) d USING (qid, doc_id) LEFT JOIN (SELECT * FROM sparse WHERE rank <= 10) s USING (qid, doc_id) LEFT JOIN qrels r USING (qid, doc_id))
 SELECT qid, count(*) FILTER (rel AND ind) AS dense_hits, count(*) FILTER (rel AND ins) AS sparse_hits, count(*) FILTER (rel) AS union_hits, count(*) FILTER (rel AND ind AND NOT ins) AS dense_only,
  count(*) FILTER (rel AND ins AND NOT ind) AS sparse_only, round(count(*) FILTER (ind AND ins) / count(*), 6) AS jaccard FROM o WHERE qid IN (SELECT qid FROM qrels) GROUP BY qid"""
-for _name in ("agg_overlap", "set_topk_sets"):
 
-    def _ov(spark, sf_dir):
-        return r6(ir.overlap(dense(spark, sf_dir), sparse(spark, sf_dir), qrels(spark, sf_dir), 10), "jaccard")
 
-    query(_name, B + OV)(_ov)
+@query("agg_overlap", B + OV)
+def agg_overlap(spark, sf_dir):
+    return r6(ir.overlap(dense(spark, sf_dir), sparse(spark, sf_dir), qrels(spark, sf_dir), 10), "jaccard")
+
+
+SETS = """, a AS (SELECT qid, list(doc_id) AS x FROM dense WHERE rank <= 10 GROUP BY qid), b AS (SELECT qid, list(doc_id) AS y FROM sparse WHERE rank <= 10 GROUP BY qid),
+c AS (SELECT qid, coalesce(x, []) AS x, coalesce(y, []) AS y FROM a FULL JOIN b USING (qid)), s AS (SELECT qid, list_sort(list_distinct(list_concat(x, y))) AS u, list_sort(list_intersect(x, y)) AS i, list_sort(list_filter(x, lambda e: NOT list_contains(y, e))) AS o FROM c)
+SELECT qid, array_to_string(u, ',') AS either, array_to_string(i, ',') AS both, array_to_string(o, ',') AS dense_only, len(u)::BIGINT AS n_either FROM s"""
+
+
+@query("set_topk_sets", B + SETS)
+def set_topk_sets(spark, sf_dir):
+    """Union, intersection and difference of the documents that two runs have among their first ten."""
+    a, b = (run.where("rank <= 10").groupBy("qid").agg(F.collect_list("doc_id").alias(n)) for run, n in ((dense(spark, sf_dir), "x"), (sparse(spark, sf_dir), "y")))
+    none = F.array().cast("array<bigint>")
+    j = a.join(b, "qid", "full_outer").withColumns({"x": F.coalesce("x", none), "y": F.coalesce("y", none)})
+    shown = lambda c: F.array_join(F.transform(F.sort_array(c), lambda e: e.cast("string")), ",")
+    return j.select("qid", shown(F.array_union("x", "y")).alias("either"), shown(F.array_intersect("x", "y")).alias("both"), shown(F.array_except("x", "y")).alias("dense_only"), F.size(F.array_union("x", "y")).cast("long").alias("n_either"))
 
 
 SWEEP = B + """, p AS (SELECT * FROM (VALUES (10.0::DOUBLE), (60.0::DOUBLE)) a(k), (VALUES (0.5::DOUBLE), (1.0::DOUBLE)) b(wd)),
@@ -285,15 +299,19 @@ for _name, _how in (("agg_passage_max", "max"), ("ret_semchunk_parent", "max"),
     query(_name, B + f" SELECT qid, (doc_id // 4)::BIGINT AS doc_id, round({_how}(score), 6) AS score FROM sc GROUP BY ALL")(_parents)
 
 
-@query("mine_hardneg", B + """, pos AS (SELECT qid, doc_id AS pos FROM qrels QUALIFY row_number() OVER (PARTITION BY qid ORDER BY md5(doc_id || '|7'), doc_id) <= 2),
-neg AS (SELECT d.qid, d.doc_id AS neg FROM dense d LEFT JOIN qrels q USING (qid, doc_id) WHERE q.rel IS NULL)
-SELECT qid, pos, neg FROM pos JOIN neg USING (qid) QUALIFY row_number() OVER (PARTITION BY qid, pos ORDER BY md5(pos || '|' || neg), neg) <= 2""")
+@query("mine_hardneg", BASE.replace("{k}", "50") + """, pos AS (SELECT qid, doc_id AS pos FROM qrels QUALIFY row_number() OVER (PARTITION BY qid ORDER BY md5(doc_id || '|7'), doc_id) <= 2),
+neg AS (SELECT d.qid, d.doc_id AS neg FROM dense d LEFT JOIN qrels q USING (qid, doc_id) WHERE q.rel IS NULL),
+c AS (SELECT qid, pos, list(neg ORDER BY md5(pos || '|' || neg), neg) AS a FROM pos JOIN neg USING (qid) GROUP BY qid, pos)
+SELECT qid, pos, i AS draw, a[(i % len(a)) + 1] AS neg FROM c, (VALUES (0::BIGINT), (1::BIGINT), (2::BIGINT)) n(i)""")
 def mine_hardneg(spark, sf_dir):
+    """Three negatives for each of two positives, drawn from the 50 nearest that aren't relevant; where there are fewer than
+    three, they are drawn again."""
     q = qrels(spark, sf_dir)
     pos = q.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.md5(F.concat("doc_id", F.lit("|7"))), "doc_id"))).where("r <= 2").select("qid", F.col("doc_id").alias("pos"))
-    neg = dense(spark, sf_dir).join(q, ["qid", "doc_id"], "left_anti").select("qid", F.col("doc_id").alias("neg"))
-    w = Window.partitionBy("qid", "pos").orderBy(F.md5(F.concat("pos", F.lit("|"), "neg")), "neg")
-    return pos.join(neg, "qid").withColumn("r", F.row_number().over(w)).where("r <= 2").select("qid", "pos", "neg")
+    neg = dense(spark, sf_dir, 50).join(q, ["qid", "doc_id"], "left_anti").select("qid", F.col("doc_id").alias("neg"))
+    c = pos.join(neg, "qid").groupBy("qid", "pos").agg(F.array_sort(F.collect_list(F.struct(F.md5(F.concat("pos", F.lit("|"), "neg")), "neg")))["neg"].alias("a"))  # 50 at most
+    c = c.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    return c.select("qid", "pos", "draw", F.element_at("a", (F.col("draw") % F.size("a") + 1).cast("int")).alias("neg"))
 
 
 @query("rep_qid_diff", B + " SELECT qid, doc_id, d.rank::BIGINT AS dense_rank, s.rank::BIGINT AS sparse_rank, r.rel IS NOT NULL AS relevant FROM dense d FULL JOIN sparse s USING (qid, doc_id) LEFT JOIN qrels r USING (qid, doc_id)")

@@ -34,10 +34,10 @@ def tokens(s, d):
 CTX = "WITH c AS (SELECT conv_id, turn, unnest([conv_id, turn, 999999]) AS doc_id, generate_subscripts([1, 2, 3], 1) AS pos FROM conversations)"
 
 
-@query("jn_attach_ctx", CTX + " SELECT conv_id, turn, string_agg(coalesce(d.text[1:20], '?'), '|' ORDER BY pos) AS texts, count(d.doc_id) AS hits FROM c LEFT JOIN documents d USING (doc_id) GROUP BY conv_id, turn")
+@query("jn_attach_ctx", CTX + " SELECT conv_id, turn, string_agg(coalesce(d.text, '?'), '|' ORDER BY pos) AS texts, count(d.doc_id) AS hits FROM c LEFT JOIN documents d USING (doc_id) GROUP BY conv_id, turn")
 def jn_attach_ctx(s, d):
     c = conv(s, d).select("conv_id", "turn", F.posexplode(F.array("conv_id", "turn", F.lit(999999).cast("long"))).alias("pos", "doc_id"))
-    j = c.join(docs(s, d).select("doc_id", F.substring("text", 1, 20).alias("x")), "doc_id", "left")
+    j = c.join(docs(s, d).select("doc_id", F.col("text").alias("x")), "doc_id", "left")
     g = j.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("x", F.lit("?")).alias("x")))).alias("a"), F.count("x").alias("hits"))
     return g.select("conv_id", "turn", F.array_join("a.x", "|").alias("texts"), "hits")
 
@@ -178,11 +178,25 @@ def chk_fixed(s, d):
     return fixed(s, d)
 
 
-@query("ret_split2", f"SELECT doc_id, half, array_to_string(CASE half WHEN 0 THEN t[1:(len(t) + 1) // 2] ELSE t[(len(t) + 1) // 2 + 1:] END, ' ') AS text FROM (SELECT doc_id, {WS} AS t FROM documents), (VALUES (0::BIGINT), (1::BIGINT)) h(half)")
+_WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+SPLIT = f"""WITH h AS (SELECT doc_id, half, CASE half WHEN 0 THEN t[1:(len(t) + 1) // 2] ELSE t[(len(t) + 1) // 2 + 1:] END AS t FROM (SELECT doc_id, {_WORDS} AS t FROM documents), (VALUES (0::BIGINT), (1::BIGINT)) x(half)),
+p AS (SELECT doc_id, half, t, ln(1 + count(*)) AS w FROM (SELECT doc_id, half, unnest(t) AS t FROM h) GROUP BY ALL), q AS (SELECT item_id AS qid, t, ln(1 + count(*)) AS w FROM (SELECT item_id, unnest({_WORDS}) AS t FROM benchmark) GROUP BY ALL),
+s AS (SELECT qid, doc_id, half, sum(q.w * p.w) AS score FROM q JOIN p USING (t) GROUP BY ALL), c AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id * 2 + half) <= 20)
+SELECT qid, doc_id, round(max(score), 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(max(score), 9) DESC, doc_id)::BIGINT AS rank FROM c GROUP BY qid, doc_id QUALIFY rank <= 10"""
+
+
+@query("ret_split2", SPLIT)
 def ret_split2(s, d):
+    """Head and tail of each document are retrieved, twice as many as asked for, and taken to their documents by the best."""
+    from heronlake.operators import retrieval as rt
+
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))
     half = F.floor((F.size("t") + 1) / 2).cast("int")
-    d2 = tokens(s, d).select("doc_id", F.posexplode(F.array(F.slice("t", F.lit(1), half), F.slice("t", half + 1, F.size("t")))).alias("half", "x"))
-    return d2.select("doc_id", C("half").cast("long").alias("half"), F.array_join("x", " ").alias("text"))
+    parts = docs(s, d).select("doc_id", words(C("text")).alias("t")).select("doc_id", F.posexplode(F.array(F.slice("t", F.lit(1), half), F.slice("t", half + 1, F.size("t")))).alias("half", "t"))
+    parts = rt.postings(parts.select((C("doc_id") * 2 + C("half")).alias("doc_id"), "t"), "doc_id", C("t"))
+    q = rt.postings(table(s, d, "benchmark").withColumnRenamed("item_id", "qid"), "qid", words(C("text")))
+    best = rt.to_parents(rt.top(rt.sparse_scores(q, parts), 20), F.floor(C("doc_id") / 2).cast("long"))
+    return rt.top(best, 10).select("qid", "doc_id", F.round("score", 6).alias("score"), C("rank").cast("long").alias("rank"))
 
 
 SEG = "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings), c AS (SELECT vec_id, label, list_cosine_similarity(p, v) AS cosine FROM e), g AS (SELECT *, sum(CASE WHEN cosine < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY vec_id) AS segment FROM c)"
@@ -229,7 +243,8 @@ def win_recency_budget(s, d):
 
 @query("win_greedy_pack")
 def win_greedy_pack(s, d):
-    return ck.greedy_pack(fixed(s, d).select("doc_id", "start", (C("end") - C("start")).alias("n")), "doc_id", "start", "n", 128, 32)
+    pieces = F.transform(ck.windows(C("t"), 32, 4), lambda w: F.struct(w["start"].cast("long").alias("at"), (w["end"] - w["start"]).cast("long").alias("n")))
+    return ck.packed_rows(tokens(s, d).select("doc_id", pieces.alias("pieces")), "doc_id", "pieces", 128, 32)
 
 
 for _name in ("win_budget_anchor", "chk_budget"):
@@ -329,30 +344,56 @@ for _name in ("fn_heuristic_rewrite", "qry_rewrite"):
 
 
 SENT = r"string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))"
-GIST = f"WITH s AS (SELECT doc_id, p, i FROM (SELECT doc_id, unnest(x) AS p, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, list_filter(list_transform({SENT}, lambda x: trim(x)), lambda x: x <> '')[1:30] AS x FROM documents))), k AS (SELECT *, 3 * len(regexp_extract_all(lower(p), '\\b(the|of|de|der)\\b')) + ln(1 + len(string_split(p, ' '))) AS score FROM s) SELECT doc_id, p[1:220] AS gist FROM k QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, i) = 1"
+_KWP = KW.replace("text", "p")
+GIST = f"""WITH tk AS (SELECT doc_id, unnest(kw) AS w, generate_subscripts(kw, 1) AS pl FROM (SELECT doc_id, {KW} AS kw FROM documents)),
+kc AS (SELECT doc_id, w, count(*) AS n, min(pl) AS pl FROM tk GROUP BY ALL), kk AS (SELECT doc_id, list(w ORDER BY n DESC, pl)[1:8] AS kws FROM kc GROUP BY doc_id),
+s AS (SELECT doc_id, unnest(x) AS p, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, list_filter(list_transform({SENT}, lambda x: trim(x)), lambda x: x <> '')[1:30] AS x FROM documents)),
+sc AS (SELECT doc_id, p, i, {_KWP} AS ts, coalesce(kws, []) AS kws FROM s LEFT JOIN kk USING (doc_id)),
+g AS (SELECT doc_id, CASE WHEN length(p) > 220 THEN regexp_replace(p[1:220], ' [^ ]*$', '') ELSE p END AS gist FROM sc
+ QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN len(ts) = 0 THEN -1.0 ELSE round(3 * len(list_filter(ts, lambda t: list_contains(kws, t))) + ln(1 + len(ts)), 9) END DESC, i) = 1)"""
 
 
-def gist(s, d):
-    x = docs(s, d).select("doc_id", F.posexplode(tx.context_sentences(C("text"))).alias("i", "p"))
-    score = 3 * F.regexp_count(F.lower("p"), F.lit(r"\b(the|of|de|der)\b")) + F.log(F.size(F.split("p", " ")) + 1.0)
-    x = x.withColumn("score", F.round(score, 9)).groupBy("doc_id").agg(F.max_by("p", F.struct("score", (-C("i")).alias("at"))).alias("p"))
-    return x.select("doc_id", F.substring("p", 1, 220).alias("gist"))
+def frequent_keywords(s, d, k: int = 8):
+    """doc_id, kws: the k most frequent keywords, of equal ones the first."""
+    x = docs(s, d).select("doc_id", F.posexplode(tx.keyword_tokens(C("text"))).alias("at", "w")).groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+    return x.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-C("n")).alias("n"), "at", "w"))), 1, k)["w"].alias("kws"))
 
 
+def gist(s, d, most: int = 220):
+    """doc_id, gist, kws: the sentence of most keywords (three points each) and words (their logarithm), cut at a blank."""
+    x = docs(s, d).join(frequent_keywords(s, d), "doc_id", "left").select("doc_id", F.coalesce("kws", F.array().cast("array<string>")).alias("kws"), F.posexplode(tx.context_sentences(C("text"))).alias("i", "p"))
+    x = x.withColumn("ts", tx.keyword_tokens(C("p")))
+    hits = F.size(F.filter("ts", lambda t: F.array_contains("kws", t)))
+    score = F.when(F.size("ts") == 0, -1.0).otherwise(F.round(3 * hits + F.log(F.size("ts") + 1.0), 9))
+    best = x.withColumn("score", score).groupBy("doc_id").agg(F.max_by(F.struct("p", "kws"), F.struct("score", (-C("i")).alias("at"))).alias("b"))
+    cut = F.when(F.length("b.p") > most, F.regexp_replace(F.substring("b.p", 1, most), " [^ ]*$", "")).otherwise(C("b.p"))
+    return best.select("doc_id", cut.alias("gist"), "b.kws")
 
 
-@query("fn_gist")
+@query("fn_gist", GIST + " SELECT doc_id, gist FROM g")
 def fn_gist(s, d):
-    return gist(s, d)
+    return gist(s, d).select("doc_id", "gist")
 
 
-@query("fn_ctx_prefix")
-def fn_ctx_prefix(s, d):
-    """Document, keywords and gist before the text, the prefix cut to 64 words."""
-    x = docs(s, d).join(gist(s, d), "doc_id", "left")
-    prefix = F.concat_ws("\n", F.concat(F.lit("[DOC] "), "source"), F.concat(F.lit("[DOC_KW] "), F.array_join(F.slice(F.array_distinct(tx.keyword_tokens(C("text"))), 1, 8), ", ")), F.concat(F.lit("[GIST] "), "gist"))
-    short = F.when(F.size(F.split(prefix, " ")) > 64, F.array_join(F.slice(F.split(prefix, " "), 1, 64), " ")).otherwise(prefix)
-    return x.select("doc_id", F.concat(short, F.lit("\n[TEXT]\n"), "text").alias("value"))
+PREFIX = GIST + r""", l AS (SELECT d.doc_id, '[DOC] ' || source AS doc, CASE WHEN len(kws) > 0 THEN chr(10) || '[DOC_KW] ' || array_to_string(kws, '; ') ELSE '' END AS kw, coalesce(chr(10) || '[GIST] ' || gist, '') AS gs, coalesce(kws, []) AS kws, text
+ FROM documents d LEFT JOIN kk USING (doc_id) LEFT JOIN g USING (doc_id)),
+n AS (SELECT *, len(list_filter(regexp_split_to_array(doc || kw || gs, '\s+'), lambda w: w <> '')) AS n3, len(list_filter(regexp_split_to_array(doc || kw, '\s+'), lambda w: w <> '')) AS n2 FROM l)
+SELECT doc_id, CASE WHEN n3 <= 10 THEN doc || kw || gs WHEN n2 <= 10 OR len(kws) = 0 THEN doc || kw ELSE doc || chr(10) || '[DOC_KW] ' || array_to_string(kws[1:greatest(3, floor(len(kws) * 10 / n2)::BIGINT)], '; ') END || chr(10) || '[TEXT]' || chr(10) || text AS value FROM n"""
+
+
+@query("fn_ctx_prefix", PREFIX)
+def fn_ctx_prefix(s, d, most: int = 10):
+    """Document, keywords and gist before the text. A prefix of more than ``most`` words goes without the gist, and then with
+    fewer keywords, three at least."""
+    x = docs(s, d).join(gist(s, d), "doc_id", "left").withColumn("kws", F.coalesce("kws", F.array().cast("array<string>")))
+    n_words = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    named = lambda kws: F.concat(F.lit("\n[DOC_KW] "), F.array_join(kws, "; "))
+    doc = F.concat(F.lit("[DOC] "), "source")
+    short = F.concat(doc, F.when(F.size("kws") > 0, named("kws")).otherwise(""))
+    full = F.concat(short, F.coalesce(F.concat(F.lit("\n[GIST] "), "gist"), F.lit("")))
+    keep = F.greatest(F.lit(3), F.floor(F.size("kws") * most / n_words(short)).cast("int"))
+    prefix = F.when(n_words(full) <= most, full).when((n_words(short) <= most) | (F.size("kws") == 0), short).otherwise(F.concat(doc, named(F.slice("kws", F.lit(1), keep))))
+    return x.select("doc_id", F.concat(prefix, F.lit("\n[TEXT]\n"), "text").alias("value"))
 
 
 # tasks
@@ -421,8 +462,15 @@ def qry_conv2beir(s, d):
     return q.select(F.concat("conv_id", F.lit("<::>"), "turn").alias("qid"), "query", F.length("next.text").cast("long").alias("answer_chars"))
 
 
-@query("rep_replace_ctx", CTX + ", g AS (SELECT conv_id, turn, count(d.doc_id) AS found, count(*) - count(d.doc_id) AS missing FROM c LEFT JOIN documents d USING (doc_id) GROUP BY conv_id, turn) SELECT conv_id, sum(found)::BIGINT AS found, sum(missing)::BIGINT AS missing FROM g GROUP BY conv_id")
+@query("rep_replace_ctx", CTX + " SELECT conv_id, turn, string_agg(doc_id || '=' || coalesce(d.text, ''), chr(10) ORDER BY pos) AS contexts, count(d.doc_id) AS found, count(*) - count(d.doc_id) AS missing, coalesce(string_agg(CASE WHEN d.doc_id IS NULL THEN c.doc_id::VARCHAR END, ',' ORDER BY pos), '') AS missing_ids FROM c LEFT JOIN documents d USING (doc_id) GROUP BY conv_id, turn".replace("string_agg(doc_id ||", "string_agg(c.doc_id ||"))
 def rep_replace_ctx(s, d):
-    c = conv(s, d).select("conv_id", F.explode(F.array("conv_id", "turn", F.lit(999999).cast("long"))).alias("doc_id"))
-    j = c.join(docs(s, d).select("doc_id", F.lit(1).alias("x")), "doc_id", "left")
-    return j.groupBy("conv_id").agg(F.count("x").alias("found"), F.count_if(C("x").isNull()).alias("missing"))
+    """Each turn's contexts with their resolved texts, and which of them weren't found."""
+    c = conv(s, d).select("conv_id", "turn", F.posexplode(F.array("conv_id", "turn", F.lit(999999).cast("long"))).alias("pos", "doc_id"))
+    j = c.join(docs(s, d).select("doc_id", "text"), "doc_id", "left")
+    g = j.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(F.struct("pos", "doc_id", "text"))).alias("a"))
+    shown = F.transform("a", lambda x: F.concat(x["doc_id"].cast("string"), F.lit("="), F.coalesce(x["text"], F.lit(""))))
+    lost = F.filter("a", lambda x: x["text"].isNull())
+    return g.select(
+        "conv_id", "turn", F.array_join(shown, "\n").alias("contexts"), (F.size("a") - F.size(lost)).cast("long").alias("found"), F.size(lost).cast("long").alias("missing"),
+        F.array_join(F.transform(lost, lambda x: x["doc_id"].cast("string")), ",").alias("missing_ids"),
+    )

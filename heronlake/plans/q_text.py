@@ -10,7 +10,9 @@ from heronlake.sources.scratch import table
 
 _SENT = r"string_split(regexp_replace({t}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
 _STOPS = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
-_PRON = "|".join(tx.PRONOUNS)
+_PRON = "it|they|this|that|these|those|he|she|them|him|her|back then"
+#: Lines of page furniture behind every text, some of which only look like it.
+_MORE = ["", " X ", "saving your location allows us to provide you with more relevant information!", "Set Locations", "please set location", "xx", "\u00d7", "Office of the Patient Advocate - State of California", "end"]
 _PUNCT = tx.PUNCTUATION.replace("'", "''")
 _SQUEEZE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 _ASCII = r"(CASE WHEN length({t}) > 0 THEN length(regexp_replace({t}, '[^\x00-\x7F]', '', 'g')) / length({t}) ELSE 0 END)"
@@ -20,12 +22,21 @@ _TERM = (
     " + CASE WHEN regexp_matches({w}, '[0-9]') AND regexp_matches({w}, '[A-Za-z]') THEN 0.6 ELSE 0 END + CASE WHEN regexp_matches({w}, '[A-Z]') THEN 0.4 ELSE 0 END)"
 )
 
+#: Texts by their length, among them time stamps, numbers, markup and others that only look like these.
+_FORMS = ("2024-01-02T03:04:05Z", "2024-01-02T03:04:05Z now", "1234567", "12345 67", "a |RANK| b", "|assistant| x", "x |Score| y", "|relevance|", "|document|!", "short")
+_MADE = "CASE length(text) % 11 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_FORMS)) + " ELSE text END"
+
+
+def _made(c):
+    return F.coalesce(F.get(F.array(*[F.lit(x) for x in _FORMS]), (F.length(c) % 11).cast("int")), c)
+
+
 # name: (function of the text column, SQL with {t} for the text)
 SCALARS = {
     "fn_norm_qa": (tx.norm_qa, "array_to_string(list_filter(regexp_split_to_array(" + _SQUEEZE.replace("{}", f"translate(lower({{t}}), '{_PUNCT}', '')") + ", ' '), lambda w: w NOT IN ('a', 'an', 'the')), ' ')"),
     "fn_norm_dedup": (
-        tx.norm_dedup,
-        _SQUEEZE.replace('{}', "array_to_string(list_filter(string_split({t}, chr(10)), lambda x: NOT regexp_matches(x, '(?i)" + "|".join(tx.BOILERPLATE).replace("'", "''") + "')), ' ')"),
+        lambda c: tx.norm_dedup(F.concat(c, F.lit("\n".join(_MORE)))),
+        _SQUEEZE.replace('{}', "array_to_string(list_filter(string_split({t} || '" + "' || chr(10) || '".join(_MORE) + r"', chr(10)), lambda x: NOT regexp_matches(trim(x), '(?i)Saving your location allows us to provide you with more relevant information|\bSet Location\b|Office of the Patient Advocate - State of California|^\s*[×x]\s*$')), ' ')"),
     ),
     "fn_norm_query": (tx.norm_query, _SQUEEZE.replace('{}', r"regexp_replace(lower({t}), '[^\p{L}\p{N}_\s''-]', '', 'g')")),
     "fn_strip_newline": (tx.strip_newline, r"lower(regexp_replace(replace({t}, chr(10), ' '), '[^\p{L}\p{N}_\s]', '', 'g'))"),
@@ -85,8 +96,8 @@ SCALARS = {
         rf"(NOT regexp_matches({{t}}, '(?i)(^|[^0-9A-Za-z_])({_PRON})($|[^0-9A-Za-z_])') AND len(regexp_split_to_array(trim({{t}} || '?'), '\s+')) >= 4)",
     ),
     "prd_garbage": (
-        tx.garbage,
-        r"(length(trim({t})) < 6 OR regexp_matches(trim({t}), '^[0-9]+$') OR regexp_matches(trim({t}), '^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}') OR contains({t}, '|document|') OR contains({t}, '|assistant|'))",
+        lambda c: tx.garbage(_made(c)),
+        f"(length(trim({_MADE})) < 6 OR regexp_matches(trim({_MADE}), '^[0-9]+$') OR regexp_matches(trim({_MADE}), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}Z$') OR contains(lower({_MADE}), '|document|') OR contains(lower({_MADE}), '|rank|') OR contains(lower({_MADE}), '|score|') OR contains(lower({_MADE}), '|relevance|'))".replace("{t}", "text"),
     ),
 }
 
@@ -162,10 +173,10 @@ def fn_overlap(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", overlap.cast("long").alias("value"))
 
 
-@query("prj_domain", "SELECT doc_id, CASE WHEN n_chars < 900 THEN 'clapnq' WHEN lang = 'en' THEN 'fiqa' WHEN lang = 'fr' THEN 'govt' ELSE 'xyz' END AS value FROM documents")
+@query("prj_domain", "SELECT doc_id, CASE WHEN n_chars < 900 THEN 'wiki' WHEN lang = 'en' THEN 'bank' WHEN lang = 'fr' THEN 'state' ELSE 'xyz' END AS value FROM documents")
 def prj_domain(spark, sf_dir):
-    name = F.when(F.col("n_chars") < 900, "mt-rag-ClapNQ-elser").when(F.col("lang") == "en", "mt-rag-fiqa-beir").when(F.col("lang") == "fr", "GOVT_cloud").otherwise("mt-rag-xyz-elser")
-    return table(spark, sf_dir, "documents").select("doc_id", tx.domain(name).alias("value"))
+    name = F.when(F.col("n_chars") < 900, "set-WIKI-dense").when(F.col("lang") == "en", "set-bank-sparse").when(F.col("lang") == "fr", "STATE_help").otherwise("set-xyz-dense")
+    return table(spark, sf_dir, "documents").select("doc_id", tx.domain(name, ("wiki", "bank", "state", "help"), "set-([a-z]+)-").alias("value"))
 
 
 @query("prj_title_text", "SELECT doc_id, trim((CASE WHEN lang = 'en' THEN source ELSE '' END) || ' ' || text) AS value FROM documents")

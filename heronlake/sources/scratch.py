@@ -9,8 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; below a temporary folder only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A fresh path below ``spark.checkpoint.dir``, or the session's checkpoint folder. Only on a local master, where driver and
+    executors are one process, a temporary folder does instead."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = found.get() if found.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/heronlake-{uuid.uuid4().hex}-{name}"
 
 
