@@ -68,9 +68,9 @@ class Filter:
         places = F.array(*[(F.shiftrightunsigned(column, s)).bitwiseAND(F.lit(self.bits - 1)) for s in (0, 22, 38)])
         d = digests.select(F.explode(places).alias("p"))
         d = d.select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, CAST(p & 63 AS int))").alias("bit"))
-        rows = d.groupBy("w").agg(F.bit_or("bit").alias("bits")).collect()  # 2^20 rows at most
+        rows = d.groupBy(F.col("w").cast("int").alias("w")).agg(F.bit_or("bit").alias("bits")).toArrow()  # 2^20 rows of 12 bytes at most
         self.words = np.zeros(self.bits // 64, dtype=np.int64)
-        self.words[[r.w for r in rows]] = [r.bits for r in rows]
+        self.words[rows.column("w").to_numpy()] = rows.column("bits").to_numpy()
 
     def may_have(self, digests):
         """For an array of signed 64-bit numbers."""

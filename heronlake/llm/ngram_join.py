@@ -44,7 +44,7 @@ PERCENT = 90
 BLOCK = 512
 HUBS = 8
 #: Names of a bucket, about.
-BUCKET = 2_000_000
+BUCKET = 1_000_000
 #: Sets that are paired by a name they share, at most.
 CROWD = 8
 _KEPT = 300_000
@@ -270,7 +270,7 @@ def _pairs(who, starts, sizes, digests, needs):
     return np.stack([digests[a], digests[b], n, np.maximum(needs[a], needs[b]), np.full(len(a), PAIR)], 1)
 
 
-def agreeing(docs: DataFrame, n: int, percent: int, buckets: int, at_once: int = 2_000_000) -> DataFrame:
+def agreeing(docs: DataFrame, n: int, percent: int, buckets: int, at_once: int = 1_000_000) -> DataFrame:
     """Rows (a, b, n, need, kind): pairs of sets and how many names that aren't crowded they share in a bucket, ties of sets
     to knots, and knots that are one."""
 

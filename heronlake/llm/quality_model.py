@@ -168,26 +168,26 @@ def _document_slots(f: dict[str, float]) -> list[int]:
     return [_slot("d", f"{name}={min(int(f[name] * k), k)}") for name, k in bins.items()]
 
 
-def fit(rows: list[tuple[list[int], list[float], float]], rounds: int = 150, rate: float = 1.0, decay: float = 1e-5):
-    """Weights (the last is the bias) of a logistic scorer for (slots, values, posterior) rows."""
+def fit(slots, values, ends, posteriors, rounds: int = 150, rate: float = 1.0, decay: float = 1e-5):
+    """Weights (the last is the bias) of a logistic scorer for documents with these posteriors; the slots and values of all of
+    them stand in a row, and ``ends`` says where each document's end. Takes a few times the memory of its input."""
     import numpy as np
 
     size = 1 << BITS
     w = np.zeros(size + 1)
-    if not rows:
+    if not len(ends):
         return w
-    slots = np.concatenate([np.array(r[0], dtype=np.int64) for r in rows])
-    values = np.concatenate([np.array(r[1]) for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    y = np.array([r[2] for r in rows])
+    sizes = np.diff(ends, prepend=0)
+    starts = ends - sizes
+    slots, values, y = slots.astype(np.int64), values.astype(np.float32), np.asarray(posteriors, dtype=np.float64)
     # both classes weigh alike, up to a factor of 10
     weight = np.where(y < 0.5, min(10.0, max(1.0, (y >= 0.5).sum() / max(1, (y < 0.5).sum()))), 1.0)
     weight /= weight.sum()
     square = np.full(size + 1, 1e-8)
     for _ in range(rounds):
-        z = np.bincount(row, weights=values * w[slots], minlength=len(rows)) + w[-1]
+        z = np.add.reduceat(w[slots] * values, starts) + w[-1]
         g = weight * (1 / (1 + np.exp(-z)) - y)
-        grad = np.append(np.bincount(slots, weights=values * g[row], minlength=size), g.sum()) + decay * w
+        grad = np.append(np.bincount(slots, weights=np.repeat(g, sizes) * values, minlength=size), g.sum()) + decay * w
         square += grad**2
         w -= rate * grad / np.sqrt(square)
     return w
@@ -225,6 +225,10 @@ class _WordWeights(dict):
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Votes of all documents, estimates from their patterns, and a scorer fitted on a sample."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     texts = df.select(F.col(text_col).cast("string").alias("text"))
 
     def counted(batches: Iterator) -> Iterator:
@@ -276,8 +280,13 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     table = drawn(shown.where(F.col("at") < share))
     if not table.num_rows and n:
         table = drawn(shown)
-    rows = sorted(zip(table.column("s").to_pylist(), table.column("x").to_pylist(), table.column("y").to_pylist()))
-    return Model(posteriors, accuracies, fit(rows))
+    # ordered by digests, so the rows stand alike in each run; no document is without slots
+    slots, values = (table.column(c).combine_chunks() for c in ("s", "x"))
+    if isinstance(slots, pa.ChunkedArray):
+        slots, values = (pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], kind) for c, kind in ((slots, pa.list_(pa.int32())), (values, pa.list_(pa.float32()))))
+    ends = np.cumsum(pc.list_value_length(slots).to_numpy(zero_copy_only=False)).astype(np.int64)
+    y = table.column("y").to_numpy()
+    return Model(posteriors, accuracies, fit(slots.flatten().to_numpy(), values.flatten().to_numpy(), ends, y))
 
 
 def _scored(df: DataFrame, model: Model, text_col: str) -> tuple[DataFrame, str, str]:

@@ -113,7 +113,7 @@ def test_classifier_with_null_or_equal_ids(spark, monkeypatch):
     sizes, fetch = [], type(copies).toArrow
     monkeypatch.setattr(type(copies), "toArrow", lambda self: sizes.append(t := fetch(self)) or t)
     quality_model.train(copies, sample=50)
-    assert sizes and all(0 < t.num_rows <= 50 for t in sizes)
+    assert 0 < sizes[-1].num_rows <= 50 and all(t.num_rows <= 50 for t in sizes)
 
 
 @pytest.mark.parametrize("stage", [quality_rules.filter_quality, quality_model.filter_classified, mixing.mixed_rows])
