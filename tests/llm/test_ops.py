@@ -408,7 +408,7 @@ def test_dropout_draws_each_occurrence():
     # as often as the agenda gives each segmentation under fresh keys, across documents and within one
     count = lambda xs: {x: c / n for x, c in Counter(xs).items()}
     expected = count(tuple(sentencepiece_dropout.segmented(" " + word, enc.pieces, 0.1, rng.getrandbits(64))) for _ in range(n))
-    documents = count(tuple(np.frombuffer(enc.encode(i, word), dtype="<i4").tolist()) for i in range(n))
+    documents = count(tuple(np.frombuffer(x, dtype="<i4").tolist()) for x in enc.encode_many(list(range(n)), [word] * n))
     whole = " ".join([word] * n)
     ids = np.frombuffer(enc.encode("one", whole), dtype="<i4").tolist()
     assert enc.pieces.decode(ids) == whole
