@@ -25,6 +25,15 @@ def duplicate_groups(df: DataFrame, id_col: str, text_col: str, protected: DataF
     return m.select("member", "rep", "count", ((F.col("member") != F.col("rep")) & ~keep).alias("drop"))
 
 
+def group_report(groups: DataFrame, df: DataFrame, id_col: str, text_col: str, shown: int = 200, snippet: int = 300) -> DataFrame:
+    """rep, count, dropped, protected, members, snippet of ``duplicate_groups``. Only the first ``shown`` members are gathered;
+    the numbers are of all."""
+    n = groups.groupBy("rep").agg(F.max("count").alias("count"), F.count_if("drop").alias("dropped"), F.count_if(~F.col("drop") & (F.col("member") != F.col("rep"))).alias("protected"))
+    some = groups.select("rep", "member").withColumn("__r", F.row_number().over(Window.partitionBy("rep").orderBy("member"))).where(F.col("__r") <= shown)
+    some = some.groupBy("rep").agg(F.array_join(F.transform(F.sort_array(F.collect_list("member")), lambda x: x.cast("string")), ",").alias("members"))
+    return n.join(some, "rep").join(df.select(F.col(id_col).alias("rep"), F.substring(text_col, 1, snippet).alias("snippet")), "rep", "left")
+
+
 def bad_passages(df: DataFrame, text_col: str, n_tokens: Column, low: int = 2, high: int = 850) -> DataFrame:
     """Rows with reasons: empty, too_short, too_long; and the first 300 characters."""
     t = F.coalesce(F.col(text_col), F.lit(""))

@@ -17,6 +17,11 @@ def parse_passage_id(c: Column) -> Column:
     )
 
 
+def parent_of_chunk(c: Column, mark: str = "__c") -> Column:
+    """The id before the last chunk number; an id without one is its own parent."""
+    return F.regexp_replace(c, mark + r"\d+$", "")
+
+
 def conversation_of(task_id: Column) -> Column:
     """The part before <::>, or before :: in raw ids."""
     return F.when(task_id.contains("<::>"), F.element_at(F.split(task_id, "<::>"), 1)).otherwise(F.element_at(F.split(task_id, "::"), 1))

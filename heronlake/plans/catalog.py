@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("q_text", "q_retrieval", "q_judging", "q_corpus", "q_tasks", "q_sources")
+MODULES: tuple[str, ...] = ("q_text", "q_retrieval", "q_judging", "q_corpus", "q_tasks", "q_validation", "q_sources")
 
 
 def load() -> None:

@@ -44,9 +44,14 @@ def flt_lang(spark, sf_dir):
     return tagged(spark, sf_dir).where("tag = 'en_like'").select("doc_id", "source")
 
 
-@query("agg_dedup_groups", DUP + " SELECT member, rep, count, drop FROM m")
+GROUPS = DUP + """ SELECT rep, any_value(count) AS count, count(*) FILTER (drop) AS dropped, count(*) FILTER (NOT drop AND member <> rep) AS protected,
+ array_to_string(list_sort(list(member))[1:200], ',') AS members, (SELECT text[1:300] FROM documents x WHERE x.doc_id = rep) AS snippet FROM m GROUP BY rep"""
+
+
+@query("agg_dedup_groups", GROUPS)
 def agg_dedup_groups(spark, sf_dir):
-    return dups(spark, sf_dir)
+    """Groups of equal texts: numbers of members, of dropped and of protected ones, the first 200 members, and how it begins."""
+    return cp.group_report(dups(spark, sf_dir), docs(spark, sf_dir), "doc_id", "text")
 
 
 @query("flt_blacklist", DUP + " SELECT source, count(*) FILTER (m.drop IS NULL OR NOT m.drop) AS kept, count(*) FILTER (m.drop) AS removed, round(count(*) FILTER (m.drop) / count(*), 6) AS ratio FROM documents LEFT JOIN m ON member = doc_id GROUP BY source")
@@ -71,15 +76,6 @@ def src_split_qids(spark, sf_dir):
     return labels(spark, sf_dir).join(table(spark, sf_dir, "benchmark").select(C("item_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "quality")
 
 
-@query("val_format", "WITH x AS (SELECT conv_id, turn, unnest(list_filter([CASE WHEN role NOT IN ('user', 'assistant') THEN 'unknown role' END, CASE WHEN length(text) > 1000 THEN 'text too long' END, CASE WHEN turn > 5 THEN 'too many turns' END], lambda e: e IS NOT NULL)) AS error FROM conversations) SELECT error, count(*) AS n FROM x GROUP BY error")
-def val_format(spark, sf_dir):
-    """Records as JSON text, parsed again and checked; one row for each kind of error."""
-    lines = table(spark, sf_dir, "conversations").select(F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("line"))
-    r = lines.select(F.from_json("line", "conv_id long, turn long, role string, text string").alias("r"))
-    e = F.array_compact(F.array(F.when(C("r").isNull(), "not JSON"), F.when(~C("r.role").isin("user", "assistant"), "unknown role"), F.when(F.length("r.text") > 1000, "text too long"), F.when(C("r.turn") > 5, "too many turns")))
-    return r.select(F.explode(e).alias("error")).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("val_task_ids", "SELECT coalesce(d.doc_id, l.item_id) AS id, CASE WHEN l.item_id IS NULL THEN 'missing' ELSE 'extra' END AS status FROM (SELECT doc_id FROM labels) d FULL JOIN benchmark l ON d.doc_id = l.item_id WHERE d.doc_id IS NULL OR l.item_id IS NULL")
 def val_task_ids(spark, sf_dir):
     a, b = labels(spark, sf_dir).select(C("doc_id").alias("id")), table(spark, sf_dir, "benchmark").select(C("item_id").alias("id"))

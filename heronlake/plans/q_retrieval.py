@@ -10,10 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from heronlake.operators import chunking as ck
+from heronlake.operators import ids
 from heronlake.operators import irmetrics as ir
 from heronlake.operators import retrieval as rt
 from heronlake.plans.registry import query
-from heronlake.sources.scratch import table
+from heronlake.sources import io
+from heronlake.sources.scratch import scratch, table
 
 BASE = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
 sc AS (SELECT q.vec_id AS qid, d.vec_id AS doc_id, list_dot_product(q.e, d.e) AS score FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0),
@@ -230,7 +233,7 @@ f AS (SELECT k, wd, qid, doc_id, sum(x) AS score FROM (SELECT k, wd, qid, doc_id
 r AS (SELECT *, row_number() OVER (PARTITION BY k, wd, qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f),
 m AS (SELECT k, wd, count(q.rel) / (count(DISTINCT r.qid) * 10.0::DOUBLE) AS p_10 FROM r LEFT JOIN qrels q USING (qid, doc_id) WHERE rank <= 10 GROUP BY k, wd)
 SELECT k, wd, round(p_10, 6) AS p_10, row_number() OVER (ORDER BY round(p_10, 9) DESC, k, wd)::BIGINT AS place FROM m"""
-for _name in ("fus_sweep", "agg_sweep_rank", "srt_multi", "sweep_cr"):
+for _name in ("fus_sweep", "agg_sweep_rank", "srt_multi"):
 
     def _sweep(spark, sf_dir):
         """All configurations in one plan: the parameter table is four rows."""
@@ -288,15 +291,70 @@ def top_terms(spark, sf_dir):
     return lexical(spark, sf_dir)[1].withColumn("r", F.row_number().over(w)).where("r <= 8").select("doc_id", "token", F.round("w", 6).alias("w"))
 
 
-PAR = B.replace("{k}", "20")
-for _name, _how in (("agg_passage_max", "max"), ("ret_semchunk_parent", "max"), ("ret_pack", "sum")):
-
-    def _parents(spark, sf_dir, how=_how):
-        v = vectors(spark, sf_dir)
-        s = rt.dense_scores(queries_of(v), docs_of(v))
-        return r6(rt.to_parents(s, F.floor(F.col("doc_id") / 4).cast("long"), how), "score")
-
-    query(_name, B + f" SELECT qid, (doc_id // 4)::BIGINT AS doc_id, round({_how}(score), 6) AS score FROM sc GROUP BY ALL")(_parents)
+@query("agg_passage_max", B + " SELECT qid, (doc_id // 4)::BIGINT AS doc_id, round(max(score), 6) AS score FROM sc GROUP BY ALL")
+def agg_passage_max(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return r6(rt.to_parents(rt.dense_scores(queries_of(v), docs_of(v)), F.floor(F.col("doc_id") / 4).cast("long")), "score")
+
+
+CHUNKS = BASE.replace("{k}", "40") + """, h AS (SELECT qid, 'p_' || (doc_id // 4) || '__c' || (doc_id % 4) AS chunk, score FROM dense),
+p AS (SELECT qid, string_split(chunk, '__c')[1] AS doc_id, max(score) AS score FROM h GROUP BY ALL)
+SELECT qid, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id)::BIGINT AS rank FROM p QUALIFY rank <= 10"""
+
+
+@query("ret_semchunk_parent", CHUNKS)
+def ret_semchunk_parent(spark, sf_dir):
+    """Hits of chunks, whose ids begin with their parents', taken to parents by the best."""
+    hits = dense(spark, sf_dir, 40).withColumn("chunk", F.concat(F.lit("p_"), F.floor(F.col("doc_id") / 4), F.lit("__c"), F.col("doc_id") % 4))
+    best = rt.to_parents(hits, ids.parent_of_chunk(F.col("chunk")))
+    return rt.top(best, 10).select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+PACK = """WITH v AS (SELECT vec_id, vec_id // 64 AS grp, row_number() OVER (PARTITION BY vec_id // 64 ORDER BY vec_id) - 1 AS pos, count(*) OVER (PARTITION BY vec_id // 64) AS n, embedding::DOUBLE[] AS e FROM embeddings),
+c AS (SELECT grp, p, vec_id, e FROM v, (SELECT unnest(range(0, 22)) AS p) WHERE pos >= 3 * p AND pos < 3 * p + 4 AND (p = 0 OR 3 * p + 1 < n)),
+x AS (SELECT grp, p, i, avg(e[i]) AS m FROM (SELECT grp, p, e, unnest(generate_series(1, len(e))) AS i FROM c) GROUP BY ALL), k AS (SELECT grp, p, list(m ORDER BY i) AS m FROM x GROUP BY ALL),
+s AS (SELECT q.vec_id AS qid, grp, p, list_dot_product(q.e, k.m) AS score FROM (SELECT vec_id, e FROM v WHERE vec_id % 50 = 0) q, k QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(score, 9) DESC, grp * 1000 + p) <= 10),
+d AS (SELECT qid, vec_id AS doc_id, max(score) AS score FROM s JOIN c USING (grp, p) WHERE qid <> vec_id GROUP BY ALL)
+SELECT qid, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id)::BIGINT AS rank FROM d QUALIFY rank <= 10"""
+
+
+@query("ret_pack", PACK)
+def ret_pack(spark, sf_dir):
+    """Adjacent passages (of two tokens, in groups of 64) are packed into eight tokens, each pack starting with the last
+    passage of the one before; packs are retrieved by mean vectors and opened into passages, which have their best pack's score."""
+    v = vectors(spark, sf_dir).select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    p = v.select(F.floor(F.col("vec_id") / 64).cast("long").alias("grp"), "vec_id", F.lit(2).alias("n"), "e")
+    packs = ck.greedy_pack(p, "grp", "vec_id", "n", 8, 2)
+    children = packs.join(p, "grp").where("vec_id BETWEEN first AND last").select((F.col("grp") * 1000 + F.col("pack")).alias("pack_id"), "vec_id", "e")
+    added = F.aggregate(F.slice("a", 2, 99), F.element_at("a", 1), lambda s, x: F.zip_with(s, x, lambda i, j: i + j))
+    means = children.groupBy("pack_id").agg(F.collect_list("e").alias("a")).select(F.col("pack_id").alias("doc_id"), F.transform(added, lambda x: x / F.size("a")).alias("d"))  # four at most
+    # packs have ids of their own, so that no query is taken for its own pack
+    q = queries_of(vectors(spark, sf_dir)).withColumn("qid", -1 - F.col("qid"))
+    hits = rt.dense_topk_blocks(q, means, 10).select((-1 - F.col("qid")).alias("qid"), F.col("doc_id").alias("pack_id"), "score")
+    best = rt.to_parents(hits.join(children.select("pack_id", "vec_id"), "pack_id").where("qid <> vec_id"), F.col("vec_id"))
+    return rt.top(best, 10).select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+CR = """WITH r(ratio) AS (VALUES (1.0::DOUBLE), (0.5::DOUBLE), (0.25::DOUBLE)), v AS (SELECT ratio, vec_id, label, list_slice(embedding::DOUBLE[], 1, ceil(ratio * len(embedding))::BIGINT) AS e FROM embeddings, r),
+t AS (SELECT q.ratio, q.vec_id AS qid, q.label = d.label AS rel, row_number() OVER (PARTITION BY q.ratio, q.vec_id ORDER BY round(list_dot_product(q.e, d.e), 9) DESC, d.vec_id) AS rank FROM v q JOIN v d ON q.ratio = d.ratio AND q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0 QUALIFY rank <= 10),
+m AS (SELECT ratio, count(*) FILTER (rel) / (count(DISTINCT qid) * 10.0::DOUBLE) AS p_10 FROM t GROUP BY ratio) SELECT ratio, round(p_10, 6) AS p_10, row_number() OVER (ORDER BY round(p_10, 9) DESC, ratio)::BIGINT AS place FROM m"""
+
+
+@query("sweep_cr", CR)
+def sweep_cr(spark, sf_dir, ratios=(1.0, 0.5, 0.25)):
+    """Precision of dense retrieval with a share of each vector's components. Each ratio's result is kept under its key, so that
+    a sweep that is run again goes on where it stopped."""
+    base, v, out = scratch(spark, "ratios"), vectors(spark, sf_dir), None
+    labels = v.select("vec_id", "label")
+    for ratio in ratios:
+        short = v.withColumn("embedding", F.slice("embedding", F.lit(1), F.ceil(F.lit(ratio) * F.size("embedding")).cast("int")))
+        t = rt.dense_topk_blocks(queries_of(short), docs_of(short), 10)
+        t = t.join(labels.toDF("qid", "a"), "qid").join(labels.toDF("doc_id", "b"), "doc_id")
+        m = t.agg((F.count_if(F.col("a") == F.col("b")) / (F.countDistinct("qid") * 10.0)).alias("p_10")).withColumn("ratio", F.lit(ratio))
+        m = io.cached(m, base, io.cache_key("ratio", ratio))
+        out = m if out is None else out.unionByName(m)
+    w = Window.orderBy(F.round("p_10", 9).desc(), "ratio")  # a row for each ratio
+    return out.select("ratio", F.round("p_10", 6).alias("p_10"), F.row_number().over(w).cast("long").alias("place"))
 
 
 @query("mine_hardneg", BASE.replace("{k}", "50") + """, pos AS (SELECT qid, doc_id AS pos FROM qrels QUALIFY row_number() OVER (PARTITION BY qid ORDER BY md5(doc_id || '|7'), doc_id) <= 2),

@@ -30,33 +30,13 @@ def snk_jsonl(s, d):
     return io.jsonl_round_trip(table(s, d, "benchmark"), "snk")
 
 
-@query("src_zip")
+@query("src_zip", "SELECT item_id, text FROM benchmark")
 def src_zip(s, d):
-    """A zip archive in memory for each source, read by its member: the archive's bytes are a column here."""
-    import zipfile
-    from io import BytesIO
-
-    import pandas as pd
-
-    def pack(batches):
-        for pdf in batches:
-            out = []
-            for lines in pdf["lines"]:
-                b = BytesIO()
-                with zipfile.ZipFile(b, "w", zipfile.ZIP_DEFLATED) as z:
-                    z.writestr("queries.jsonl", "\n".join(lines))
-                out.append(b.getvalue())
-            yield pd.DataFrame({"content": out})
-
-    def unpack(batches):
-        for pdf in batches:
-            for content in pdf["content"]:
-                with zipfile.ZipFile(BytesIO(content)) as z, z.open("queries.jsonl") as f:
-                    yield pd.DataFrame({"line": [x.decode() for x in f if x.strip()]})
-
-    lines = table(s, d, "benchmark").groupBy((C("item_id") % 7).alias("part")).agg(F.collect_list(F.to_json(F.struct("item_id", "text"))).alias("lines"))
-    z = lines.select("lines").mapInPandas(pack, "content binary").mapInPandas(unpack, "line string")
-    return z.select(F.from_json("line", "item_id long, text string").alias("r")).select("r.*")
+    """Zip archives of 50 items each, written and read by their member."""
+    path = scratch(s, "zip")
+    lines = table(s, d, "benchmark").groupBy(F.floor(C("item_id") / 50).alias("name")).agg(F.collect_list(F.to_json(F.struct("item_id", "text"))).alias("lines"))
+    io.write_zips(lines, path, "queries.jsonl")
+    return io.read_zip(s, f"{path}/*.zip", "queries.jsonl", "item_id long, text string")
 
 
 QRELS = "SELECT 'q' || (doc_id % 40) AS qid, 'd' || doc_id AS doc_id, quality AS rel FROM labels"
@@ -73,19 +53,32 @@ def src_qrels_beir(s, d):
     return io.read_qrels(s, path)
 
 
-@query("snk_beir", QRELS)
+@query("snk_beir", "SELECT 'c' || (doc_id % 40 % 3) AS collection, 'q' || (doc_id % 40) AS qid, 'd' || doc_id AS doc_id, quality AS rel, 'question ' || (doc_id % 40) AS text FROM labels")
 def snk_beir(s, d):
-    path = scratch(s, "beir")
-    qrels(s, d).withColumn("collection", F.lit("all")).write.partitionBy("collection").option("header", True).option("sep", "\t").csv(path)
-    return io.read_qrels(s, f"{path}/collection=all")
+    """Queries and judgements of three collections, written to folders of their own and read again."""
+    base, q = scratch(s, "beir"), qrels(s, d)
+    of = F.concat(F.lit("c"), F.substring("query-id", 2, 99).cast("long") % 3)
+    asked = q.select("query-id").distinct().select(of.alias("collection"), C("query-id").alias("_id"), F.concat(F.lit("question "), F.substring("query-id", 2, 99)).alias("text"))
+    io.write_beir(asked, q.withColumn("collection", of), base)
+    judged = None
+    for c in ("c0", "c1", "c2"):
+        one = io.read_qrels(s, f"{base}/qrels/collection={c}").withColumn("collection", F.lit(c))
+        judged = one if judged is None else judged.unionByName(one)
+    read = io.read_jsonl(s, f"{base}/queries", "_id string, text string, collection string").withColumnRenamed("_id", "qid")
+    return judged.join(read, ["collection", "qid"])
 
 
 @query("src_qrels_any", QRELS + " WHERE quality >= 1")
 def src_qrels_any(s, d):
+    """Lines with tabs, with blanks and a 0, JSON objects, JSON lists, and objects of objects, in one file."""
     path, q = scratch(s, "any"), qrels(s, d)
-    i = F.substring("corpus-id", 2, 99).cast("long") % 3
-    line = F.when(i == 0, F.concat_ws("\t", "query-id", "corpus-id", "score")).when(i == 1, F.concat_ws(" ", "query-id", F.lit("0"), "corpus-id", "score")).otherwise(F.to_json(F.struct("query-id", "corpus-id", "score")))
-    q.select(line.alias("value")).unionByName(s.createDataFrame([("query-id\tcorpus-id\tscore",)], "value string")).write.text(path)
+    n = F.substring("corpus-id", 2, 99).cast("long")
+    line = F.when(n % 5 == 0, F.concat_ws("\t", "query-id", "corpus-id", "score")).when(n % 5 == 1, F.concat_ws(" ", "query-id", F.lit("0"), "corpus-id", "score")).otherwise(F.to_json(F.struct("query-id", "corpus-id", "score")))
+    lines = q.where(n % 5 <= 2).select(line.alias("value")).unionByName(s.createDataFrame([("query-id\tcorpus-id\tscore",)], "value string"))
+    lists = q.where(n % 5 == 3).groupBy(F.floor(n / 50)).agg(F.to_json(F.collect_list(F.struct("query-id", "corpus-id", "score"))).alias("value")).select("value")
+    own = q.where(n % 5 == 4).groupBy("query-id", F.floor(n / 50)).agg(F.map_from_entries(F.collect_list(F.struct("corpus-id", "score"))).alias("m"))
+    maps = own.select(F.to_json(F.create_map("query-id", "m")).alias("value"))
+    lines.unionByName(lists).unionByName(maps).write.text(path)
     return io.read_qrels_any(s, path)
 
 
@@ -148,15 +141,38 @@ def src_tasks_jsonl(s, d):
     return io.read_jsonl(s, path, TASKS, strict=True).select("task_id", "turn", C("input")[0]["text"].alias("text"))
 
 
-for _name in ("snk_atomic", "snk_cache"):
-
-    @query(_name, "SELECT vec_id, label FROM embeddings")
-    def _cache(s, d):
-        """Asked for twice, made once: the second call reads what the first has committed."""
-        base, key = scratch(s, "cache"), io.cache_key("embeddings", 64, 1.0)
-        e = table(s, d, "embeddings").select("vec_id", "label")
-        io.cached(e, base, key)
-        return io.cached(e.limit(0), base, key)
+@query("snk_atomic", "SELECT doc_id, quality FROM labels")
+def snk_atomic(s, d):
+    """A second write breaks off; the table of the first is still whole."""
+    from pyspark.errors import PySparkException
+
+    path, rows = f"{scratch(s, 'atomic')}/table", table(s, d, "labels").select("doc_id", "quality")
+    io.write_atomic(rows.withColumn("quality", C("quality") + 1), path)
+    io.write_atomic(rows, path)
+    broken = rows.withColumn("quality", F.when(C("doc_id") % 2 == 0, C("quality")).otherwise(F.raise_error(F.lit("torn")).cast("int")))
+    try:
+        io.write_atomic(broken, path)
+    except PySparkException:
+        pass
+    return s.read.parquet(path)
+
+
+@query("snk_cache", "SELECT 'again' AS step, vec_id, label FROM embeddings UNION ALL SELECT 'broken', vec_id, label FROM embeddings UNION ALL SELECT 'fewer', vec_id, label FROM embeddings WHERE vec_id % 2 = 0")
+def snk_cache(s, d):
+    """Made once and asked for again; made anew after its files were spoilt; and another one for other ids under the same key."""
+    e = table(s, d, "embeddings").select("vec_id", "label")
+    base, spoilt, key = scratch(s, "cache"), scratch(s, "spoilt"), io.cache_key("embeddings", 64, 1.0)
+    io.cached(e, base, key)
+    again = io.cached(e.limit(0), base, key)
+    for f in io.cached(e, spoilt, key, "vec_id").inputFiles():
+        io.put_bytes(s, f, b"no table")
+    broken = io.cached(e, spoilt, key, "vec_id")
+    fewer = io.cached(e.where("vec_id % 2 = 0"), spoilt, key, "vec_id")
+    out = None
+    for step, x in (("again", again), ("broken", broken), ("fewer", fewer)):
+        x = x.withColumn("step", F.lit(step))
+        out = x if out is None else out.unionByName(x)
+    return out
 
 
 @query("snk_cache_gc", "SELECT 3::INT AS removed, 2::INT AS left_over")

@@ -129,14 +129,6 @@ def ret_chunk_to_passage(s, d):
     return o.groupBy("doc_id", "p_start").agg(F.round(F.max("score"), 6).alias("max"), F.round(F.max(C("score") * C("overlap") / (C("c_end") - C("c_start"))), 6).alias("max_overlap"))
 
 
-@query("val_chunks", SPANS + " SELECT CASE WHEN c_end <= c_start THEN 'empty' WHEN c_end - c_start < 64 THEN 'short' ELSE 'ok' END AS status, count(*) AS n FROM c GROUP BY 1")
-def val_chunks(s, d):
-    c, _ = span_tables(s, d)
-    j = c.join(docs(s, d).select("doc_id", "n_chars"), "doc_id", "left")
-    status = F.when(C("n_chars").isNull(), "no parent").when(C("c_end") <= C("c_start"), "empty").when(C("c_end") > C("n_chars"), "beyond").when(C("c_end") - C("c_start") < 64, "short").otherwise("ok")
-    return j.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("agg_fragmentation", SPANS + ", g AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id) SELECT round(avg(n), 6) AS mean, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.99), 6) AS p99, max(n) AS most FROM g")
 def agg_fragmentation(s, d):
     g = span_tables(s, d)[0].groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))

@@ -58,6 +58,43 @@ def read_zip(spark: SparkSession, path: str, member: str, schema: str) -> DataFr
     return lines.select(F.from_json("line", schema).alias("r")).select("r.*")
 
 
+def write_zips(df: DataFrame, path: str, member: str, name: str = "name", lines: str = "lines") -> None:
+    """A zip archive for each row: its ``lines`` (array of strings) as the one member. Executors pack, and the driver, which
+    holds one archive at a time, puts them where the session's file system says."""
+    import zipfile
+    from io import BytesIO
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            for n, rows in zip(pdf["name"], pdf["lines"]):
+                b = BytesIO()
+                with zipfile.ZipFile(b, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr(member, "\n".join(rows))
+                yield pd.DataFrame({"name": [n], "content": [b.getvalue()]})
+
+    spark = df.sparkSession
+    for row in df.select(F.col(name).cast("string").alias("name"), F.col(lines).alias("lines")).mapInPandas(run, "name string, content binary").toLocalIterator():
+        put_bytes(spark, f"{path}/{row.name}.zip", bytes(row.content))
+
+
+def put_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(content)
+    finally:
+        out.close()
+
+
+def write_beir(queries: DataFrame, qrels: DataFrame, base: str) -> None:
+    """A folder for each collection: queries (collection, _id, text) as JSON lines, qrels (collection, query-id, corpus-id,
+    score) as a table with a header."""
+    queries.select("collection", "_id", "text").write.partitionBy("collection").json(f"{base}/queries")
+    qrels.select("collection", "query-id", "corpus-id", "score").write.partitionBy("collection").option("header", True).option("sep", "\t").csv(f"{base}/qrels")
+
+
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     """qid, doc_id, rel of a table with a header; of repeated pairs the last counts, by file and place."""
     d = spark.read.schema(QRELS).option("sep", "\t").option("header", True).csv(path)
@@ -65,16 +102,26 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     return d.groupBy(F.col("query-id").alias("qid"), F.col("corpus-id").alias("doc_id")).agg(F.max_by("score", "at").alias("rel"))
 
 
-def read_qrels_any(spark: SparkSession, path: str, rel_min: int = 1) -> DataFrame:
-    """qid, doc_id, rel from lines of three columns (with or without a header), four columns whose second is 0, or JSON."""
-    line = spark.read.text(path).where(F.length(F.trim("value")) > 0)
-    p = F.split(F.trim("value"), r"\s+")
-    j = F.from_json("value", "`query-id` string, `corpus-id` string, qid string, doc_id string, score int, rel int")
+def read_qrels_any(spark: SparkSession, path: str, rel_min: int = 1, whole: bool = False) -> DataFrame:
+    """qid, doc_id, rel from lines of three columns (with or without a header), four columns whose second is 0, JSON objects,
+    JSON lists of objects, or JSON objects of queries that hold objects of documents. With ``whole``, a file that begins
+    with a bracket is one JSON value on many lines; other files are taken by lines all the same."""
+    text = spark.read.text(path, wholetext=whole)
+    if whole:
+        text = text.select(F.explode(F.when(F.ltrim("value").rlike(r"^\s*[\[{]\s*[\n\r]"), F.array("value")).otherwise(F.split("value", r"\r?\n"))).alias("value"))
+    line = text.select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("value")).where("value <> ''")
+    p = F.split("value", r"\s+")
+    fields = "`query-id` string, `corpus-id` string, qid string, doc_id string, score int, rel int"
+    own = lambda j: F.struct(F.coalesce(j["query-id"], j["qid"]).alias("qid"), F.coalesce(j["corpus-id"], j["doc_id"]).alias("doc_id"), F.coalesce(j["score"], j["rel"]).alias("rel"))
     plain = F.when(F.size(p) >= 4, F.struct(p[0].alias("qid"), p[2].alias("doc_id"), p[3].try_cast("int").alias("rel"))).otherwise(
         F.struct(F.get(p, F.lit(0)).alias("qid"), F.get(p, F.lit(1)).alias("doc_id"), F.get(p, F.lit(2)).try_cast("int").alias("rel"))
     )
-    obj = F.struct(F.coalesce(j["query-id"], j["qid"]).alias("qid"), F.coalesce(j["corpus-id"], j["doc_id"]).alias("doc_id"), F.coalesce(j["score"], j["rel"]).alias("rel"))
-    d = line.select(F.when(F.trim("value").startswith("{"), obj).otherwise(plain).alias("r")).select("r.*")
+    listed = F.transform(F.from_json("value", f"array<struct<{fields.replace(' string', ': string').replace(' int', ': int')}>>"), own)
+    nested = F.from_json("value", "map<string, map<string, int>>")
+    mapped = F.flatten(F.transform(F.map_entries(nested), lambda q: F.transform(F.map_entries(q["value"]), lambda x: F.struct(q["key"].alias("qid"), x["key"].alias("doc_id"), x["value"].alias("rel")))))
+    one = own(F.from_json("value", fields))
+    rows = F.when(F.col("value").startswith("["), listed).when(F.col("value").startswith("{"), F.when(one["qid"].isNotNull(), F.array(one)).otherwise(mapped)).otherwise(F.array(plain))
+    d = line.select(F.explode(rows).alias("r")).select("r.*")
     return d.where(F.col("rel") >= rel_min)  # a header has no number
 
 
@@ -114,14 +161,46 @@ def cache_key(*parts) -> str:
     return hashlib.sha1("|".join(map(str, parts)).encode()).hexdigest()
 
 
-def cached(df: DataFrame, base: str, key: str) -> DataFrame:
-    """The table under ``base/cache_key=key``, made from ``df`` if it isn't there; Spark's committer makes it appear whole."""
+def cached(df: DataFrame, base: str, key: str, id_col: str | None = None) -> DataFrame:
+    """The table under ``base/cache_key=key``, made from ``df`` if it isn't there; Spark's committer makes it appear whole. With
+    ``id_col`` it is of the same ids, or it is stale and another one is made beside it. One whose files can't be opened is
+    made again."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+
     spark = df.sparkSession
     path = f"{base}/cache_key={key}"
+    if id_col is not None:
+        h = F.xxhash64(id_col)
+        n, x, total = df.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first()
+        path += f"/ids={cache_key(n, x, total)}"
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        try:
+            found = spark.read.schema(df.schema).parquet(path)
+            found.count()  # opens every file, reads no column
+            return found
+        except (PySparkException, Py4JJavaError):  # a file that is no table fails in the JVM
+            pass
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def write_atomic(df: DataFrame, path: str) -> None:
+    """Replaces the table at ``path`` once the new one is written whole; a write that fails leaves the old one as it was."""
+    import uuid
+
+    spark = df.sparkSession
+    new, old = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (f"{path}.{uuid.uuid4().hex}.part", path))
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        df.write.parquet(new.toString())
+    except BaseException:
+        fs.delete(new, True)
+        raise
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{new.toString()} can't be renamed")
 
 
 def drop_old(spark: SparkSession, base: str, keep_from: int) -> int:
