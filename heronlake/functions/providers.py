@@ -46,6 +46,59 @@ def answered(df: DataFrame, prompt: str, model: TextModel, out: str = "answer",
     return df.mapInPandas(run, schema)
 
 
+class Client:
+    """A model behind a call for one prompt: a call that raises is repeated after doubled waits, and gives null in the end."""
+
+    def __init__(self, call: Callable[[str], str], attempts: int = 3, wait_s: float = 0.0):
+        self.call, self.attempts, self.wait_s = call, attempts, wait_s
+
+    def __call__(self, prompts: list[str]) -> list[str | None]:
+        return [self._one(p) for p in prompts]
+
+    def _one(self, prompt: str) -> str | None:
+        import time
+
+        for k in range(self.attempts):
+            try:
+                return self.call(prompt)
+            except Exception:  # noqa: BLE001  whatever a client raises
+                time.sleep(self.wait_s * 2**k)
+        return None
+
+
+class Unsteady:
+    """A stand-in for a service: fails once for prompts whose length is divisible by 3, always for those by 5."""
+
+    def __init__(self):
+        self.seen: set[str] = set()
+
+    def __call__(self, prompt: str) -> str:
+        first = prompt not in self.seen
+        self.seen.add(prompt)
+        if len(prompt) % 5 == 0 or (first and len(prompt) % 3 == 0):
+            raise ConnectionError("busy")
+        return echo([prompt])[0]
+
+
+def graded(prompts: list[str]) -> list[str]:
+    """A stand-in judge: a rating by the prompt's length, and nothing for every fourth length."""
+    return ["" if len(p) % 4 == 0 else f"The answer fits.\nRating: [[{len(p) % 10 + 1}]]" for p in prompts]
+
+
+def long_words(prompts: list[str]) -> list[str]:
+    """A stand-in for a keyword model: the prompt's words of eight ASCII letters or more."""
+    import re
+
+    return [", ".join(re.findall("[a-z]{8,}", p)) for p in prompts]
+
+
+def resumed(df: DataFrame, key: str, prompt: str, stored: DataFrame, model: TextModel, out: str = "answer", retries: int = 3) -> DataFrame:
+    """``df`` with stored answers (key, out) where these aren't blank; only the other rows go to the model."""
+    j = replayed(df, key, stored, out)
+    done = F.coalesce(F.trim(out), F.lit("")) != ""
+    return j.where(done).unionByName(answered(j.where(~done).drop(out), prompt, model, out, retries))
+
+
 def replayed(df: DataFrame, key: str, table: DataFrame, out: str = "answer") -> DataFrame:
     """``df`` with stored answers (key, out)."""
     return df.join(table.select(key, out), key, "left")

@@ -117,3 +117,14 @@ def budget_packs(spans: DataFrame, key: str, budget: int = 512, overlap: int = 1
         return pd.DataFrame(out, columns=["k", "pack", "start", "end"])
 
     return spans.groupBy(key).applyInPandas(run, f"k {kind}, pack long, start long, end long").withColumnRenamed("k", key)
+
+
+def semantic_chunks(sentences: DataFrame, key: str, order: str, text: str, vector: str, threshold: float = 0.55, size: int = 384, overlap: int = 64) -> DataFrame:
+    """key, chunk_id, text: sentences are joined until the cosine to the one before falls under ``threshold``; longer segments
+    are cut to windows of ``size`` words. Chunks are numbered through each key."""
+    s = boundaries(sentences, key, order, vector, threshold)
+    g = s.groupBy(key, "segment").agg(F.array_join(F.sort_array(F.collect_list(F.struct(order, text)))[text], " ").alias("t"))
+    g = g.select(key, "segment", F.filter(F.split("t", r"\s+"), lambda w: w != "").alias("t"))
+    c = g.select(key, "segment", "t", F.explode(windows(F.col("t"), size, overlap)).alias("w"))
+    n = F.row_number().over(Window.partitionBy(key).orderBy("segment", "w.start")) - 1
+    return c.select(key, F.format_string("%s__c%04d", F.col(key).cast("string"), n).alias("chunk_id"), F.expr("array_join(slice(t, w.start + 1, w.end - w.start), ' ')").alias("text"))

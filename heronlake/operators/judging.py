@@ -49,16 +49,21 @@ def rating_or_code(answer: Column, has_context: Column | None = None, failed: Co
     """struct<score, code>: OK with the rating of a JSON answer, clamped to 0..1, or of a plain one; without one an
     error code and its score."""
     t = F.trim(answer)
-    keys = [F.get_json_object(t, f"$.{k}").try_cast("double") for k in RATING_KEYS]
-    found = F.coalesce(*[F.when(k.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), k))) for k in keys], F.when(stated(t).isNotNull(), rating(t)))
-    code = F.when(F.coalesce(failed, F.lit(False)) if failed is not None else F.lit(False), "API_ERROR")
-    if has_context is not None:
-        code = code.when(~has_context, "EMPTY_CONTEXT")
-    code = code.when(F.coalesce(t, F.lit("")) == "", "EMPTY_ANSWER").when(found.isNull(), "PARSE_ERROR").otherwise("OK")
-    default = F.lit(None).cast("double")
-    for name, score in ERROR_SCORES.items():
-        default = F.when(code == name, F.lit(score)).otherwise(default)
-    return F.struct(F.when(code == "OK", found).otherwise(default).alias("score"), code.alias("code"))
+    facts = F.struct(F.coalesce(t, F.lit("")).alias("text"), stated(t).alias("stated"), F.array(*[F.get_json_object(t, f"$.{k}").try_cast("double") for k in RATING_KEYS]).alias("keys"))
+
+    def of(x: Column) -> Column:
+        key = F.get(F.array_compact(x["keys"]), F.lit(0))
+        plain = F.when((x["stated"] > 0) & (x["stated"] <= 1), x["stated"]).otherwise(0.5)
+        found = F.when(key.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), key))).when(x["stated"].isNotNull(), plain)
+        code = F.when(F.coalesce(failed, F.lit(False)) if failed is not None else F.lit(False), "API_ERROR")
+        if has_context is not None:
+            code = code.when(~has_context, "EMPTY_CONTEXT")
+        return F.struct(found.alias("found"), code.when(x["text"] == "", "EMPTY_ANSWER").when(found.isNull(), "PARSE_ERROR").otherwise("OK").alias("code"))
+
+    # bound by lambdas, so that the patterns are searched for once and the generated code stays small
+    coded = F.transform(F.array(facts), of)
+    default = F.create_map(*[F.lit(x) for pair in ERROR_SCORES.items() for x in pair])
+    return F.transform(coded, lambda x: F.struct(F.when(x["code"] == "OK", x["found"]).otherwise(F.try_element_at(default, x["code"])).alias("score"), x["code"].alias("code")))[0]
 
 
 def faithfulness(claims: Column, own: Column | None = None) -> Column:

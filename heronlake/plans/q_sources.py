@@ -256,13 +256,33 @@ def rr_yesno(s, d):
     return table(s, d, "embeddings").select("vec_id", F.round(pv.p_yes(F.array(e(0), e(1)), F.array(e(2), e(3))), 6).alias("value"))
 
 
-for _name in ("gen_answer", "judge_llm", "llm_clients"):
+def asked(s, d):
+    return table(s, d, "benchmark").select("item_id", F.concat(F.lit("Question: "), "text").alias("prompt"))
 
-    @query(_name, "SELECT item_id, CASE WHEN length('Question: ' || text) % 2 = 0 THEN 'yes' ELSE 'no' END AS label FROM benchmark")
-    def _generated(s, d):
-        """Prompt, model, parser; the model is a stand-in."""
-        p = table(s, d, "benchmark").select("item_id", F.concat(F.lit("Question: "), "text").alias("prompt"))
-        return pv.answered(p, "prompt", pv.echo).select("item_id", jd.idk_label(C("answer")).alias("label"))
+
+LEN = "length('Question: ' || text)"
+
+
+@query("gen_answer", f"SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'stored' WHEN {LEN} % 2 = 0 THEN 'yes' ELSE 'no' END AS answer FROM benchmark")
+def gen_answer(s, d):
+    """Answers that an earlier run has left blank or not made are made now; the model is a stand-in."""
+    before = table(s, d, "benchmark").where("item_id % 3 <= 1").select("item_id", F.when(C("item_id") % 3 == 0, "stored").otherwise("  ").alias("answer"))
+    return pv.resumed(asked(s, d), "item_id", "prompt", before, pv.echo).select("item_id", "answer")
+
+
+@query("judge_llm", f"""WITH p AS (SELECT item_id, length('Rate from 1 to 10.' || chr(10) || 'Question: ' || text) AS r, length('Is it a refusal?' || chr(10) || 'Question: ' || text) AS k FROM benchmark)
+SELECT item_id, CASE WHEN r % 4 = 0 THEN 0 ELSE (r % 10 + 1) / 10 END::DOUBLE AS rating, CASE WHEN r % 4 = 0 THEN 'EMPTY_ANSWER' ELSE 'OK' END AS code, CASE WHEN k % 2 = 0 THEN 'yes' ELSE 'no' END AS refusal FROM p""")
+def judge_llm(s, d):
+    """Two judges, each with prompt, stand-in model and parser: a rating, and whether the answer is a refusal."""
+    p = asked(s, d).select("item_id", F.concat(F.lit("Rate from 1 to 10.\n"), "prompt").alias("rate"), F.concat(F.lit("Is it a refusal?\n"), "prompt").alias("refuse"))
+    j = pv.answered(pv.answered(p, "rate", pv.graded, "rated"), "refuse", pv.echo, "label")
+    return j.select("item_id", jd.rating_or_code(C("rated")).alias("r"), jd.idk_label(C("label")).alias("refusal")).select("item_id", F.round("r.score", 6).alias("rating"), C("r.code").alias("code"), "refusal")
+
+
+@query("llm_clients", f"SELECT item_id, CASE WHEN {LEN} % 5 = 0 THEN NULL WHEN {LEN} % 2 = 0 THEN 'yes' ELSE 'no' END AS answer FROM benchmark")
+def llm_clients(s, d):
+    """A client in front of a service that fails now and then, and for some prompts always."""
+    return pv.answered(asked(s, d), "prompt", pv.Client(pv.Unsteady())).select("item_id", "answer")
 
 
 @query("trn_triplet", "SELECT source, arg_max(doc_id, n_chars * 1000000 - doc_id) AS best FROM documents GROUP BY source")

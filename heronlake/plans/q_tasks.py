@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heronlake.functions import text as tx
 from heronlake.operators import chunking as ck
+from heronlake.operators import conversations as cv
 from heronlake.operators import corpus as cp
 from heronlake.operators import ids
 from heronlake.plans.registry import query
@@ -203,11 +204,28 @@ def win_adj_cosine(s, d):
     return segments(s, d).select("vec_id", F.round("cosine", 6).alias("cosine"))
 
 
-for _name in ("win_segment_id", "chk_semantic"):
+@query("win_segment_id", SEG + " SELECT label, segment::BIGINT AS segment, min(vec_id) AS first, max(vec_id) AS last, count(*) AS n FROM g GROUP BY label, segment")
+def win_segment_id(s, d):
+    return segments(s, d).groupBy("label", C("segment").cast("long").alias("segment")).agg(F.min("vec_id").alias("first"), F.max("vec_id").alias("last"), F.count(F.lit(1)).alias("n"))
 
-    @query(_name, SEG + " SELECT label, segment::BIGINT AS segment, min(vec_id) AS first, max(vec_id) AS last, count(*) AS n FROM g GROUP BY label, segment")
-    def _segments(s, d):
-        return segments(s, d).groupBy("label", C("segment").cast("long").alias("segment")).agg(F.min("vec_id").alias("first"), F.max("vec_id").alias("last"), F.count(F.lit(1)).alias("n"))
+
+SEMANTIC = r"""WITH n AS (SELECT count(*) AS n FROM embeddings), s AS (SELECT doc_id, unnest(x) AS p, generate_subscripts(x, 1) - 1 AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS x FROM documents)),
+e AS (SELECT doc_id, i, p, embedding::DOUBLE[] AS v FROM s, n JOIN embeddings ON vec_id = (doc_id * 7 + i // 3) % n),
+c AS (SELECT *, list_cosine_similarity(lag(v) OVER (PARTITION BY doc_id ORDER BY i), v) AS cosine FROM e), g AS (SELECT *, sum(CASE WHEN cosine < 0.55 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS seg FROM c),
+t AS (SELECT doc_id, seg, list_filter(regexp_split_to_array(string_agg(p, ' ' ORDER BY i), '\s+'), lambda w: w <> '') AS t FROM g GROUP BY ALL),
+w AS (SELECT doc_id, seg, t, s FROM t, unnest(generate_series(0, len(t) - 1, 320)) x(s) WHERE s = 0 OR s - 320 + 384 < len(t))
+SELECT doc_id, doc_id || '__c' || lpad((row_number() OVER (PARTITION BY doc_id ORDER BY seg, s) - 1)::VARCHAR, 4, '0') AS chunk_id, array_to_string(t[s + 1:s + 384], ' ') AS text FROM w"""
+
+
+@query("chk_semantic", SEMANTIC)
+def chk_semantic(s, d):
+    """Sentences (their vectors come from the table of vectors, three in a row have the same one) in segments, windows, ids."""
+    p = F.split(F.regexp_replace(F.regexp_replace("text", r"([.!?])\s+", "$1\u0001"), r"\n+", "\u0001"), "\u0001")
+    p = F.filter(F.transform(p, lambda x: F.trim(x)), lambda x: x != "")
+    v = table(s, d, "embeddings").select("vec_id", "embedding")
+    x = docs(s, d).select("doc_id", F.posexplode(p).alias("i", "p"))
+    x = x.withColumn("vec_id", (C("doc_id") * 7 + F.floor(C("i") / 3)) % v.count()).join(v, "vec_id")
+    return ck.semantic_chunks(x, "doc_id", "i", "p", "embedding")
 
 
 @query("win_history", "SELECT conv_id, turn, string_agg(text, ' / ' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS history FROM conversations".replace("string_agg(text, ' / ' ORDER BY turn) OVER", "array_to_string(list(text) OVER").replace("CURRENT ROW) AS", "CURRENT ROW), ' / ') AS"))
@@ -297,11 +315,25 @@ def query_keywords(s, d):
     return t.withColumn("r", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("score"), "w"))).where("r <= 8")
 
 
-for _name in ("fn_keywords_query", "qry_keywords_llm"):
+@query("fn_keywords_query", QKW + " SELECT item_id, w AS token, score FROM r WHERE r <= 8")
+def fn_keywords_query(s, d):
+    return query_keywords(s, d).select("item_id", C("w").alias("token"), "score")
+
+
+FILL = QKW + r""", f AS (SELECT item_id, list(w ORDER BY r) AS extra FROM r WHERE r <= 8 GROUP BY item_id), m AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]{8,}') AS a FROM benchmark),
+d AS (SELECT m.item_id, list_filter(a, lambda x, i: list_position(a, x) = i) AS a, coalesce(extra, []) AS extra FROM m LEFT JOIN f USING (item_id))
+SELECT item_id, array_to_string(CASE WHEN len(a) < 8 THEN list_concat(a, list_filter(extra, lambda x: NOT list_contains(a, x)))[1:8] ELSE a[1:15] END, '; ') AS keywords FROM d"""
 
-    @query(_name, QKW + " SELECT item_id, w AS token, score FROM r WHERE r <= 8")
-    def _qkw(s, d):
-        return query_keywords(s, d).select("item_id", C("w").alias("token"), "score")
+
+@query("qry_keywords_llm", FILL)
+def qry_keywords_llm(s, d):
+    """Keywords of a (stand-in) model, 15 at most; fewer than eight are filled up with the query's own."""
+    from heronlake.functions import providers as pv
+
+    extra = query_keywords(s, d).groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("r", "w")))["w"].alias("extra"))
+    m = pv.answered(table(s, d, "benchmark").select("item_id", F.lower("text").alias("prompt")), "prompt", pv.long_words)
+    m = m.join(extra, "item_id", "left").withColumn("extra", F.coalesce("extra", F.array().cast("array<string>")))
+    return m.select("item_id", F.array_join(cv.filled(F.split("answer", ", "), C("extra"), 8, 15), "; ").alias("keywords"))
 
 
 @query("fn_keyword_query", QKW + " SELECT item_id, coalesce(string_agg(w, '; ' ORDER BY score DESC, w), text) AS value FROM benchmark LEFT JOIN (SELECT * FROM r WHERE r <= 8) USING (item_id) GROUP BY item_id, text")
@@ -419,14 +451,38 @@ STYLES = {
 }
 _VALUES = ", ".join(f"('{k}', '{v}')" for k, v in STYLES.items()).replace("\n", "' || chr(10) || '")
 PROMPT = MODE + f", s(style, template) AS (VALUES {_VALUES}) SELECT conv_id, style, replace(replace(template, '{{q}}', coalesce(lastturn, '')), '{{d}}', coalesce(d.text, '')) AS prompt FROM u LEFT JOIN documents d ON d.doc_id = u.conv_id, s"
-for _name in ("fn_prompt", "rep_prompts"):
-
-    @query(_name, PROMPT)
-    def _prompt(s, d):
-        st = F.broadcast(s.createDataFrame(list(STYLES.items()), "style string, template string"))
-        t = tasks(s, d).join(docs(s, d).select(C("doc_id").alias("conv_id"), "text"), "conv_id", "left").join(st)
-        q = F.replace(C("template"), F.lit("{q}"), F.coalesce("lastturn", F.lit("")))
-        return t.select("conv_id", "style", F.replace(q, F.lit("{d}"), F.coalesce("text", F.lit(""))).alias("prompt"))
+@query("fn_prompt", PROMPT)
+def fn_prompt(s, d):
+    st = F.broadcast(s.createDataFrame(list(STYLES.items()), "style string, template string"))
+    t = tasks(s, d).join(docs(s, d).select(C("doc_id").alias("conv_id"), "text"), "conv_id", "left").join(st)
+    q = F.replace(C("template"), F.lit("{q}"), F.coalesce("lastturn", F.lit("")))
+    return t.select("conv_id", "style", F.replace(q, F.lit("{d}"), F.coalesce("text", F.lit(""))).alias("prompt"))
+
+
+REPORT = MODE + """, t AS (SELECT u.conv_id AS task_id, d.source AS domain, coalesce(b.text, lastturn, questions) AS question, CASE WHEN b.text IS NOT NULL THEN 'rewrite' WHEN lastturn IS NOT NULL THEN 'lastturn' WHEN questions IS NOT NULL THEN 'questions' END AS source
+ FROM u LEFT JOIN benchmark b ON b.item_id = u.conv_id AND b.item_id % 2 = 0 LEFT JOIN documents d ON d.doc_id = u.conv_id * 3),
+c AS (SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY r) AS r, d.text[1:300] AS text FROM t, (VALUES (1), (2), (3), (4), (5)) x(r) JOIN documents d ON d.doc_id = task_id + r WHERE (task_id + r) % 3 <> 0 AND task_id % 10 <> 0 QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY r) <= 2),
+b AS (SELECT task_id, string_agg('[' || r || '] ' || text, chr(10) ORDER BY r) AS d FROM c GROUP BY task_id),
+p AS (SELECT task_id, source, CASE WHEN domain IS NULL THEN 'no domain' WHEN coalesce(trim(question), '') = '' THEN 'no question' WHEN d IS NULL THEN 'empty contexts' ELSE 'written' END AS status, 'Use only the documents.' || chr(10) || coalesce(d, '') || chr(10) || 'Question: ' || question || chr(10) || 'Answer:' AS prompt FROM t LEFT JOIN b USING (task_id))
+SELECT 'prompt' AS kind, task_id, status AS name, prompt AS value FROM p WHERE status IN ('written', 'empty contexts') UNION ALL SELECT 'status', NULL, status, count(*)::VARCHAR FROM p GROUP BY status UNION ALL SELECT 'source', NULL, source, count(*)::VARCHAR FROM p WHERE status IN ('written', 'empty contexts') GROUP BY source"""
+
+
+@query("rep_prompts", REPORT)
+def rep_prompts(s, d):
+    """Prompts of tasks with the first two contexts, and how many tasks were written, passed over, and asked in which way."""
+    rewrites = table(s, d, "benchmark").where("item_id % 2 = 0").select(C("item_id").alias("conv_id"), C("text").alias("rewrite"))
+    t = tasks(s, d).join(rewrites, "conv_id", "left").join(docs(s, d).where("doc_id % 3 = 0").select((C("doc_id") / 3).cast("long").alias("conv_id"), C("source").alias("domain")), "conv_id", "left")
+    source = F.when(C("rewrite").isNotNull(), "rewrite").when(C("lastturn").isNotNull(), "lastturn").when(C("questions").isNotNull(), "questions")
+    t = t.select(C("conv_id").alias("task_id"), "domain", F.coalesce("rewrite", "lastturn", "questions").alias("question"), source.alias("source"))
+    c = t.where("task_id % 10 <> 0").select("task_id", F.explode(F.array(*[F.lit(r) for r in range(1, 6)])).alias("rank")).withColumn("doc_id", C("task_id") + C("rank")).where("doc_id % 3 <> 0")
+    c = c.join(docs(s, d).select("doc_id", "text"), "doc_id")
+    p = cv.prompts(t, c, STYLES["grounded"], 2, 300)
+    done = p.where("prompt IS NOT NULL")
+    rows = done.select(F.lit("prompt").alias("kind"), "task_id", C("status").alias("name"), C("prompt").alias("value"))
+    for kind, of, name in (("status", p, "status"), ("source", done, "source")):
+        n = of.groupBy(C(name).alias("name")).agg(F.count(F.lit(1)).cast("string").alias("value"))
+        rows = rows.unionByName(n.select(F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("task_id"), "name", "value"))
+    return rows
 
 
 TURNS = "SELECT conv_id, array_to_string(list(text ORDER BY turn)[:-2], ' / ') AS previous, arg_max(text, turn) AS current FROM conversations GROUP BY conv_id"
@@ -445,13 +501,28 @@ def fn_first_value(s, d):
     return docs(s, d).select("doc_id", F.coalesce(first_present(F.when(C("lang") == "xx", C("lang")), F.when(C("source") == "src1", "").otherwise(C("source"))), F.lit("none")).alias("value"))
 
 
-@query("qry_conv2beir", "WITH q AS (SELECT conv_id, turn, array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), ' ') AS query, lead(role) OVER w AS next_role, lead(text) OVER w AS answer, role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id || '<::>' || turn AS qid, query, length(answer)::BIGINT AS answer_chars FROM q WHERE role = 'user' AND next_role = 'assistant' AND length(answer) >= 200")
+BEIR = """WITH c AS (SELECT conv_id, turn, role, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS asked,
+ array_to_string(list('|' || role || '|: ' || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), chr(10)) AS history FROM conversations),
+g AS (SELECT conv_id, turn, asked, conv_id * 10 + turn + j AS d, CASE WHEN (conv_id + turn) % 3 <> 0 THEN (conv_id * 7 + turn + j) % 2 = 0 ELSE (conv_id + turn * 3 + j) % 4 = 0 END AS yes FROM c, (VALUES (0), (3)) x(j) WHERE role <> 'user' AND asked IS NOT NULL),
+bad AS (SELECT conv_id, asked, turn FROM g GROUP BY ALL HAVING NOT bool_or(yes))
+SELECT 'query' AS kind, conv_id || '_' || turn AS qid, history AS value FROM c WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM bad b WHERE b.conv_id = c.conv_id AND b.asked = c.turn)
+UNION ALL SELECT 'qrel', conv_id || '_' || asked, 'd' || d FROM g WHERE yes"""
+
+
+@query("qry_conv2beir", BEIR)
 def qry_conv2beir(s, d):
-    """Queries with their history; one whose answer is missing or very short (unanswerable) is left out."""
-    w = W.partitionBy("conv_id").orderBy("turn")
-    q = conv(s, d).withColumn("query", F.array_join(F.collect_list("text").over(w.rowsBetween(-2, 0)), " ")).withColumn("next", F.lead(F.struct("role", "text")).over(w))
-    q = q.where((C("role") == "user") & (C("next.role") == "assistant") & (F.length("next.text") >= 200))
-    return q.select(F.concat("conv_id", F.lit("<::>"), "turn").alias("qid"), "query", F.length("next.text").cast("long").alias("answer_chars"))
+    """Queries with three lines of history, and judgements by the editor's or else the author's feedback."""
+    vote = lambda cond: F.when(cond, "yes").otherwise("no")
+    i, n = C("conv_id"), C("turn")
+
+    def context(j: int):
+        author = F.create_map(F.lit("a"), vote((i + n * 3 + j) % 4 == 0))
+        both = F.map_concat(author, F.create_map(F.lit("e"), vote((i * 7 + n + j) % 2 == 0)))
+        return F.struct(F.concat(F.lit("d"), i * 10 + n + j).alias("document_id"), F.when((i + n) % 3 != 0, both).otherwise(author).alias("feedback"))
+
+    m = conv(s, d).select("conv_id", "turn", "role", "text", F.lit("e").alias("editor"), F.lit("a").alias("author"), F.when(C("role") != "user", F.array(context(0), context(3))).alias("contexts"))
+    q, r = cv.to_beir(m, 3)
+    return q.select(F.lit("query").alias("kind"), "qid", C("text").alias("value")).unionByName(r.select(F.lit("qrel").alias("kind"), "qid", C("doc_id").alias("value")))
 
 
 @query("rep_replace_ctx", CTX + " SELECT conv_id, turn, string_agg(doc_id || '=' || coalesce(d.text, ''), chr(10) ORDER BY pos) AS contexts, count(d.doc_id) AS found, count(*) - count(d.doc_id) AS missing, coalesce(string_agg(CASE WHEN d.doc_id IS NULL THEN c.doc_id::VARCHAR END, ',' ORDER BY pos), '') AS missing_ids FROM c LEFT JOIN documents d USING (doc_id) GROUP BY conv_id, turn".replace("string_agg(doc_id ||", "string_agg(c.doc_id ||"))
