@@ -92,6 +92,20 @@ def long_words(prompts: list[str]) -> list[str]:
     return [", ".join(re.findall("[a-z]{8,}", p)) for p in prompts]
 
 
+def rewriter(prompts: list[str]) -> list[str]:
+    """A stand-in for a rewriting model: by the prompt's length nothing, the last turn, or that with two words more; with keywords
+    the last turn, behind the first of them if the length is even."""
+    out = []
+    for p in prompts:
+        turns, _, words = p.partition("\nKeywords: ")
+        last = turns.rpartition("\n")[2].partition("] ")[2]
+        if words:
+            out.append(last if len(p) % 2 else f"{words.split(', ')[0]} {last}")
+        else:
+            out.append(["", last, f"{last} in detail"][len(p) % 3])
+    return out
+
+
 def resumed(df: DataFrame, key: str, prompt: str, stored: DataFrame, model: TextModel, out: str = "answer", retries: int = 3) -> DataFrame:
     """``df`` with stored answers (key, out) where these aren't blank; only the other rows go to the model."""
     j = replayed(df, key, stored, out)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,3 +129,43 @@ def semantic_chunks(sentences: DataFrame, key: str, order: str, text: str, vecto
     c = g.select(key, "segment", "t", F.explode(windows(F.col("t"), size, overlap)).alias("w"))
     n = F.row_number().over(Window.partitionBy(key).orderBy("segment", "w.start")) - 1
     return c.select(key, F.format_string("%s__c%04d", F.col(key).cast("string"), n).alias("chunk_id"), F.expr("array_join(slice(t, w.start + 1, w.end - w.start), ' ')").alias("text"))
+
+
+def cut_spans(text: Column, spans: Column, size: int, overlap: int) -> Column:
+    """Windows of ``size`` words of each span [start, end) of a text, as spans of the text itself, in order. Offsets are in code
+    points; a span without words has none."""
+    import re
+
+    word, step = re.compile(r"\S+"), size - overlap
+
+    def one(t, found):
+        out = []
+        for s in found if t is not None and found is not None else ():
+            w = [m.span() for m in word.finditer(t, s["start"], s["end"])]
+            out += [{"start": w[i][0], "end": w[min(i + size, len(w)) - 1][1]} for i in range(0, len(w), step) if i == 0 or i - step + size < len(w)]
+        return out
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def run(t: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([one(a, b) for a, b in zip(t, found)], index=t.index, dtype=object)
+
+    return run(text, spans)
+
+
+def titled(text: Column, title: Column) -> Column:
+    """The text, or the title where the text is blank; null if both are."""
+    return F.when(F.coalesce(text, F.lit("")).rlike(r"\S"), text).when(F.coalesce(title, F.lit("")).rlike(r"\S"), title)
+
+
+def document_chunks(docs: DataFrame, units: DataFrame, key: str, order: str, vector: str, threshold: float = 0.55, size: int = 512, overlap: int = 100) -> DataFrame:
+    """key, chunk_id, start, stop, text: windows of ``size`` words of a text's segments, with exact offsets. ``docs`` has key and
+    text, ``units`` key, order, start, end and a vector; a segment ends where the cosine to the next unit falls under ``threshold``.
+    A text of one unit, or of none with a vector, is one segment."""
+    s = boundaries(units, key, order, vector, threshold).groupBy(key, "segment").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    s = s.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("segment", "start", "end"))).alias("s"))
+    j = docs.select(key, "text").where(F.col("text").isNotNull()).join(s, key, "left")
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end")))
+    j = j.withColumn("s", F.coalesce(F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))), whole))
+    c = j.select(key, "text", F.posexplode(cut_spans(F.col("text"), F.col("s"), size, overlap)).alias("i", "w"))
+    piece = F.expr("substring(text, w.start + 1, w.end - w.start)")
+    return c.select(key, F.format_string("%s__c%06d", F.col(key).cast("string"), "i").alias("chunk_id"), F.col("w.start").cast("long").alias("start"), F.col("w.end").cast("long").alias("stop"), piece.alias("text"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heronlake.functions import providers as pv
+from heronlake.functions import text as tx
+
 
 def to_beir(messages: DataFrame, keep: int | None = None, users_only: bool = False) -> tuple[DataFrame, DataFrame]:
     """queries (qid, text) and qrels (qid, doc_id, score) of messages (conv_id, turn, role, text, editor, author, contexts of
@@ -44,3 +47,36 @@ def filled(found: Column, extra: Column, low: int, high: int) -> Column:
     """Distinct ``found`` keywords, ``high`` at most; fewer than ``low`` are filled up from ``extra``."""
     found = F.array_distinct(F.filter(found, lambda w: F.trim(w) != ""))
     return F.when(F.size(found) < low, F.slice(F.array_union(found, extra), 1, low)).otherwise(F.slice(found, 1, high))
+
+
+#: A last turn that starts so is a question of its own.
+_ASKS = r"(?i)^\s*(is|are|was|were|do|does|did|can|could|will|would|should)\s"
+
+
+def combined(latest: Column, before: Column) -> Column:
+    """The last turn, behind the one before it unless it asks by itself."""
+    return F.when(before.isNull() | latest.rlike(_ASKS), latest).otherwise(F.concat(before, F.lit(" "), latest))
+
+
+def rewritten(tasks: DataFrame, model: pv.TextModel) -> DataFrame:
+    """``tasks`` (with turns and anchors, arrays of strings) with text, a query that stands alone.
+
+    The model sees all turns, numbered. Where its line is garbage, or the last turn again though that one refers back, tasks of
+    several turns with anchors go to it once more with the anchors as keywords, and no others do; that line counts if it is sound and
+    holds an anchor. Garbage in the end gives way to the turns combined. Null turns or anchors are as empty ones.
+    """
+    c, none = F.col, F.array().cast("array<string>")
+    t = tasks.withColumns({"turns": F.coalesce("turns", none), "anchors": F.coalesce("anchors", none)})
+    latest = F.coalesce(F.try_element_at("turns", F.lit(-1)), F.lit(""))
+    line = lambda name: F.coalesce(F.trim(tx.answer_line(c(name))), F.lit(""))
+    t = t.withColumn("prompt", F.array_join(F.transform("turns", lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x)), "\n"))
+    t = pv.answered(t, "prompt", model, "first").withColumn("first", line("first"))
+    stale = (tx.norm_query(c("first")) == tx.norm_query(latest)) & ~tx.standalone_question(latest)
+    t = t.withColumn("again", (F.size("turns") > 1) & (F.size("anchors") > 0) & (tx.garbage(c("first")) | stale))
+    more = t.where("again").withColumn("prompt", F.concat("prompt", F.lit("\nKeywords: "), F.array_join("anchors", ", ")))
+    more = pv.answered(more, "prompt", model, "second").withColumn("second", line("second"))
+    good = ~tx.garbage(c("second")) & F.exists("anchors", lambda a: F.lower("second").contains(F.lower(a)))
+    more = more.withColumn("first", F.when(good, c("second")).otherwise(c("first"))).drop("second")
+    both = t.where("NOT again").unionByName(more)
+    spare = combined(latest, F.try_element_at("turns", F.lit(-2)))
+    return both.select(*tasks.columns, F.concat(F.lit("|user|: "), F.trim(F.when(tx.garbage(c("first")), spare).otherwise(c("first")))).alias("text"))

@@ -174,3 +174,81 @@ def rb_agg(bert_r: Column, rouge: Column, k_prec: Column, recall: Column | None
     a = F.coalesce((bert_r + 1) / 2, recall) if recall is not None else (bert_r + 1) / 2
     c = F.coalesce((F.array_max(k_prec) + 1) / 2, F.lit(0.0))
     return F.when((a > 0) & (rouge > 0) & (c > 0), F.lit(3.0) / (1 / a + 1 / rouge + 1 / c)).otherwise(0.0)
+
+
+def extractive(df: DataFrame, key: str, prediction: Column, target: Column) -> DataFrame:
+    """key, value: 1 if the target, without blanks, stands in the prediction; else Rouge-L."""
+    inside = F.replace(prediction, F.lit(" "), F.lit("")).contains(F.replace(target, F.lit(" "), F.lit("")))
+    r = rouge_l(df, key, prediction, target).join(df.select(key, inside.alias("inside")), key)
+    return r.select(key, F.when(F.col("inside"), 1.0).otherwise(F.col("rouge_l")).alias("value"))
+
+
+def _bert(part: str):
+    from heronlake.functions.providers import bert_score
+
+    return lambda df, key, p, t: df.select(key, bert_score(p, t)[part].alias("value"))
+
+
+#: Scorers by the names that a configuration uses: (df, key, prediction, target) -> key, value.
+SCORERS = {
+    "recall": lambda df, key, p, t: token_overlap(df, key, p, t).select(key, F.col("recall").alias("value")),
+    "rouge_l": lambda df, key, p, t: rouge_l(df, key, p, t).withColumnRenamed("rouge_l", "value"),
+    "bert_prec": _bert("precision"),
+    "bert_recall": _bert("recall"),
+    "extractiveness_rouge": extractive,
+    "length": lambda df, key, p, t: df.select(key, F.length(p).cast("double").alias("value")),
+}
+#: Columns of a task that a metric's target may name.
+TARGETS = {"target": "targets", "passage": "passages", "target_label": "labels"}
+#: The metrics that the aggregate needs: token recall, Rouge-L, BERT recall, BERT K-precision. Fixed names.
+AGGREGATED = ("Recall", "RougeL_stemFalse", "BertscoreR", "BertKPrec")
+
+
+def metric_config(text: str) -> dict[str, dict[str, str]]:
+    """A configuration of two levels: a metric's name, then func, prediction and target, indented, each as ``name: value``."""
+    out: dict[str, dict[str, str]] = {}
+    for line in text.splitlines():
+        body = line.split("#", 1)[0].rstrip()
+        name, colon, value = body.strip().partition(":")
+        if not body:
+            continue
+        if not colon or (body[0].isspace() and not out):
+            raise ValueError(f"not a name and a value: {line!r}")
+        if body[0].isspace():
+            out[list(out)[-1]][name.strip()] = value.strip()
+        else:
+            out[name.strip()] = {}
+    return out
+
+
+def dispatch(tasks: DataFrame, key: str, config: dict[str, dict[str, str]]) -> DataFrame:
+    """key, metric, values: the metrics of ``config`` for tasks (a unique key, prediction, and arrays targets, passages, labels as
+    the metrics need), one value for each target in its order, none without targets. RB_agg, one value, is added if the four
+    metrics that it needs are there: from the first recall and Rouge-L and all K-precisions. Null predictions count as empty.
+    Unknown scorers or targets raise."""
+    for name, m in config.items():
+        if m.get("func") not in SCORERS or m.get("target") not in TARGETS or m.get("prediction", "prediction") != "prediction":
+            raise ValueError(f"metric {name}: unknown scorer, prediction or target in {m}")
+    c, found = F.col, None
+    kind = tasks.schema[key].dataType
+    for target in dict.fromkeys(m["target"] for m in config.values()):
+        x = tasks.select(c(key), F.coalesce("prediction", F.lit("")).alias("p"), F.posexplode(TARGETS[target]).alias("i", "t"))
+        x = x.select(F.concat(c(key).cast("string"), F.lit("#"), c("i").cast("string")).alias("pair"), "p", F.coalesce("t", F.lit("")).alias("t"))
+        for name in (n for n, m in config.items() if m["target"] == target):
+            d = SCORERS[config[name]["func"]](x, "pair", c("p"), c("t")).select("pair", F.lit(name).alias("metric"), "value")
+            found = d if found is None else found.unionByName(d)
+    names = [*config] + ["RB_agg"] * all(n in config for n in AGGREGATED)
+    rows = tasks.select(key, F.explode(F.array(*map(F.lit, names))).alias("metric")) if names else tasks.select(key, F.lit("").alias("metric")).limit(0)
+    if found is None:
+        return rows.withColumn("values", F.array().cast("array<double>"))
+    place = F.substring_index("pair", "#", -1)
+    back = F.expr("substring(pair, 1, length(pair) - length(substring_index(pair, '#', -1)) - 1)").cast(kind)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda v: v["value"])
+    values = found.select(back.alias(key), "metric", place.cast("int").alias("i"), "value").groupBy(key, "metric").agg(listed.alias("values"))
+    if "RB_agg" in names:
+        recall, rouge, bert, k = (F.max(F.when(c("metric") == n, c("values"))) for n in AGGREGATED)
+        g = values.where(c("metric").isin(*AGGREGATED)).groupBy(key).agg(recall.alias("__recall"), rouge.alias("__rouge"), bert.alias("__bert"), k.alias("__k"))
+        k0 = F.transform("__k", lambda v: F.coalesce(v, F.lit(0.0)))
+        agg = rb_agg(F.get("__bert", F.lit(0)), F.get("__rouge", F.lit(0)), k0, F.get("__recall", F.lit(0)))
+        values = values.unionByName(g.select(key, F.lit("RB_agg").alias("metric"), F.array(agg).alias("values")))
+    return rows.join(values, [key, "metric"], "left").withColumn("values", F.coalesce("values", F.array().cast("array<double>")))

@@ -210,24 +210,51 @@ def met_rouge_l(spark, sf_dir):
 
 @query("met_extractive")
 def met_extractive(spark, sf_dir):
-    """1 if the target, without blanks, stands in the prediction; else Rouge-L."""
-    p = pairs(spark, sf_dir)
-    inside = p.select("k", F.replace("pred", F.lit(" "), F.lit("")).contains(F.replace("target", F.lit(" "), F.lit(""))).alias("inside"))
-    return jd.rouge_l(p, "k", C("pred"), C("target")).join(inside, "k").select("k", F.round(F.when(C("inside"), 1.0).otherwise(C("rouge_l")), 6).alias("value"))
-
-
-#: Metrics by the names that a configuration uses.
-METRICS = {"recall": lambda p: jd.token_overlap(p, "k", C("pred"), C("target")).select("k", C("recall").alias("value")), "rouge_l": lambda p: jd.rouge_l(p, "k", C("pred"), C("target")).withColumnRenamed("rouge_l", "value"), "length": lambda p: p.select("k", F.length("pred").cast("double").alias("value"))}
+    return jd.extractive(pairs(spark, sf_dir), "k", C("pred"), C("target")).select("k", F.round("value", 6).alias("value"))
+
+
+#: Metrics as a configuration file lists them; the names are fixed values.
+CONFIG = """
+Recall:
+  func: recall
+  prediction: prediction
+  target: target
+RougeL_stemFalse:
+  func: rouge_l
+  prediction: prediction
+  target: target
+BertscoreP:
+  func: bert_prec
+  prediction: prediction
+  target: target
+BertscoreR:
+  func: bert_recall
+  prediction: prediction
+  target: target
+BertKPrec:
+  func: bert_prec
+  prediction: prediction
+  target: passage
+Extractiveness_RougeL:
+  func: extractiveness_rouge
+  prediction: prediction
+  target: passage
+Length:
+  func: length
+  prediction: prediction
+  target: target
+"""
 
 
 @query("met_dispatch")
-def met_dispatch(spark, sf_dir, config=("recall", "rouge_l", "length")):
-    p = pairs(spark, sf_dir)
-    out = None
-    for name in config:
-        d = METRICS[name](p).select("k", F.lit(name).alias("metric"), F.round("value", 6).alias("value"))
-        out = d if out is None else out.unionByName(d)
-    return out
+def met_dispatch(spark, sf_dir, config=CONFIG):
+    """Each turn as a prediction for two targets, the turn before and itself, with the text of the document of the conversation's
+    number as its passage, if there is one."""
+    d = table(spark, sf_dir, "documents").select((C("doc_id")).alias("conv"), C("text").alias("passage"))
+    t = pairs(spark, sf_dir).withColumn("conv", F.floor(C("k") / 1000)).join(d, "conv", "left")
+    t = t.select("k", C("pred").alias("prediction"), F.array("target", "pred").alias("targets"), F.array_compact(F.array("passage")).alias("passages"))
+    out = jd.dispatch(t, "k", jd.metric_config(config))
+    return out.select("k", "metric", F.posexplode("values").alias("i", "value")).select("k", "metric", "i", F.round("value", 6).alias("value"))
 
 
 @query("agg_ppl", "SELECT source, round(exp(sum(n_chars * 0.001::DOUBLE) / sum(n_chars * 0.0004::DOUBLE + 1)), 6) AS corpus, round(avg(exp(n_chars * 0.001::DOUBLE / (n_chars * 0.0004::DOUBLE + 1))), 6) AS mean, round(quantile_cont(exp(n_chars * 0.001::DOUBLE / (n_chars * 0.0004::DOUBLE + 1)), 0.9), 6) AS p90 FROM documents GROUP BY source")

@@ -265,14 +265,47 @@ for _name in ("win_budget_anchor", "chk_budget"):
         return ck.budget_packs(fixed(s, d).select("doc_id", "start", "end").join(total, "doc_id"), "doc_id")
 
 
-for _name, _size in (("chk_units", 128), ("chk_doc_semantic", 512)):
-
-    @query(_name)
-    def _units(s, d, size=_size):
-        """Sentence spans of a text with their offsets, cut to at most ``size`` words."""
-        x = docs(s, d).select("doc_id", "text", F.explode(tx.spans(C("text"))).alias("p"))
-        x = x.select("doc_id", C("p.start").alias("start"), C("p.end").alias("end"), F.expr("substring(text, p.start + 1, p.end - p.start)").alias("text"))
-        return x.withColumn("w", F.explode(ck.windows(cp.words(C("text")), size, 16))).select("doc_id", "start", "end", C("w.start").alias("from_word"), C("w.end").alias("to_word"))
+_CUT = r"""regexp_extract_all({q}, '\S+') AS w, regexp_extract_all({q}, '\s+') AS g"""
+_LEN = "coalesce(list_sum(list_transform({x}, lambda y: length(y))), 0)"
+_FROM = "beg + " + _LEN.format(x="w[1:s]") + " + " + _LEN.format(x="g[1:s]")
+_TO = "beg + " + _LEN.format(x="w[1:least(s + {n}, len(w))]") + " + " + _LEN.format(x="g[1:least(s + {n}, len(w)) - 1]")
+_STRIP = r"regexp_replace(regexp_replace(p, '^\s+', ''), '\s+$', '')"
+#: Sentences with their offsets, cut to units of 128 words that share 16 (the table v).
+UNITS = rf"""WITH d AS (SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '\S') THEN text WHEN regexp_matches(coalesce(source, ''), '\S') THEN source END AS text FROM documents),
+p AS (SELECT doc_id, unnest(x) AS p, generate_subscripts(x, 1) AS k FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?])(\s+)', '\1' || chr(1) || '\2', 'g'), '(\n\n+)', chr(1) || '\1', 'g'), chr(1)) AS x FROM d)),
+o AS (SELECT doc_id, k, {_STRIP} AS q, coalesce(sum(length(p)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(p) - length(regexp_replace(p, '^\s+', '')) AS beg FROM p),
+t AS (SELECT doc_id, k, beg, {_CUT.format(q="q")} FROM o), u AS (SELECT * FROM t, unnest(generate_series(0, len(w) - 1, 112)) x(s) WHERE len(w) > 0 AND (s = 0 OR s - 112 + 128 < len(w))),
+v AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, s) - 1 AS i, {_FROM} AS start, {_TO.format(n=128)} AS stop FROM u)"""
+CHUNKS = UNITS + rf""", n AS (SELECT count(*) AS n FROM embeddings), e AS (SELECT doc_id, i, start, stop, embedding::DOUBLE[] AS v FROM v, n JOIN embeddings ON vec_id = (doc_id * 7 + i // 3) % n),
+c AS (SELECT *, list_cosine_similarity(lag(v) OVER (PARTITION BY doc_id ORDER BY i), v) AS cosine FROM e), f AS (SELECT *, sum(CASE WHEN cosine < 0.55 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS seg FROM c),
+h AS (SELECT doc_id, seg, min(start) AS beg, max(stop) AS b FROM f GROUP BY ALL), m AS (SELECT h.*, substring(text, beg::BIGINT + 1, (b - beg)::BIGINT) AS z FROM h JOIN d USING (doc_id)),
+y AS (SELECT doc_id, seg, beg, {_CUT.format(q="z")} FROM m), r AS (SELECT * FROM y, unnest(generate_series(0, len(w) - 1, 412)) x(s) WHERE s = 0 OR s - 412 + 512 < len(w)),
+l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seg, s) - 1 AS i, ({_FROM})::BIGINT AS start, ({_TO.format(n=512)})::BIGINT AS stop FROM r)
+SELECT doc_id, doc_id || '__c' || lpad(i::VARCHAR, 6, '0') AS chunk_id, start, stop, substring(text, start + 1, stop - start) AS text FROM l JOIN d USING (doc_id)"""
+
+
+@query("chk_units", UNITS + " SELECT doc_id, i::INT AS i, start::INT AS start, stop::INT AS stop FROM v")
+def chk_units(s, d):
+    """Sentences of a text with their offsets; longer ones are cut to windows of 128 words that share 16."""
+    return units(docs_or_titles(s, d)).select("doc_id", "i", "start", C("end").alias("stop"))
+
+
+def docs_or_titles(s, d):
+    """Documents; one with a blank text has its source's name as text, as it has no other title."""
+    return docs(s, d).select("doc_id", ck.titled(C("text"), C("source")).alias("text"))
+
+
+def units(x):
+    return x.select("doc_id", F.posexplode(ck.cut_spans(C("text"), tx.spans(C("text")), 128, 16)).alias("i", "p")).select("doc_id", "i", "p.start", "p.end")
+
+
+@query("chk_doc_semantic", CHUNKS)
+def chk_doc_semantic(s, d):
+    """Units (their vectors come from the table of vectors, three in a row have the same one) in segments, windows, ids."""
+    v = table(s, d, "embeddings").select("vec_id", "embedding")
+    x = docs_or_titles(s, d)
+    u = units(x).withColumn("vec_id", (C("doc_id") * 7 + F.floor(C("i") / 3)) % v.count()).join(v, "vec_id")
+    return ck.document_chunks(x, u, "doc_id", "i", "embedding")
 
 
 # keywords and rewriting
@@ -345,26 +378,55 @@ def fn_keyword_query(s, d):
 ANCHOR = rf"WITH u AS (SELECT conv_id, turn, {KW} AS k FROM conversations WHERE role = 'user'), l AS (SELECT conv_id, max(turn) AS last FROM u GROUP BY conv_id), c AS (SELECT u.conv_id, unnest(k) AS w FROM u JOIN l USING (conv_id) WHERE turn < last), g AS (SELECT c.conv_id, w, count(*) AS n FROM c GROUP BY ALL), z AS (SELECT u.conv_id, unnest(k) AS w FROM u JOIN l ON u.conv_id = l.conv_id AND turn = last) SELECT conv_id, w AS anchor FROM g WHERE (conv_id, w) NOT IN (SELECT conv_id, w FROM z) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, length(w) DESC, w) <= 3"
 
 
-@query("fn_anchors", ANCHOR)
-def fn_anchors(s, d):
+def anchors(s, d):
+    """conv_id, w, r: the three commonest keywords of all but the last user's turn that aren't in that one."""
     u = conv(s, d).where("role = 'user'").select("conv_id", "turn", F.max("turn").over(W.partitionBy("conv_id")).alias("last"), F.explode(tx.keyword_tokens(C("text"))).alias("w"))
     z = u.where("turn = last").select("conv_id", "w").distinct()
     # the last turn may have no keyword; it is the last of all user turns
     last = conv(s, d).where("role = 'user'").groupBy("conv_id").agg(F.max("turn").alias("last"))
     g = u.drop("last").join(last, "conv_id").where("turn < last").groupBy("conv_id", "w").agg(F.count(F.lit(1)).alias("n")).join(z, ["conv_id", "w"], "left_anti")
     w = W.partitionBy("conv_id").orderBy(F.desc("n"), F.length("w").desc(), "w")
-    return g.withColumn("r", F.row_number().over(w)).where("r <= 3").select("conv_id", C("w").alias("anchor"))
+    return g.withColumn("r", F.row_number().over(w)).where("r <= 3").select("conv_id", "w", "r")
+
+
+@query("fn_anchors", ANCHOR)
+def fn_anchors(s, d):
+    return anchors(s, d).select("conv_id", C("w").alias("anchor"))
 
 
 REWRITE = "WITH u AS (SELECT conv_id, text, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role = 'user') SELECT conv_id, CASE WHEN before IS NULL OR regexp_matches(text, '(?i)^\\s*(is|are|was|were|do|does|did|can|could|will|would|should)\\s') THEN text ELSE before || ' ' || text END AS value FROM u WHERE r = 1"
-for _name in ("fn_heuristic_rewrite", "qry_rewrite"):
-
-    @query(_name, REWRITE)
-    def _rewrite(s, d):
-        w = W.partitionBy("conv_id")
-        u = conv(s, d).where("role = 'user'").withColumn("before", F.lag("text").over(w.orderBy("turn"))).withColumn("r", F.row_number().over(w.orderBy(F.desc("turn")))).where("r = 1")
-        alone = C("before").isNull() | C("text").rlike(r"(?i)^\s*(is|are|was|were|do|does|did|can|could|will|would|should)\s")
-        return u.select("conv_id", F.when(alone, C("text")).otherwise(F.concat("before", F.lit(" "), "text")).alias("value"))
+
+
+@query("fn_heuristic_rewrite", REWRITE)
+def fn_heuristic_rewrite(s, d):
+    w = W.partitionBy("conv_id")
+    u = conv(s, d).where("role = 'user'").withColumn("before", F.lag("text").over(w.orderBy("turn"))).withColumn("r", F.row_number().over(w.orderBy(F.desc("turn")))).where("r = 1")
+    return u.select("conv_id", cv.combined(C("text"), C("before")).alias("value"))
+
+
+_LINE = r"""trim(coalesce(regexp_replace(regexp_replace(list_filter(list_transform(string_split({x}, chr(10)), lambda y: trim(y)), lambda y: y <> '' AND NOT regexp_matches(y, '^</?think>'))[1], '(?i)^(rewritten query|rewrite|query|answer)\s*:\s*', ''), '^["''`]+|["''`]+$', '', 'g'), ''))"""
+_BAD = "(length(trim({x})) < 6 OR regexp_matches(trim({x}), '^[0-9]+$') OR regexp_matches(trim({x}), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}Z$') OR regexp_matches(lower({x}), '\\|(document|rank|score|relevance)\\|'))"
+_NORM = r"trim(regexp_replace(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}_\s''-]', '', 'g'), '\s+', ' ', 'g'))"
+TWICE = ANCHOR.partition(" SELECT conv_id, w AS anchor")[0] + rf""", k AS (SELECT conv_id, w, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, length(w) DESC, w) AS r FROM g WHERE (conv_id, w) NOT IN (SELECT conv_id, w FROM z)),
+a AS (SELECT conv_id, list(w ORDER BY r) AS anchors FROM k WHERE r <= 3 GROUP BY conv_id),
+q AS (SELECT conv_id, list(trim(regexp_replace(text, '\s+', ' ', 'g')) ORDER BY turn) AS turns FROM conversations WHERE role = 'user' GROUP BY conv_id),
+b AS (SELECT q.conv_id, turns, turns[-1] AS latest, coalesce(anchors, []) AS anchors, array_to_string(list_transform(turns, lambda x, i: '[' || i || '] ' || x), chr(10)) AS p1 FROM q LEFT JOIN a USING (conv_id)),
+e AS (SELECT *, p1 || chr(10) || 'Keywords: ' || array_to_string(anchors, ', ') AS p2, CASE length(p1) % 3 WHEN 0 THEN '' WHEN 1 THEN latest ELSE latest || ' in detail' END AS m1 FROM b),
+f AS (SELECT *, {_LINE.format(x="m1")} AS one, {_LINE.format(x="CASE WHEN length(p2) % 2 = 1 THEN latest ELSE anchors[1] || ' ' || latest END")} AS two FROM e),
+h AS (SELECT *, len(turns) > 1 AND len(anchors) > 0 AND ({_BAD.format(x="one")} OR ({_NORM.format(x='one')} = {_NORM.format(x='latest')} AND NOT (regexp_matches(latest, '\?\s*$') AND NOT regexp_matches(latest, '(?i)(^|[^0-9A-Za-z_])({'|'.join(tx.PRONOUNS)})($|[^0-9A-Za-z_])') AND len(regexp_split_to_array(trim(latest), '\s+')) >= 4))) AS again FROM f),
+o AS (SELECT *, CASE WHEN again AND NOT {_BAD.format(x="two")} AND len(list_filter(anchors, lambda x: contains(lower(two), lower(x)))) > 0 THEN two ELSE one END AS fin FROM h)
+SELECT conv_id, '|user|: ' || trim(CASE WHEN {_BAD.format(x="fin")} THEN CASE WHEN len(turns) < 2 OR regexp_matches(latest, '(?i)^\s*(is|are|was|were|do|does|did|can|could|will|would|should)\s') THEN latest ELSE turns[-2] || ' ' || latest END ELSE fin END) AS text FROM o"""
+
+
+@query("qry_rewrite", TWICE)
+def qry_rewrite(s, d):
+    """Queries rewritten by a (stand-in) model in two passes."""
+    from heronlake.functions import providers as pv
+
+    users = conv(s, d).where("role = 'user'").select("conv_id", "turn", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("t"))
+    turns = users.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "t"))), lambda x: x["t"]).alias("turns"))
+    a = anchors(s, d).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "w"))), lambda x: x["w"]).alias("anchors"))
+    return cv.rewritten(turns.join(a, "conv_id", "left"), pv.rewriter).select("conv_id", "text")
 
 
 SENT = r"string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))"

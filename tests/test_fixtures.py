@@ -142,3 +142,50 @@ def test_results_do_not_depend_on_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     assert sorted(map(tuple, registry.queries()["fus_rrf"](spark, SF).collect())) == first
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_dispatch(spark):
+    tasks = spark.createDataFrame([(1, "a cat sat", ["a cat", "dog"], ["cat sat here"]), (2, None, [], None)], "k long, prediction string, targets array<string>, passages array<string>")
+    short = {"Recall": {"func": "recall", "target": "target"}, "Length": {"func": "length", "target": "target"}}
+    assert {(r.k, r.metric): r["values"] for r in jd.dispatch(tasks, "k", short).collect()} == {(1, "Recall"): [1.0, 0.0], (1, "Length"): [9.0, 9.0], (2, "Recall"): [], (2, "Length"): []}
+    from heronlake.plans.q_judging import CONFIG
+
+    got = {(r.k, r.metric): r["values"] for r in jd.dispatch(tasks, "k", jd.metric_config(CONFIG)).collect()}
+    assert len(got) == 16 and got[2, "RB_agg"] == []
+    # Rouge-L of 3 and 2 tokens, 2 in common; BERT recall 1; two of three tokens of the passage, the third by its nearest vector
+    k = (got[1, "BertKPrec"][0] + 1) / 2
+    assert got[1, "RougeL_stemFalse"] == pytest.approx([0.8, 0.0]) and got[1, "BertscoreR"][0] == pytest.approx(1)
+    assert got[1, "Extractiveness_RougeL"] == pytest.approx([2 / 3]) and got[1, "RB_agg"] == pytest.approx([3 / (1 + 1 / 0.8 + 1 / k)])
+    with pytest.raises(ValueError):
+        jd.dispatch(tasks, "k", {"x": {"func": "none", "target": "target"}})
+    with pytest.raises(ValueError):
+        jd.metric_config("  func: recall")
+
+
+def test_rewriting_in_two_passes(spark):
+    from heronlake.operators import conversations as cv
+
+    tasks = spark.createDataFrame(
+        [("one", ["What is it?"], ["x"]), ("stale", ["Tell me of tides", "why is that so"], ["tides"]), ("no anchor", ["Tell me of tides", "why is that so"], []), ("lost", ["Tell me of moons", "and why then"], ["moons"]), ("empty", None, None)],
+        "k string, turns array<string>, anchors array<string>",
+    )
+
+    def model(prompts):
+        out = []
+        for p in prompts:
+            last = p.split("] ")[-1].split("\n")[0]
+            out.append("" if "moons" in p and "Keywords" not in p else "no word of it" if "moons" in p else f"Query: tides, {last}" if "Keywords: tides" in p else last)
+        return out
+
+    got = {r.k: r.text for r in cv.rewritten(tasks, model).select("k", "text").collect()}
+    assert got == {"one": "|user|: What is it?", "stale": "|user|: tides, why is that so", "no anchor": "|user|: why is that so", "lost": "|user|: Tell me of moons and why then", "empty": "|user|: "}
+
+
+def test_document_chunks(spark):
+    text = "Aa b. Cc d e f g.  Hh"
+    docs = spark.createDataFrame([(1, text, "t"), (2, " \n", "A title"), (3, None, " "), (4, "x y z", None)], "k long, text string, title string")
+    docs = docs.select("k", ck.titled(F.col("text"), F.col("title")).alias("text"))
+    units = spark.createDataFrame([(1, 0, 0, 5, [1.0, 0.0]), (1, 1, 6, 17, [0.0, 1.0]), (1, 2, 19, 21, [0.0, 1.0])], "k long, i int, start int, end int, v array<double>")
+    got = ck.document_chunks(docs, units, "k", "i", "v", size=4, overlap=1).collect()
+    assert sorted((r.chunk_id, r.start, r.stop) for r in got) == [("1__c000000", 0, 5), ("1__c000001", 6, 14), ("1__c000002", 13, 21), ("2__c000000", 0, 7), ("4__c000000", 0, 5)]
+    assert all(r.text == (text[r.start : r.stop] if r.k == 1 else {2: "A title", 4: "x y z"}[r.k]) for r in got)
