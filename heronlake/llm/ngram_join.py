@@ -546,11 +546,13 @@ def links(docs: DataFrame, classes: DataFrame, n_shingles: int, n: int, percent:
     if not outside.take(1):
         return found
     sets = large.withColumn("u", F.pmod(F.xxhash64("d"), blocks)).select("c", "d", "u", "text")
-    stored = salted_join(sets, n_out, "c", "d").withColumn("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_out") - 1))).select("c", "u", "v", "d", "text", F.lit(False).alias("probe"))
-    probes = outside.select("c", "d", "v", "m").withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    probes = probes.join(large.select("d", "text"), "d").select("c", "u", "v", "d", "text", F.lit(True).alias("probe"))
     # a set that looks for partners in its own block is stored there by that
-    stored = stored.join(probes.select("u", "v", "d"), ["u", "v", "d"], "left_anti").select(probes.columns)
+    sets = salted_join(sets, n_out, "c", "d").join(outside.select("d", F.col("v").alias("own")), "d", "left")
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("n_out") - 1), lambda v: ~v.eqNullSafe(F.col("own")))
+    stored = sets.withColumn("v", F.explode(others)).select("c", "u", "v", "d", "text", F.lit(False).alias("probe"))
+    # joined before rows are multiplied by the blocks: Spark takes the multiplied rows for as few as before, and would broadcast them
+    probes = outside.select("c", "d", "v", "m").join(large.select("d", "text"), "d").withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    probes = probes.select("c", "u", "v", "d", "text", F.lit(True).alias("probe"))
     return found.unionByName(_join_units(stored.unionByName(probes).withColumn("k", F.col("c")), n, percent))
 
 

@@ -281,6 +281,24 @@ def test_join_equals_brute_force(spark, monkeypatch, block, crowd, bucket):
     assert {r.doc_id: r.component_id for r in got} == expected and {r.doc_id: r.n_shingles for r in got} == {i: len(s) for i, s in sets.items()}
 
 
+def test_join_broadcasts_no_rows_multiplied_by_blocks(spark, monkeypatch):
+    """Sets outside a cluster's largest component, times its blocks, grow with the square of the cluster: they stay off the driver."""
+    monkeypatch.setattr(ngram_join, "CROWD", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "HUBS", 1)
+    docs = spark.createDataFrame(near_copies(), "doc_id long, text string")
+    sets = ngram_join.described(docs, 3)
+    found = ngram_join.links(docs, sets.groupBy(F.col("d").alias("node")).agg(F.min("h").alias("h")), 100_000, 3, 90)
+    lines = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-*")) for x in lines]
+    multiplied = [i for i, x in enumerate(lines) if re.search(r"Generate explode\((sequence|filter)", x)]
+    assert len(multiplied) >= 2 and any("BroadcastExchange" in x for x in lines)  # sets and blocks are there, and tables small enough
+    for i, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            assert not [lines[j] for j in multiplied if i < j < end]
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_linked_sets_share_enough_names(percent):
     rng = np.random.default_rng(2)
