@@ -102,7 +102,7 @@ def src_run(s, d):
 @query("src_csv_wide", "SELECT doc_id::VARCHAR AS doc_id, text, lang FROM documents")
 def src_csv_wide(s, d):
     path = scratch(s, "csv")
-    table(s, d, "documents").select("doc_id", "text", "lang").write.option("header", True).option("escape", '"').csv(path)
+    io.write_csv(table(s, d, "documents").select("doc_id", "text", "lang"), path)
     return io.read_csv_wide(s, path)
 
 

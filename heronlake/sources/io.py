@@ -27,16 +27,31 @@ def jsonl_round_trip(df: DataFrame, name: str, compression: str = "none") -> Dat
     return read_jsonl(df.sparkSession, path, df.schema, strict=True)
 
 
+def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
+    """With a header. Cells may hold separators, quotes and line ends, and keep blanks at their ends; nulls are bare, empty texts
+    quoted."""
+    own = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    df.write.options(header=True, sep=sep, escape='"', **own).csv(path)
+
+
+def _csv_reader(spark: SparkSession, sep: str = ","):
+    """Reads what ``write_csv`` writes: a bare empty cell is null, a quoted one is an empty text."""
+    import uuid
+
+    # Spark takes cells that equal nullValue, by default the empty text, for null even if they are quoted
+    return spark.read.options(header=True, sep=sep, multiLine=True, escape='"', maxCharsPerColumn=-1, nullValue=uuid.uuid4().hex, emptyValue="")
+
+
 def csv_round_trip(df: DataFrame, name: str, sep: str = ",") -> DataFrame:
     """Cells may hold separators, quotes and line ends."""
     path = scratch(df.sparkSession, name)
-    df.write.option("header", True).option("sep", sep).option("escape", '"').csv(path)
-    return df.sparkSession.read.schema(df.schema).option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').option("maxCharsPerColumn", -1).csv(path)
+    write_csv(df, path, sep)
+    return _csv_reader(df.sparkSession, sep).schema(df.schema).csv(path)
 
 
 def read_csv_wide(spark: SparkSession, path: str) -> DataFrame:
     """All cells as strings, of any size, without a byte-order mark in the first name."""
-    d = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("maxCharsPerColumn", -1).csv(path)
+    d = _csv_reader(spark).csv(path)
     return d.toDF(*[c.lstrip("﻿") for c in d.columns])
 
 

@@ -35,7 +35,7 @@ def odd(tmp_path_factory):
     return str(base)
 
 
-NAMES = ["agg_parent_group", "agg_leakage", "agg_fragmentation", "jn_span_overlap", "ret_chunk_to_passage", "fn_anchors", "qry_rewrite"]
+NAMES = ["agg_parent_group", "agg_leakage", "agg_fragmentation", "jn_span_overlap", "ret_chunk_to_passage", "fn_anchors", "qry_rewrite", "src_csv_wide"]
 
 
 @pytest.mark.parametrize("name", NAMES)
