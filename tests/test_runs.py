@@ -67,7 +67,7 @@ def test_metrics_of_classes(spark, vectors):
     assert got == show(ir.per_query(run, qrels)) and len(got) == 8
 
 
-NAMES = ["rr_cross", "win_rank_desc"]
+NAMES = ["rr_cross", "win_rank_desc", "rr_alpha"]
 
 
 @pytest.mark.parametrize("name", NAMES)
