@@ -67,7 +67,7 @@ def test_metrics_of_classes(spark, vectors):
     assert got == show(ir.per_query(run, qrels)) and len(got) == 8
 
 
-NAMES = ["rr_cross", "win_rank_desc", "rr_alpha", "top_rerank", "agg_run_cmp", "agg_passage_max", "rep_qid_diff", "fus_rrf", "fus_rrf_file", "agg_sweep_rank", "fus_sweep", "jn_postings", "fus_hybrid", "set_topk_sets", "jn_fuse_outer", "srt_multi", "top_fused", "agg_overlap", "fus_linear"]
+NAMES = ["rr_cross", "win_rank_desc", "rr_alpha", "top_rerank", "agg_run_cmp", "agg_passage_max", "rep_qid_diff", "fus_rrf", "fus_rrf_file", "agg_sweep_rank", "fus_sweep", "jn_postings", "fus_hybrid", "set_topk_sets", "jn_fuse_outer", "srt_multi", "top_fused", "agg_overlap", "fus_linear", "agg_compare_reports"]
 
 
 @pytest.mark.parametrize("name", NAMES)
