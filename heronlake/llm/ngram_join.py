@@ -19,7 +19,9 @@ documents are connected. No pair is lost, and no pairs are listed:
    the lengths that remain on both sides can't reach the threshold. A leaf's overlap is exact.
    A cluster of more than ``BLOCK`` sets is dealt to blocks by digest, and each block is joined together with the
    ``HUBS`` sets that agree with most others; sets which that leaves outside the cluster's largest component
-   then meet every block, in blocks of their own. Sets in one component need not meet again.
+   then meet others again: those that share one of their rarest shingles in the cluster, a few of which any linked set has
+   too, or, where these are so common that this would be more work, every block, in blocks of their own. Sets in one
+   component need not meet again.
 
 Defined cases: A-Z are lowered, words are runs of other characters than white space; a text of fewer words than n has
 its whole sequence as its one shingle; null, empty and blank texts have an empty set, no link and their own
@@ -476,6 +478,61 @@ def _join_units(members: DataFrame, n: int, percent: int) -> DataFrame:
     return members.groupBy("k", "u", "v").applyInArrow(run, "a long, b long")
 
 
+def _sets(texts: DataFrame, n: int) -> DataFrame:
+    """c, d, probe of ``texts`` with x, the shingles."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in _slices(batch, 3):
+                x = pa.array([shingle_set(t.as_py(), n).view(np.int64) for t in part.column(3)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), x], names=["c", "d", "probe", "x"])
+
+    return texts.select("c", "d", "probe", "text").mapInArrow(run, "c long, d long, probe boolean, x array<long>")
+
+
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (c, d, probe, s) of the rarest shingles s in c of each set: so many that two linked sets of c have one of them in
+    common."""
+    t = sets.select("c", "d", "probe", F.explode("x").alias("s"))
+    f = t.groupBy("c", "s").agg(F.count(F.lit(1)).alias("f"))
+    own = t.join(f, ["c", "s"]).groupBy("c", "d", "probe").agg(F.sort_array(F.collect_list(F.struct("f", "s")))["s"].alias("a"))
+    return own.select("c", "d", "probe", F.explode(F.slice("a", F.lit(1), F.expr(f"size(a) - ({percent} * size(a) + 99) div 100 + 1").cast("int"))).alias("s"))
+
+
+def _join_sets(rows: DataFrame, percent: int, units: int) -> DataFrame:
+    """Edges (a, b) among the sets (d, x) of each c and s of which one is a probe. n_all and n_probes say how many there are; more
+    than ``BLOCK`` are dealt to blocks."""
+    stored_in, probes_in = F.ceil(F.col("n_all") / BLOCK), F.ceil(F.col("n_probes") / BLOCK)
+    r = rows.withColumns({"u": F.pmod(F.xxhash64("d"), stored_in), "v": F.when(F.col("probe"), F.pmod(F.xxhash64("d", F.lit(1)), probes_in))})
+    every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    # a set that looks for partners in its own block is stored there by that
+    stored = r.select("c", "s", "d", "x", "u", F.explode(F.filter(every(probes_in), lambda v: ~v.eqNullSafe(F.col("v")))).alias("v"), F.lit(False).alias("probe"))
+    probes = r.where("probe").select("c", "s", "d", "x", F.explode(every(stored_in)).alias("u"), "v", F.lit(True).alias("probe"))
+    both = stored.unionByName(probes).withColumn("run", F.xxhash64("c", "s", "u", "v"))
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        table = table.sort_by("run")
+        at = table.column("run").to_numpy()
+        ends = [*np.flatnonzero(np.append(True, at[1:] != at[:-1])).tolist(), len(at)]
+        ds, probe, x = table.column("d").to_pylist(), table.column("probe").to_pylist(), table.column("x")
+        a, b = [], []
+        for start, end in zip(ends, ends[1:]):
+            if end - start > 1:
+                sets = [v.values.to_numpy(zero_copy_only=False).view(np.uint64) for v in x.slice(start, end - start)]
+                for i, j in linked(sets, percent, probe[start:end]):
+                    a.append(ds[start + i])
+                    b.append(ds[start + j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return both.select("run", "d", "x", "probe", F.pmod("run", F.lit(units)).alias("k")).groupBy("k").applyInArrow(run, "a long, b long")
+
+
 def texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``classes`` (d, h and further columns; h unique) with text: that whose digest is h."""
     shared = docs.sparkSession.sparkContext.broadcast(Filter(classes, "h"))  # 8 MB at most
@@ -541,10 +598,23 @@ def links(docs: DataFrame, classes: DataFrame, n_shingles: int, n: int, percent:
     sizes = state.groupBy("c", "root").agg(F.count(F.lit(1)).alias("s"))
     main = sizes.groupBy("c").agg(F.max(F.struct("s", "root"))["root"].alias("main"))
     outside = salted_join(state, main, "c", "d").where("root <> main").select("c", "d", "m")
-    n_out = outside.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_out"))
+    n_out = outside.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_out"), (F.count(F.lit(1)) * F.max("m")).alias("pairs"))
     outside = written(salted_join(outside, n_out, "c", "d").withColumn("v", F.pmod(F.xxhash64("d", F.lit(1)), F.col("n_out"))), "join-outside")
     if not outside.take(1):
         return found
+    # their clusters' sets with a rare shingle in common, where that is less than all of them
+    state = outside.groupBy("c").agg(F.max("pairs").alias("pairs"))
+    sets = large.join(outside.select("d", F.lit(True).alias("probe")), "d", "left").withColumn("probe", F.coalesce("probe", F.lit(False))).select("c", "d", "probe", "text")
+    sets = written(_sets(salted_join(sets, state, "c", "d"), n), "join-shingles")
+    rare = written(rare_shingles(sets, percent), "join-rare")
+    met = written(rare.groupBy("c", "s").agg(F.count(F.lit(1)).alias("n_all"), F.count_if("probe").alias("n_probes")).where("n_all > 1 AND n_probes > 0"), "join-shared")
+    work = met.groupBy("c").agg(F.sum(F.col("n_all") * F.col("n_probes")).alias("work"))
+    few = written(state.join(work, "c", "left").where("4 * coalesce(work, 0) <= pairs").select("c"), "join-few")
+    rows = salted_join(rare, few, "c", "d").join(met, ["c", "s"])
+    rows = written(rows.join(sets.select("d", "x"), "d").select("c", "s", "d", "probe", "x", "n_all", "n_probes"), "join-meeting")
+    found = found.unionByName(written(_join_sets(rows, percent, max(1, -(-rows.count() // 10_000))), "join-rarely"))
+    outside = outside.join(few, "c", "left_anti")
+    n_out = n_out.select("c", "n_out").join(few, "c", "left_anti")
     sets = large.withColumn("u", F.pmod(F.xxhash64("d"), blocks)).select("c", "d", "u", "text")
     # a set that looks for partners in its own block is stored there by that
     sets = salted_join(sets, n_out, "c", "d").join(outside.select("d", F.col("v").alias("own")), "d", "left")
